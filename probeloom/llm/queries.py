@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probeloom.llm import dedup, digest, sampling, topn
+from probeloom.llm import dedup, digest, mixing, mojibake, sampling, topn
 from probeloom.session import materialize
 from probeloom.sources.tables import table
 
@@ -64,7 +64,44 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return p6_top3(spark, sf).select("case_id", "metric_id", "evidence_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_sample, p3_found, p3_percentiles, p4_found, p4_copies, p6_found, p6_top3)}
+def _sizes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Targets, and the token counts of the pages of sources that have one."""
+    targets = table(spark, sf, "mix_targets")
+    pages = table(spark, sf, "documents").join(targets.select("source"), "source", "left_semi")
+    return targets, mixing.token_sizes(pages)
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    targets, sizes = _sizes(spark, sf)
+    return mixing.source_plan(targets, sizes).where(~F.col("reaches")).select("source")
+
+
+def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """The pages of the mix with their repeats."""
+    targets, sizes = _sizes(spark, sf)
+    sizes = materialize(sizes)
+    return mixing.mix(sizes, mixing.source_plan(targets, sizes))
+
+
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Target and actual share of every source."""
+    targets, sizes = _sizes(spark, sf)
+    sizes = materialize(sizes)
+    plan = mixing.source_plan(targets, sizes)
+    return mixing.shares(plan, mixing.mix(sizes, plan))
+
+
+def p9_restored(spark: SparkSession, sf: str) -> DataFrame:
+    """Wrongly decoded lines with the text as it was, where the bytes survive."""
+    documents = table(spark, sf, "documents")
+    return mojibake.wrong_decoding(documents, mojibake.fit(documents))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p9_restored(spark, sf).select("doc_id", "line_no")
+
+
+QUERIES = {f.__name__: f for f in (p2_sample, p3_found, p3_percentiles, p4_found, p4_copies, p6_found, p6_top3, p8_found, p8_mix, p8_shares, p9_found, p9_restored)}
 
 _WEIGHT = "greatest(1, " + " + ".join(f"coalesce(len(probes.{g}), 0)" for g in PROBE_GROUPS) + ")::DOUBLE"
 _UNIT = f"(('0x' || substr(sha256('{SAMPLE_SALT}:' || case_id), 1, 13))::BIGINT)::DOUBLE / 4503599627370496.0"
@@ -76,6 +113,11 @@ SELECT {columns} FROM (
 """
 
 ORACLE = {
+    # the outcome is the same in characters as in tokens
+    "p8_found": """
+WITH a AS (SELECT source, sum(length(text)) AS n FROM documents GROUP BY source), j AS (SELECT m.*, coalesce(a.n, 0) AS n FROM mix_targets m LEFT JOIN a USING (source))
+SELECT source FROM j WHERE max_repeats * n < target_share * (SELECT sum(n) FROM j)
+""",
     "p2_sample": f"""
 SELECT case_id, max(w) AS weight, least(1.0, max(w) * {SAMPLE_RATE}) AS probability, min(CASE WHEN u < w * {SAMPLE_RATE} THEN intake_wave END) AS first_wave
 FROM (SELECT case_id, intake_wave, {_WEIGHT} AS w, {_UNIT} AS u FROM audit_cases WHERE case_id IS NOT NULL)
