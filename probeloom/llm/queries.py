@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probeloom.llm import dedup, digest, mixing, mojibake, sampling, topn
+from probeloom.llm import dedup, digest, leak, mixing, mojibake, sampling, topn
 from probeloom.session import materialize
 from probeloom.sources.tables import table
 
@@ -64,6 +64,15 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return p6_top3(spark, sf).select("case_id", "metric_id", "evidence_id")
 
 
+def p7_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages that print at least twelve consecutive words of an item, with the longest run."""
+    return leak.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"), min_words=12)
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p7_leaks(spark, sf).select("doc_id", "item_id")
+
+
 def _sizes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Targets, and the token counts of the pages of sources that have one."""
     targets = table(spark, sf, "mix_targets")
@@ -101,7 +110,7 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return p9_restored(spark, sf).select("doc_id", "line_no")
 
 
-QUERIES = {f.__name__: f for f in (p2_sample, p3_found, p3_percentiles, p4_found, p4_copies, p6_found, p6_top3, p8_found, p8_mix, p8_shares, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p2_sample, p3_found, p3_percentiles, p4_found, p4_copies, p6_found, p6_top3, p7_found, p7_leaks, p8_found, p8_mix, p8_shares, p9_found, p9_restored)}
 
 _WEIGHT = "greatest(1, " + " + ".join(f"coalesce(len(probes.{g}), 0)" for g in PROBE_GROUPS) + ")::DOUBLE"
 _UNIT = f"(('0x' || substr(sha256('{SAMPLE_SALT}:' || case_id), 1, 13))::BIGINT)::DOUBLE / 4503599627370496.0"
