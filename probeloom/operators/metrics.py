@@ -113,6 +113,15 @@ def reduce_divergence(probes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return out.withColumn("warning", coverage_warning(F.col("evaluated"), F.col("total"), "control probes", "control probe"))
 
 
+# Remarks of structural evidence.
+NO_RELATIVE = "relative delta Frobenius norm unavailable because baseline norm is zero"
+NOT_RANK_2 = "spectral estimate unavailable because the tensor is not rank 2"
+ESTIMATE = "spectral norm is a deterministic power-iteration estimate, not an exact SVD"
+NO_EVIDENCE = "tensor evidence is missing"
+NO_AGGREGATE = "aggregate relative delta unavailable because evaluated baseline norm is zero"
+DESCRIPTIVE = "structural magnitude is descriptive evidence only and is not automatically interpreted as semantic harm or model safety"
+
+
 def tensor_differences(inventory: DataFrame, pairs: DataFrame, name: str, baseline: str, edited: str, *, columns: str | None = None, iterations: int | None = None) -> DataFrame:
     """Norms of every inventoried tensor; tensors without a complete pair keep a row of nulls.
 
@@ -132,14 +141,24 @@ def tensor_differences(inventory: DataFrame, pairs: DataFrame, name: str, baseli
         width = F.col(columns) if columns else F.lit(None).cast("int")
         matrix = F.transform(F.sequence(F.lit(0), (F.size("_delta") / width).cast("int") - 1), lambda r: F.slice(F.col("_delta"), r * width + 1, width))
         rows = rows.withColumn("spectral_norm", F.when(both & width.isNotNull(), N.power_iteration(matrix, iterations)))
-    return rows.drop("_delta", baseline, edited)
+    remarks = [F.when(both & (F.col("baseline_norm") == 0.0), F.lit(NO_RELATIVE))]
+    if iterations is not None:
+        remarks += [F.when(both & width.isNull(), F.lit(NOT_RANK_2)), F.when(both & width.isNotNull(), F.lit(ESTIMATE))]
+    remarks.append(F.when(~both, F.lit(NO_EVIDENCE)))
+    return rows.withColumn("warnings", F.array_compact(F.array(*remarks))).drop("_delta", baseline, edited)
 
 
 def structural_summary(tensors: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Norm over the tensors' norms, with status and coverage; null when none is evaluated."""
     square = lambda c: F.sqrt(F.sum(F.col(c) * F.col(c)))
     out = tensors.groupBy(*by).agg(F.count(F.lit(1)).alias("total"), F.count("delta_norm").alias("evaluated"), square("delta_norm").alias("aggregate_delta"), square("baseline_norm").alias("_base"))
-    out = out.withColumn("aggregate_relative", F.try_divide("aggregate_delta", "_base")).drop("_base")
+    out = out.withColumn("aggregate_relative", F.try_divide("aggregate_delta", "_base"))
+    evaluated, total = F.col("evaluated"), F.col("total")
+    missing = total - evaluated
+    partial = F.concat(F.lit("partial structural coverage: evaluated "), evaluated, F.lit(" of "), total, F.lit(" inventoried tensors; aggregates exclude "), missing, F.when(missing == 1, F.lit(" missing tensor")).otherwise(F.lit(" missing tensors")))
+    none = F.concat(F.lit("structural aggregates unavailable: evaluated 0 of "), total, F.lit(" inventoried tensors"))
+    remarks = F.array(F.when(missing == 0, F.lit(None)).when(evaluated == 0, none).otherwise(partial), F.when(F.col("_base") == 0.0, F.lit(NO_AGGREGATE)), F.lit(DESCRIPTIVE))
+    out = out.withColumn("warnings", F.array_compact(remarks)).drop("_base")
     out = out.withColumn("fraction", F.when(F.col("total") > 0, F.col("evaluated") / F.col("total")))
     status = F.when(F.col("evaluated") == 0, F.lit("unavailable")).when(F.col("evaluated") < F.col("total"), F.lit("incomplete")).otherwise(F.lit("complete"))
     return out.withColumn("status", status)

@@ -154,9 +154,11 @@ def q_structural_frobenius(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(_TENSOR_SQL + """SELECT count(*) AS total, count(dn) AS evaluated, round(sqrt(sum(dn * dn)), 6) AS aggregate_delta, round(sqrt(sum(dn * dn)) / sqrt(sum(bn * bn)), 6) AS aggregate_relative, count(dn) / count(*) AS fraction,
-CASE WHEN count(dn) = 0 THEN 'unavailable' WHEN count(dn) < count(*) THEN 'incomplete' ELSE 'complete' END AS status FROM t""")
+CASE WHEN count(dn) = 0 THEN 'unavailable' WHEN count(dn) < count(*) THEN 'incomplete' ELSE 'complete' END AS status,
+CASE WHEN count(dn) = count(*) THEN '' ELSE 'partial structural coverage: evaluated ' || count(dn) || ' of ' || count(*) || ' inventoried tensors; aggregates exclude ' || (count(*) - count(dn)) || CASE WHEN count(*) - count(dn) = 1 THEN ' missing tensor; ' ELSE ' missing tensors; ' END END
+ || 'structural magnitude is descriptive evidence only and is not automatically interpreted as semantic harm or model safety' AS warning FROM t""")
 def q_structural_aggregate(spark: SparkSession, sf: str) -> DataFrame:
-    out = M.structural_summary(_tensors(spark, sf))
+    out = M.structural_summary(_tensors(spark, sf)).withColumn("warning", F.array_join("warnings", "; ")).drop("warnings")
     return out.withColumn("aggregate_delta", F.round("aggregate_delta", 6)).withColumn("aggregate_relative", F.round("aggregate_relative", 6))
 
 

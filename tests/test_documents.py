@@ -161,6 +161,17 @@ def test_failing_audit_leaves_a_failed_manifest(spark, tmp_path):
     assert [p.name for p in tmp_path.iterdir()] == ["run-manifest.json"]
 
 
+def test_many_audits(spark):
+    table = lambda *docs: spark.createDataFrame([(i, json.dumps(d)) for i, d in docs], "audit_id string, payload string")
+    edited = D.snapshot("edited")
+    better = change(edited, ("measurements", "target_scores", 0, "mean_target_log_probability"), -0.5)
+    cases = table(*((i, D.case()) for i in "abcd"), ("e", {}))
+    metrics, issues = audit.audit_many(cases, table(*((i, D.snapshot("baseline")) for i in "abcde")), table(("a", edited), ("b", better), ("c", change(edited, ("seeds", "python"), 5)), ("e", edited)))
+    got = {(r.audit_id, r.grp): (r.aggregate, r.evaluated) for r in metrics.collect()}
+    assert len(got) == 10 and got["a", "exact"] == (2.0, 1) and got["b", "exact"] == (2.5, 1) and got["b", "control"][0] == pytest.approx(0.0119593830)
+    assert {r.audit_id: r.issue for r in issues.collect()} == {"c": "the snapshots have incompatible seeds metadata", "d": "a document is missing", "e": "the case is not valid"}
+
+
 def test_lifecycle(tmp_path):
     seen = []
     done = lifecycle.execute_run(D.manifest("running"), tmp_path, lambda: 7, lambda v, m: seen.append((v, m["status"])), clock=clock())

@@ -77,6 +77,8 @@ def test_structure(spark):
     assert got["none"].status == got["half"].status == "missing" and got["half"].delta_norm is None
     total = M.structural_summary(tensors).first()
     assert total.aggregate_delta == pytest.approx(math.sqrt(30)) and total.aggregate_relative == pytest.approx(math.sqrt(30) / math.sqrt(2)) and (total.status, total.fraction) == ("incomplete", 0.5)
+    assert total.warnings[0] == "partial structural coverage: evaluated 2 of 4 inventoried tensors; aggregates exclude 2 missing tensors" and len(total.warnings) == 2
+    assert got["v"].warnings == [M.NO_RELATIVE, M.NOT_RANK_2] and got["m"].warnings == [M.ESTIMATE] and got["none"].warnings == [M.NO_EVIDENCE]
     for bad in (0, 1001, True):
         with pytest.raises(ValueError):
             M.tensor_differences(inventory, pairs, "name", "b", "e", iterations=bad)
