@@ -84,31 +84,37 @@ def collapse(keys: DataFrame) -> DataFrame:
     ordered = keys.repartitionByRange(parts, "key", "id").sortWithinPartitions("key", "id")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Runs of equal keys, as ``(run number, id, key of runs that may cross a border)``."""
+        """Rows ``(part, run, id)`` of runs of equal keys; then one row with the key of the first run and of the last."""
         from pyspark import TaskContext
 
-        part, run, previous = TaskContext.get().partitionId(), -1, None
+        def rows(runs: list[int], ids: pa.Array, keys: list[str | None]) -> pa.RecordBatch:
+            columns = [pa.array([part] * len(runs), pa.int32()), pa.array(runs, pa.int64()), ids, pa.array(keys, pa.string())]
+            return pa.RecordBatch.from_arrays(columns, names=["part", "run", "id", "key"])
+
+        part, run, previous, first = TaskContext.get().partitionId(), -1, None, None
         for b in batches:
             if not b.num_rows:
                 continue
             key = b.column("key")
-            new = pc.not_equal(key.slice(1), key.slice(0, len(key) - 1)).to_numpy(zero_copy_only=False).astype("int64")
-            first = key[0].as_py()
-            run += int(first != previous)
-            runs = run + pa.array(new).to_numpy().cumsum() if len(key) > 1 else new
-            run_column = pa.array([run, *runs.tolist()], type=pa.int64())
-            run, previous = run_column[-1].as_py(), key[len(key) - 1].as_py()
-            yield pa.RecordBatch.from_arrays([pa.array([part] * len(key), type=pa.int32()), run_column, b.column("id"), key], names=["part", "run", "id", "key"])
+            head = key[0].as_py()
+            first = head if first is None else first
+            run += int(head != previous)
+            change = pc.not_equal(key.slice(1), key.slice(0, len(key) - 1)).to_numpy(zero_copy_only=False)
+            runs = [run, *(run + change.cumsum()).tolist()]
+            run, previous = runs[-1], key[len(key) - 1].as_py()
+            yield rows(runs, b.column("id"), [None] * len(runs))
+        if first is not None:
+            ends = {0: first, run: previous}
+            yield rows(list(ends), pa.nulls(len(ends), pa.int64()), list(ends.values()))
 
     runs = materialize(ordered.mapInArrow(scan, "part int, run bigint, id bigint, key string"))
-    heads = runs.groupBy("part", "run").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("rows"))
-    # the first and the last run of each partition; only these can continue in a neighbour
-    ends = runs.groupBy("part").agg(F.min("run").alias("first"), F.max("run").alias("last"))
-    border = runs.join(F.broadcast(ends), "part").where((F.col("run") == F.col("first")) | (F.col("run") == F.col("last")))
-    border = border.groupBy("part", "run").agg(F.first("key").alias("key"), F.min("id").alias("low"), F.count(F.lit(1)).alias("rows"))
+    members = runs.where(F.col("id").isNotNull()).select("part", "run", "id")
+    heads = members.groupBy("part", "run").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("rows"))
+    # the first and the last run of each partition; only these can go on in a neighbour
+    border = runs.where(F.col("id").isNull()).select("part", "run", "key").join(heads, ["part", "run"])
     stitched = border.select("part", "run", F.min("low").over(Window.partitionBy("key")).alias("kept"), F.sum("rows").over(Window.partitionBy("key")).alias("total"))
     whole = heads.join(stitched, ["part", "run"], "left").select("part", "run", F.coalesce("kept", "low").alias("kept_id"), F.coalesce("total", "rows").alias("copies"))
-    return runs.select("part", "run", "id").join(whole, ["part", "run"]).select("id", "kept_id", "copies")
+    return members.join(whole, ["part", "run"]).select("id", "kept_id", "copies")
 
 
 def spelling_copies(df: DataFrame, id_column: str, payload: str) -> DataFrame:
