@@ -32,6 +32,10 @@ COMMON, ALWAYS = 12, 5
 ENOUGH = 7
 #: Farthest two neighbouring matches may lie apart, in words of the item and of the page.
 ITEM_REACH, PAGE_REACH = 14, 90
+#: Words read in a row before an unreadable one may be crossed; names in a stock phrase come more often.
+STEADY = 5
+#: Page words that a worker remembers; it starts anew when there are more.
+KNOWN_TOKENS = 300_000
 #: Lines between two that belong together (an advert, lines of another column).
 JUMP = 9
 _WORD = re.compile(r"[^\W_]+")
@@ -42,20 +46,20 @@ LOOKALIKES = (("rn", "m"), ("in", "m"), ("ri", "n"), ("cl", "d"), ("vv", "w"), (
 _SAME = str.maketrans({"0": "o", "1": "l", "i": "l", "j": "l", "5": "s", "8": "b", "6": "b", "9": "g", "q": "g", "e": "c", "f": "s", "u": "n", "t": "l", "v": "r"})
 
 
-@lru_cache(maxsize=1 << 18)
+@lru_cache(maxsize=1 << 16)
 def key(word: str) -> str:
     """Lower-case ASCII letters and digits of a word; all else is left out, garbled or not."""
     return "".join(c for c in word.lower() if c.isascii() and c.isalnum())
 
 
-@lru_cache(maxsize=1 << 18)
+@lru_cache(maxsize=1 << 16)
 def folded(word: str) -> str:
     """Lower-case letters and digits with accents taken off."""
     plain = unicodedata.normalize("NFKD", word.lower().replace("ſ", "s").replace("ı", "i"))
     return "".join(c for c in plain if c.isalnum())
 
 
-@lru_cache(maxsize=1 << 18)
+@lru_cache(maxsize=1 << 16)
 def _shape(word: str) -> str:
     for group, one in LOOKALIKES:
         word = word.replace(group, one)
@@ -76,7 +80,7 @@ def _within(a: str, b: str, most: int) -> bool:
     return _within(a[i + 1 :], b[i + 1 :], most - 1) or _within(a[i:], b[i + 1 :], most - 1) or _within(a[i + 1 :], b[i:], most - 1)
 
 
-@lru_cache(maxsize=1 << 20)
+@lru_cache(maxsize=1 << 18)
 def same_word(printed: str, word: str) -> bool:
     """Whether ``printed`` can be a scan of ``word``."""
     a, b = folded(printed), folded(word)
@@ -85,10 +89,16 @@ def same_word(printed: str, word: str) -> bool:
     if not a or not b or abs(len(a) - len(b)) > 3:
         return False
     longest = max(len(a), len(b))
-    most = 0 if longest <= 2 else 1 if longest <= 7 else 2
-    if most and (_within(a, b, most) or _within(key(printed), key(word), most)):
+    if longest <= 2:
+        return longest > 1 and _shape(a) == _shape(b)
+    if longest > 7:
+        return _within(a, b, 2) or _within(key(printed), key(word), 2) or _shape(a) == _shape(b)
+    # words one edit apart have their first or their last letter in common
+    if (a[0] == b[0] or a[-1] == b[-1]) and _within(a, b, 1):
+        return True
+    if not (printed.isascii() and word.isascii()) and _within(key(printed), key(word), 1):
         return True
-    return longest > 1 and _shape(a) == _shape(b)
+    return _shape(a) == _shape(b)
 
 
 class Automaton:
@@ -168,6 +178,36 @@ class Automaton:
             yield state, matched, len(tokens) - 1
 
 
+    def telling(self, tokens: Sequence[int]) -> list[tuple[tuple[tuple[int, int], ...], int, int]]:
+        """``(places, matched words, position of the last)`` of the matches of ``stream`` that tell items apart."""
+        nxt, link, length, places = self.next, self.link, self.length, self.places
+        out = []
+        state = matched = 0
+        here: dict[int, int] = nxt[0]
+        root = nxt[0]
+        for i, token in enumerate(tokens):
+            to = here.get(token)
+            if to is not None:
+                state, here, matched = to, nxt[to], matched + 1
+                continue
+            if matched:
+                if places[state]:
+                    out.append((places[state], matched, i - 1))
+                if token >= 0:
+                    while state:
+                        state = link[state]
+                        to = nxt[state].get(token)
+                        if to is not None:
+                            break
+                    if to is not None:
+                        matched, state, here = length[state] + 1, to, nxt[to]
+                        continue
+                state, here, matched = 0, root, 0
+        if matched and places[state]:
+            out.append((places[state], matched, len(tokens) - 1))
+        return out
+
+
 def item_words(text: str) -> list[str]:
     """The words of an item, as written."""
     return _WORD.findall(text)
@@ -188,7 +228,7 @@ class Items:
 
     def _token(self, raw: str) -> int:
         """Item word of a raw page word, -1 when it is none."""
-        if len(self.tokens) > 2_000_000:
+        if len(self.tokens) >= KNOWN_TOKENS:
             self.tokens.clear()
         word = key(raw) or folded(raw)
         token = self.tokens[raw] = self.automaton.ids.get(word, -1)
@@ -198,13 +238,10 @@ class Items:
         """Items of which enough words are matched close together, in any order of the page."""
         known = self.tokens
         tokens = [known[w] if w in known else self._token(w) for w in text.split()]
-        places = self.automaton.places
         hits: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        for state, matched, last in self.automaton.stream(tokens):
-            at = places[state]
-            if at:
-                for item, end in at:
-                    hits[item].append((last - matched, end - matched, matched))
+        for at, matched, last in self.automaton.telling(tokens):
+            for item, end in at:
+                hits[item].append((last - matched, end - matched, matched))
         return [item for item, spans in hits.items() if sum(m for _, _, m in spans) >= ENOUGH and self._chained(spans)]
 
     @staticmethod
@@ -265,7 +302,7 @@ class Page:
         A run starts at a word printed as it is (and the misread one before it) and goes on, also
         through misread words, to the next word of its piece or, from the end of a piece, to the
         start of one that can follow. It may cross one unreadable word, never at its ends, after
-        three read ones.
+        :data:`STEADY` read ones.
         """
         exact: dict[str, list[int]] = defaultdict(list)
         folds = [folded(w) for w in words]
@@ -315,7 +352,7 @@ class Page:
                         # one word printed as two
                         if j + 1 < n_words and abs(len(words[j + 1]) - len(printed) - len(piece[i - 1])) <= 2 < len(words[j + 1]) and same_word(piece[i - 1] + printed, words[j + 1]):
                             grow(now, j + 1, (n + 1, since + 1))
-                        if since >= 3 and j + 2 < n_words and same_word(printed, words[j + 2]) and _near(piece[i - 1], words[j + 1]):
+                        if since >= STEADY and j + 2 < n_words and same_word(printed, words[j + 2]) and _near(piece[i - 1], words[j + 1]):
                             grow(now, j + 2, (n + 2, 1))
                 else:
                     for start, runs in joined:
@@ -362,7 +399,7 @@ class Page:
         return best
 
 
-@lru_cache(maxsize=1 << 18)
+@lru_cache(maxsize=1 << 16)
 def _near(printed: str, word: str) -> bool:
     """Whether a word that cannot be read may still be a bad scan of ``word``: one more edit, or a number."""
     a, b = folded(printed), folded(word)

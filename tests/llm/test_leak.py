@@ -19,6 +19,7 @@ def test_stream_gives_the_longest_passages(items, page):
     want = [(longest[i], i) for i in range(len(page)) if longest[i] and (i + 1 == len(page) or longest[i + 1] != longest[i] + 1)]
     got = list(auto.stream([auto.ids.get(w, -1) for w in page]))
     assert [(n, i) for _, n, i in got] == want
+    assert auto.telling([auto.ids.get(w, -1) for w in page]) == [(auto.places[state], n, i) for state, n, i in got if auto.places[state]]
     for state, n, i in got:
         passage = page[i + 1 - n : i + 1]
         places = {(k, p) for k, item in enumerate(items) for p in range(n - 1, len(item)) if item[p + 1 - n : p + 1] == passage}
