@@ -78,27 +78,50 @@ def unit(v: Column) -> Column:
     return bind(v, lambda w: bind(euclidean(w), lambda n: F.when(n == 0.0, w).otherwise(F.transform(w, lambda x: x / n))))
 
 
+def gram(rows: Column) -> Column:
+    """Products of every two rows of a matrix."""
+    return F.transform(rows, lambda a: F.transform(rows, lambda b: dot(a, b)))
+
+
+def transpose(rows: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.size(F.get(rows, F.lit(0))) - 1), lambda i: F.transform(rows, lambda r: F.get(r, i)))
+
+
+def _apply(matrix: Column, v: Column) -> Column:
+    return F.transform(matrix, lambda r: dot(r, v))
+
+
 def power_iteration(rows: Column, iterations: int) -> Column:
     """Estimate of the largest singular value of a matrix given as an array of rows.
 
     The matrix is scaled by its largest entry. The start is the row of the largest norm (the
-    first of equal ones), normalised; each step applies ``M^T M`` and normalises. A zero matrix
-    has norm 0.
+    first of equal ones), normalised; each of the ``iterations`` steps applies ``M^T M`` and
+    normalises. The steps are taken on the products of the rows or of the columns, whichever are
+    fewer: with ``G = M M^T`` and ``v`` the start, ``v_k`` is ``M^T u_(k-1)`` for ``u_0 = M v``
+    and ``u_k = G u_(k-1)``, up to its length. A zero matrix has norm 0.
     """
-    def scaled_norm(m: Column) -> Column:
+    def longest(m: Column) -> Column:
         norms = F.transform(m, euclidean)
-        start = bind(norms, lambda ns: unit(F.element_at(m, F.array_position(ns, F.array_max(ns)).cast("int"))))
+        return bind(norms, lambda ns: (F.array_position(ns, F.array_max(ns)) - 1).cast("int"))
+
+    def by_rows(m: Column) -> Column:
+        def estimate(g: Column) -> Column:
+            start = bind(longest(m), lambda j: unit(F.get(g, j)))
+            u = start if iterations == 1 else F.aggregate(F.sequence(F.lit(2), F.lit(iterations)), start, lambda v, _: unit(_apply(g, v)))
+            return bind(u, lambda w: bind(_apply(g, w), lambda gw: F.try_divide(euclidean(gw), F.sqrt(dot(w, gw)))))
+
+        return bind(gram(m), estimate)
+
+    def by_columns(m: Column) -> Column:
+        def estimate(c: Column) -> Column:
+            start = bind(longest(m), lambda j: unit(F.get(m, j)))
+            v = F.aggregate(F.sequence(F.lit(1), F.lit(iterations)), start, lambda w, _: unit(_apply(c, w)))
+            return bind(v, lambda w: F.sqrt(F.greatest(F.lit(0.0), dot(w, _apply(c, w)))))
 
-        def step(v: Column, _: Column) -> Column:
-            left = F.transform(m, lambda r: dot(r, v))
-            back = F.aggregate(
-                F.zip_with(m, left, lambda r, c: F.transform(r, lambda x: x * c)),
-                F.transform(v, lambda x: x * 0.0), lambda acc, r: F.zip_with(acc, r, lambda x, y: x + y),
-            )
-            return unit(back)
+        return bind(bind(transpose(m), gram), estimate)
 
-        final = F.aggregate(F.sequence(F.lit(1), F.lit(iterations)), start, step)
-        return bind(final, lambda v: euclidean(F.transform(m, lambda r: dot(r, v))))
+    def scaled(m: Column) -> Column:
+        return F.when(F.size(m) <= F.size(F.get(m, F.lit(0))), by_rows(m)).otherwise(by_columns(m))
 
     top = F.array_max(F.transform(F.flatten(rows), F.abs))
-    return bind(top, lambda t: F.when(t == 0.0, F.lit(0.0)).otherwise(t * scaled_norm(F.transform(rows, lambda r: F.transform(r, lambda x: x / t)))))
+    return bind(top, lambda t: F.when(t == 0.0, F.lit(0.0)).otherwise(t * F.coalesce(bind(F.transform(rows, lambda r: F.transform(r, lambda x: x / t)), scaled), F.lit(0.0))))

@@ -105,7 +105,8 @@ def q_sequence_logprob(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _positions(spark: SparkSession, sf: str) -> DataFrame:
-    v = _vectors(spark, sf).withColumn("probe_id", F.expr("vec_id div 8")).withColumn("position", F.expr("(vec_id % 8) div 2"))
+    # one shuffle on the probe serves the pairing and the mean over its positions
+    v = _vectors(spark, sf).withColumn("probe_id", F.expr("vec_id div 8")).withColumn("position", F.expr("(vec_id % 8) div 2")).repartition("probe_id")
     pairs = v.groupBy("probe_id", "position").agg(F.first(F.when(F.col("vec_id") % 2 == 0, F.col("z")), True).alias("b"), F.first(F.when(F.col("vec_id") % 2 == 1, F.col("z")), True).alias("e"))
     return M.position_divergence(pairs, "b", "e", 0.5).drop("b", "e")
 
@@ -132,7 +133,7 @@ def q_control_kl_aggregate(spark: SparkSession, sf: str) -> DataFrame:
 def _tensors(spark: SparkSession, sf: str, iterations: int | None = None) -> DataFrame:
     """Sixteen vectors make a tensor: eight rows before and eight after; an incomplete one is missing."""
     v = _vectors(spark, sf).withColumn("name", F.expr("vec_id div 16")).withColumn("row", F.expr("vec_id % 16"))
-    inventory = v.select("name").distinct()
+    inventory = table(spark, sf, "embeddings").select(F.expr("vec_id div 16").alias("name")).distinct()
     side = lambda low: F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("row").between(low, low + 7), F.struct("row", "z")))), lambda r: r["z"]))
     pairs = v.groupBy("name").agg(F.count(F.lit(1)).alias("n"), side(0).alias("b"), side(8).alias("e")).where(F.col("n") == 16).drop("n")
     width = None if iterations is None else "width"

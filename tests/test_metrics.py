@@ -85,10 +85,30 @@ def test_structure(spark):
     assert one(spark, N.euclidean(F.col("v")), v=("array<double>", [1e200, 1e200])) == pytest.approx(math.sqrt(2) * 1e200)
 
 
-def test_power_iteration_against_numpy(spark):
-    m = np.random.default_rng(2).normal(size=(5, 7))
-    assert one(spark, N.power_iteration(F.col("m"), 300), m=(ROWS, m.tolist())) == pytest.approx(np.linalg.norm(m, 2))
-    assert one(spark, N.power_iteration(F.col("m"), 3), m=(ROWS, [[0.0, 0.0], [0.0, 0.0]])) == 0.0
+def iterated(m, steps):
+    """Power iteration as it is defined, on vectors."""
+    m = np.array(m)
+    v = m[np.argmax(np.linalg.norm(m, axis=1))]
+    v = v / np.linalg.norm(v)
+    for _ in range(steps):
+        v = m.T @ (m @ v)
+        v = v / np.linalg.norm(v)
+    return np.linalg.norm(m @ v)
+
+
+@pytest.mark.parametrize("shape", [(5, 7), (7, 5), (1, 4), (4, 1), (3, 3)])
+@pytest.mark.parametrize("steps", [1, 2, 20])
+def test_power_iteration_against_numpy(spark, shape, steps):
+    m = np.random.default_rng(2).normal(size=shape) * 1e6
+    assert one(spark, N.power_iteration(F.col("m"), steps), m=(ROWS, m.tolist())) == pytest.approx(iterated(m, steps))
+
+
+def test_power_iteration_of_odd_matrices(spark):
+    norm = lambda m, n: one(spark, N.power_iteration(F.col("m"), n), m=(ROWS, m))
+    assert norm([[0.0, 0.0], [0.0, 0.0]], 3) == 0.0
+    assert norm([[1e200, 0.0], [0.0, 1e200]], 2) == pytest.approx(1e200)
+    m = np.random.default_rng(3).normal(size=(5, 7))
+    assert norm(m.tolist(), 300) == pytest.approx(np.linalg.norm(m, 2))
 
 
 def test_tracing(spark):
