@@ -45,17 +45,23 @@ def selected_log_softmax(z: Column, index: Column) -> Column:
 
 
 def directed_kl(base: Column, edited: Column, temperature: Column | float = 1.0, tolerance: float = 1e-12) -> Column:
-    """``sum(p * (ln p - ln q))`` of two rows of logits; rounding noise below zero becomes zero.
+    """``sum(p * (ln p - ln q))`` of two rows of finite logits; rounding noise below zero becomes zero.
 
-    Entries with a probability of zero add nothing, however far apart the logarithms are.
+    Both log-sums are bound once and the sum is taken in one pass; a probability that underflows
+    to zero adds nothing, since the difference of the logarithms stays finite.
     """
-    def total(pair: Column) -> Column:
-        return F.aggregate(
-            F.zip_with(pair["p"], pair["q"], lambda p, q: F.when(F.exp(p) == 0.0, F.lit(0.0)).otherwise(F.exp(p) * (p - q))),
-            F.lit(0.0), lambda acc, x: acc + x,
-        )
+    t = temperature if isinstance(temperature, Column) else F.lit(float(temperature))
+    scaled = lambda z: F.transform(z, lambda x: x / t)
+
+    def total(s: Column) -> Column:
+        shift = s["b"] - s["a"]
+        terms = F.zip_with(s["p"], s["q"], lambda p, q: F.exp(p - s["a"]) * (p - q + shift))
+        return F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + x)
+
+    def summed(s: Column) -> Column:
+        return F.struct(s["p"].alias("p"), s["q"].alias("q"), log_sum_exp(s["p"]).alias("a"), log_sum_exp(s["q"]).alias("b"))
 
-    raw = bind(F.struct(log_softmax(base, temperature).alias("p"), log_softmax(edited, temperature).alias("q")), total)
+    raw = bind(bind(F.struct(scaled(base).alias("p"), scaled(edited).alias("q")), summed), total)
     return bind(raw, lambda kl: F.when((kl < 0) & (kl >= -tolerance), F.lit(0.0)).otherwise(kl))
 
 
