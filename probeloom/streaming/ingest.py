@@ -25,6 +25,7 @@ def ingest(stream: DataFrame, kind: str, table: str, issues: str, checkpoint: st
     A batch that is repeated after a failure overwrites its own folder, so nothing is doubled.
     """
     def batch(rows: DataFrame, number: int) -> None:
+        rows.persist()
         found = validate_documents(rows, kind, "snapshot_id", "payload")
         found.write.mode("overwrite").parquet(f"{issues}/batch={number}")
         bad = rows.sparkSession.read.parquet(f"{issues}/batch={number}").select("snapshot_id").distinct()
@@ -32,5 +33,6 @@ def ingest(stream: DataFrame, kind: str, table: str, issues: str, checkpoint: st
         good.write.mode("overwrite").parquet(f"{table}/batch={number}")
         if each is not None:
             each(good, number)
+        rows.unpersist()
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

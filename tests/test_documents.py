@@ -8,7 +8,7 @@ import pytest
 
 from probeloom import cli
 from probeloom.contracts.documents import issues_of, validate_documents
-from probeloom.functions.canonical import canonical_bytes, hash_file, hash_json, hash_of, with_identity
+from probeloom.functions.canonical import canonical_bytes, file_identities, hash_file, hash_json, hash_of, with_identity
 from probeloom.operators import editors as E
 from probeloom.plans import audit, compare, lifecycle, render
 from probeloom.sources.documents import JsonDocumentError, parse_strict, read_document, rename, scan_documents
@@ -88,6 +88,7 @@ def test_canonical_json(spark, tmp_path):
     assert got[1][1:] == (hash_json(value)["digest"], 25) and got[2] == got[3] == (None, None, None) and got[4][0] == '{"a":1e+22,"b":1e-05}'
     (tmp_path / "f").write_bytes(b"abc")
     assert hash_file(tmp_path / "f", 2) == hash_of(b"abc")
+    assert [(r.digest, r.size_bytes) for r in file_identities(spark, str(tmp_path)).collect()] == [(hash_of(b"abc")["digest"], 3)]
     with pytest.raises(ValueError):
         hash_file(tmp_path / "f", 0)
 
@@ -222,6 +223,12 @@ def test_markdown_shows_text_as_it_is():
     assert "<b>" not in text and "&lt;b&gt;&#124;&#96;&#91;x&#93;&#42;&#10;" in text and "m&#95;1" in text and "a&#124;b" in text
 
 
+def test_metric_tables_of_many_reports(spark):
+    df = spark.createDataFrame([("r", 1, "m_2", "complete", None, "nats", 1.0), ("r", 0, "m1", "complete", 0.5, "a|b", 0.5), ("s", 0, "m1", "failed", 1.0, "nats", None)], "report string, pos int, metric_id string, status string, aggregate double, unit string, fraction double")
+    got = {r.report: r.markdown for r in render.metric_lines(df, "report", "pos").collect()}
+    assert got == {"r": "| m1 | complete | 0.5 | a&#124;b | 0.5 |\n| m&#95;2 | complete | null | nats | 1.0 |", "s": "| m1 | failed | 1.0 | nats | null |"}
+
+
 def test_cli(tmp_path, spark):
     def run(*args):
         out, err = io.StringIO(), io.StringIO()
