@@ -1,13 +1,14 @@
 """Passages of held-out items printed in a corpus.
 
-All items form one generalised suffix automaton over normalised words. The words of a page are
-streamed through it, which gives at every word the longest passage of any item that ends there.
-The matches of a page are gathered by item; an item that is matched often enough within the
-length of a passage is then read against the page word by word, allowing for what printing and
-scanning do to a text: line ends, broken and misread words, other columns and adverts between
-lines. The longest run of consecutive item words that the page prints decides.
-
-Pages are independent of each other: the automaton is built once from the items, whose number is
+An index of the item words gives for every word of a page, for every two that may be one word
+printed apart, and for every broken word with its possible rests, the places of the items it can
+be a scan of. An item is read against the page word by word if the page has, in whatever order,
+something for every word of a passage that is long enough; no run that the reading accepts can
+lack that, so none is lost. The reading allows for what printing and scanning do to a text: line
+ends, broken and misread words, other columns and adverts between lines. The longest run of
+consecutive item words that the page prints decides.
+
+Pages are independent of each other: the index is built once from the items, whose number is
 bounded, and sent with the task; the corpus is read once and nothing is shuffled.
 """
 
@@ -17,8 +18,9 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,15 +29,10 @@ from pyspark.sql import functions as F
 MAX_ITEMS, MAX_ITEM_WORDS = 200_000, 20_000_000
 #: A match of fewer words counts only if at most so many places of the items have it.
 COMMON, ALWAYS = 12, 5
-#: Words matched along an item, in its order, for the page to be read closely: for a passage of twelve
-#: words this leaves room for a word at each of two line ends and three that are misread.
-ENOUGH = 7
-#: Farthest two neighbouring matches may lie apart, in words of the item and of the page.
-ITEM_REACH, PAGE_REACH = 14, 90
 #: Words read in a row before an unreadable one may be crossed; names in a stock phrase come more often.
 STEADY = 5
-#: Page words that a worker remembers; it starts anew when there are more.
-KNOWN_TOKENS = 300_000
+#: Page words, and pairs of them, that a worker remembers; it starts anew when there are more.
+KNOWN_TOKENS, KNOWN_PAIRS = 300_000, 1_000_000
 #: Lines between two that belong together (an advert, lines of another column).
 JUMP = 9
 _WORD = re.compile(r"[^\W_]+")
@@ -43,6 +40,7 @@ _GAP = re.compile(r"\t|\s\|\s|\s{2,}")
 _BROKEN = "-¬\xad=‐"
 #: Characters and groups that scanners take for each other, and what stands for both.
 LOOKALIKES = (("rn", "m"), ("in", "m"), ("ri", "n"), ("cl", "d"), ("vv", "w"), ("ii", "u"), ("li", "h"))
+_GROUPS = frozenset(group for group, _ in LOOKALIKES)
 _SAME = str.maketrans({"0": "o", "1": "l", "i": "l", "j": "l", "5": "s", "8": "b", "6": "b", "9": "g", "q": "g", "e": "c", "f": "s", "u": "n", "t": "l", "v": "r"})
 
 
@@ -83,8 +81,12 @@ def _within(a: str, b: str, most: int) -> bool:
 @lru_cache(maxsize=1 << 18)
 def same_word(printed: str, word: str) -> bool:
     """Whether ``printed`` can be a scan of ``word``."""
-    a, b = folded(printed), folded(word)
-    if a == b or (key(printed) == key(word) != ""):
+    return _alike(folded(printed), key(printed), folded(word), key(word), printed.isascii() and word.isascii())
+
+
+def _alike(a: str, short_a: str, b: str, short_b: str, plain: bool) -> bool:
+    """:func:`same_word` by the words' forms and whether both are ASCII."""
+    if a == b or (short_a == short_b != ""):
         return True
     if not a or not b or abs(len(a) - len(b)) > 3:
         return False
@@ -92,11 +94,11 @@ def same_word(printed: str, word: str) -> bool:
     if longest <= 2:
         return longest > 1 and _shape(a) == _shape(b)
     if longest > 7:
-        return _within(a, b, 2) or _within(key(printed), key(word), 2) or _shape(a) == _shape(b)
+        return _within(a, b, 2) or (not plain and _within(short_a, short_b, 2)) or _shape(a) == _shape(b)
     # words one edit apart have their first or their last letter in common
     if (a[0] == b[0] or a[-1] == b[-1]) and _within(a, b, 1):
         return True
-    if not (printed.isascii() and word.isascii()) and _within(key(printed), key(word), 1):
+    if not plain and _within(short_a, short_b, 1):
         return True
     return _shape(a) == _shape(b)
 
@@ -213,59 +215,275 @@ def item_words(text: str) -> list[str]:
     return _WORD.findall(text)
 
 
+def _forms(word: str) -> tuple[str, ...]:
+    """What :func:`same_word` compares of a word."""
+    plain, short = folded.__wrapped__(word), key.__wrapped__(word)
+    return (plain,) if short in ("", plain) else (plain, short)
+
+
+def _letters(word: str) -> int:
+    """The set of a word's characters as bits, some of which share one."""
+    bits = 0
+    for c in word:
+        bits |= 1 << (ord(c) & 63)
+    return bits
+
+
+def _twos(word: str) -> int:
+    """The set of a word's neighbouring characters as bits, some of which share one."""
+    bits = 0
+    for a, b in zip(word, word[1:]):
+        bits |= 1 << (ord(a) * 31 + ord(b) & 63)
+    return bits
+
+
+def _less_one(word: str) -> set[str]:
+    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+
+
+class Lexicon:
+    """Words with the places they stand at, looked up by what is printed."""
+
+    def __init__(self, places: dict[str, set[int]]) -> None:
+        self.words = list(places)
+        self.places = [np.array(sorted(at), dtype=np.int32) for at in places.values()]
+        self.equal: dict[str, list[int]] = defaultdict(list)  # by form
+        self.shaped: dict[str, list[int]] = defaultdict(list)
+        self.shortened: dict[str, list[int]] = defaultdict(list)  # by a form of up to 7 characters without one of them
+        self.sizes: dict[tuple[int, bool], list[tuple[int, int, int]]] = defaultdict(list)  # (letters, neighbours, word) by a form's length and whether the word has over 7
+        self.forms = [(f[0], key.__wrapped__(w), w.isascii()) for w in self.words for f in (_forms(w),)]
+        for n, word in enumerate(self.words):
+            forms = _forms(word)
+            long = len(forms[0]) > 7
+            self.shaped[_shape.__wrapped__(forms[0])].append(n)
+            for form in forms:
+                self.equal[form].append(n)
+                self.sizes[len(form), long].append((_letters(form), _twos(form), n))
+                if not long:
+                    for short in _less_one(form):
+                        self.shortened[short].append(n)
+        self.near: dict[tuple[int, bool], tuple[np.ndarray, ...]] = {}
+
+    def _near(self, length: int, long: bool) -> tuple[np.ndarray, ...]:
+        """Letters, neighbours and number of the words within two edits in length, and how many letters each may have, and lack, besides, and neighbours."""
+        if (length, long) not in self.near:
+            rows = []
+            for size in range(length - 2, length + 3):
+                more, fewer = 2 - max(0, length - size), 2 - max(0, size - length)
+                # an edit parts two neighbours, of the word that it makes longer one
+                for over in (False, True) if long else (True,):
+                    rows += [(bits, twos, n, more, fewer, 2 + more, 2 + fewer) for bits, twos, n in self.sizes.get((size, over), ())]
+            columns = list(zip(*rows)) or [()] * 7
+            self.near[length, long] = tuple(np.array(c, dtype=t) for c, t in zip(columns, (np.uint64, np.uint64, np.int32, *[np.uint8] * 4)))
+        return self.near[length, long]
+
+    def find(self, printed: str) -> list[int]:
+        """Every word that ``printed`` equals in a form or that :func:`same_word` takes it for."""
+        forms = _forms(printed)
+        found = {n for form in forms for n in self.equal.get(form, ())}
+        maybe = set(self.shaped.get(_shape.__wrapped__(forms[0]), ()))
+        long = len(forms[0]) > 7
+        for form in forms:
+            if not long:
+                for short in _less_one(form):
+                    maybe.update(self.shortened.get(short, ()))
+            letters, twos, numbers, more, fewer, more2, fewer2 = self._near(len(form), long)
+            if len(letters):
+                own = np.uint64(_twos(form))
+                fits = np.flatnonzero(np.bitwise_count(twos & ~own) <= more2)
+                fits = fits[np.bitwise_count(own & ~twos[fits]) <= fewer2[fits]]
+                if len(fits):
+                    own, letters = np.uint64(_letters(form)), letters[fits]
+                    fits = fits[(np.bitwise_count(letters & ~own) <= more[fits]) & (np.bitwise_count(own & ~letters) <= fewer[fits])]
+                    maybe.update(numbers[fits].tolist())
+        short, plain = key.__wrapped__(printed), printed.isascii()
+        return [*found, *(n for n in maybe - found if (w := self.forms[n]) and _alike(forms[0], short, w[0], w[1], plain and w[2]))]
+
+
+class Parts:
+    """Which two page words put together may be a word of the items, by what each of them is alone.
+
+    Two edits fall on the first part, on the second or on both, so one part is exact or both are
+    one edit away. Every sign is a set of word lengths (bits), since few lengths fit a pair.
+    """
+
+    def __init__(self, words: Sequence[str]) -> None:
+        #: lengths of the forms that begin and end so: exactly, without one character, and of their shapes
+        self.begin, self.end, self.begin1, self.end1, self.begins, self.ends = ({} for _ in range(6))
+        self.over7 = 0
+        for word in words:
+            forms = _forms(word)
+            shape = _shape.__wrapped__(forms[0])
+            if len(forms[0]) > 7:
+                self.over7 |= sum(1 << len(form) for form in forms)
+            for part in range(len(shape) + 1):
+                self.begins[shape[:part]] = self.begins.get(shape[:part], 0) | 1 << len(shape)
+                self.ends[shape[part:]] = self.ends.get(shape[part:], 0) | 1 << len(shape)
+            for form in forms:
+                for part in range(len(form) + 1):
+                    for into, into1, cut in ((self.begin, self.begin1, form[:part]), (self.end, self.end1, form[part:])):
+                        into[cut] = into.get(cut, 0) | 1 << len(form)
+                        for short in _less_one(cut):
+                            into1[short] = into1.get(short, 0) | 1 << len(form)
+        self.known: dict[str, tuple] = {}
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "known": {}}
+
+    def of(self, part: str) -> tuple:
+        """The signs of one page word."""
+        if len(self.known) >= KNOWN_TOKENS:
+            self.known.clear()
+        plain, short = folded.__wrapped__(part), key.__wrapped__(part)
+        shape = _shape.__wrapped__(plain)
+        signs = []
+        for form in (plain, short) if short != plain else (plain,):
+            begin1 = end1 = 0
+            for less in _less_one(form):
+                begin1 |= self.begin1.get(less, 0)
+                end1 |= self.end1.get(less, 0)
+            signs.append((len(form), self.begin.get(form, 0), begin1, self.end.get(form, 0), end1))
+        self.known[part] = made = (signs[0], signs[-1], len(shape), self.begins.get(shape, 0), self.ends.get(shape, 0), plain[-1:], plain[:1])
+        return made
+
+    def fit(self, a: tuple, b: tuple) -> bool:
+        """Whether the two, in this order, may be a word; not often so when they are none."""
+        if (a[3] & b[4]) >> (a[2] + b[2]) & 1 or a[5] + b[6] in _GROUPS:
+            return True
+        for x, y in ((a[0], b[0]),) if a[0] is a[1] and b[0] is b[1] else ((a[0], b[0]), (a[1], b[1])):
+            n = x[0] + y[0]
+            if (x[1] & y[4] | x[2] & y[3]) & (7 << n >> 1):
+                return True
+            # two edits only if one of the words has over seven characters
+            if (x[1] | y[3] | x[2] & y[4]) & (31 << n >> 2) & (-1 if a[0][0] + b[0][0] > 7 else self.over7):
+                return True
+        return False
+
+
 class Items:
-    """The items with their automaton; ``candidates`` and ``longest_print`` work on one page."""
+    """The items with the index of their words; ``candidates`` and ``longest_print`` work on one page."""
 
     def __init__(self, rows: Sequence[tuple[int, str | None]], min_words: int) -> None:
         self.min_words = min_words
         self.ids = [i for i, _ in rows]
         self.words = [item_words(t or "") for _, t in rows]
-        self.automaton = Automaton([[key(w) or folded(w) for w in words] for words in self.words])
-        self.tokens: dict[str, int] = {}
+        one: dict[str, set[int]] = defaultdict(set)
+        two: dict[str, set[int]] = defaultdict(set)
+        self.starts, size = [], 0
+        for words in self.words:
+            self.starts.append(size)
+            for p, word in enumerate(words, size):
+                one[word].add(p)
+            for p, (a, b) in enumerate(zip(words, words[1:]), size):
+                two[a + b].update((p, p + 1))
+            size += len(words) + 1  # a place that no word has keeps the items apart
+        self.inside = np.ones(size, dtype=bool)
+        self.inside[[s - 1 for s in (*self.starts[1:], size) if s]] = False
+        self.one, self.two, self.parts = Lexicon(one), Lexicon(two), Parts(list(one))
+        self.tokens: dict[str, np.ndarray | None] = {}
+        self.pairs: dict[str, np.ndarray | None] = {}
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "tokens": {}}
+        return {**self.__dict__, "tokens": {}, "pairs": {}}
 
-    def _token(self, raw: str) -> int:
-        """Item word of a raw page word, -1 when it is none."""
+    def _token(self, printed: str) -> np.ndarray | None:
+        """Places of the items that a page word can be a scan of, alone or as two words printed as one."""
         if len(self.tokens) >= KNOWN_TOKENS:
             self.tokens.clear()
-        word = key(raw) or folded(raw)
-        token = self.tokens[raw] = self.automaton.ids.get(word, -1)
-        return token
-
-    def candidates(self, text: str) -> list[int]:
-        """Items of which enough words are matched close together, in any order of the page."""
-        known = self.tokens
-        tokens = [known[w] if w in known else self._token(w) for w in text.split()]
-        hits: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        for at, matched, last in self.automaton.telling(tokens):
-            for item, end in at:
-                hits[item].append((last - matched, end - matched, matched))
-        return [item for item, spans in hits.items() if sum(m for _, _, m in spans) >= ENOUGH and self._chained(spans)]
-
-    @staticmethod
-    def _chained(spans: list[tuple[int, int, int]]) -> bool:
-        """Whether matches that follow each other on the page and in the item add up to enough words."""
-        scores: list[int] = []
-        for k, (page, item, matched) in enumerate(spans):
-            best = matched
-            for j in range(k - 1, -1, -1):
-                page_j, item_j, matched_j = spans[j]
-                if page - page_j > PAGE_REACH:
-                    break
-                if item_j + matched_j <= item <= item_j + ITEM_REACH and scores[j] + matched > best and page - page_j >= item - item_j - 4:
-                    best = scores[j] + matched
-            if best >= ENOUGH:
+        found = [self.one.places[n] for n in self.one.find(printed)] + [self.two.places[n] for n in self.two.find(printed)]
+        self.tokens[printed] = at = np.unique(np.concatenate(found)) if found else None
+        return at
+
+    def _pair(self, printed: str) -> np.ndarray | None:
+        """Places of the items that two parts of a word, put together, can be a scan of."""
+        if len(self.pairs) >= KNOWN_PAIRS:
+            self.pairs.clear()
+        found = [self.one.places[n] for n in self.one.find(printed)]
+        self.pairs[printed] = at = np.unique(np.concatenate(found)) if found else None
+        return at
+
+    def candidates(self, page: "str | Page") -> list[int]:
+        """Items of which the page has all words of a passage of ``min_words``, in any order of the page.
+
+        A word counts as there if :meth:`Page.longest_run` could read it somewhere on the page; one
+        that it could cross need not be there. So every item with a long enough run is given.
+        """
+        if isinstance(page, str):
+            page = Page(page)
+        known, pairs = self.tokens, self.pairs
+        signs, fit = self.parts.known, self.parts.fit
+        alone_at: dict[str, np.ndarray] = {}
+        joined_at: dict[str, np.ndarray] = {}
+
+        def put_together(a: str, b: str) -> bool:
+            pair = a + b
+            if pair in joined_at:
                 return True
-            scores.append(best)
-        return False
+            if pair in pairs:
+                at = pairs[pair]
+            elif fit(signs.get(a) or self.parts.of(a), signs.get(b) or self.parts.of(b)):
+                at = self._pair(pair)
+            else:
+                return False
+            if at is not None:
+                joined_at[pair] = at
+            return at is not None
+
+        for _, _, words, _ in page.pieces:
+            # whether a run may end at a word; a word printed as two goes on from two read ones, of which one may be crossed
+            ok = []
+            for i, word in enumerate(words):
+                at = known[word] if word in known else self._token(word)
+                if at is not None:
+                    alone_at[word] = at
+                may = i < 3 or ok[i - 2] and (i == 3 or ok[i - 3] or ok[i - 4])
+                joined = i and may and put_together(words[i - 1], word)
+                ok.append(not i or at is not None or joined)
+        for a, b in page.joins:
+            put_together(a, b)
+        words_found = len(alone_at)
+        found = [*alone_at.items(), *joined_at.items()]
+        if not found:
+            return []
+        places = np.concatenate([at for _, at in found])
+        there = np.zeros(len(self.inside), dtype=bool)
+        there[places] = True
+        steady = _in_a_row(there, STEADY)
+        near = there.copy()
+        if len(there) > STEADY + 1:  # a word after steady ones and before another
+            near[STEADY:-1] |= steady[: len(there) - STEADY - 1] & there[STEADY + 1 :]
+        begin = np.flatnonzero(_in_a_row(near & self.inside, max(1, self.min_words)))
+        if not len(begin):
+            return []
+        owner = np.repeat(np.arange(len(found)), [len(at) for _, at in found])
+        chosen = []
+        for item in np.unique(np.searchsorted(self.starts, begin, side="right") - 1).tolist():
+            first = self.starts[item]
+            own = np.flatnonzero((places >= first) & (places < first + len(self.words[item])))
+            alone: dict[str, int] = {}
+            joined: dict[str, int] = {}
+            for n, at in zip(owner[own].tolist(), (places[own] - first).tolist()):
+                into, word = alone if n < words_found else joined, found[n][0]
+                into[word] = into.get(word, 0) | 1 << at
+            if page.neighbours(alone, joined, self.min_words):
+                chosen.append(item)
+        return chosen
 
     def longest_print(self, page: "Page", item: int) -> int:
         """Most consecutive words of the item that the page prints."""
         return page.longest_run(self.words[item])
 
 
+def _in_a_row(there: np.ndarray, n: int) -> np.ndarray:
+    """Where ``n`` places begin that all are there."""
+    got = 1
+    while got < n and len(there):
+        step = min(got, n - got)
+        there = there[:-step] & there[step:]
+        got += step
+    return there
+
+
 class Page:
     """The pieces of a page: its lines, cut where a column ends."""
 
@@ -273,7 +491,8 @@ class Page:
         self.pieces: list[tuple[int, int, list[str], bool]] = []  # line, column, words, last word broken
         number = 0
         for line in text.split("\n"):
-            parts = [p for p in _GAP.split(line) if p.strip()]
+            # white space other than a blank is not printable
+            parts = [p for p in (_GAP.split(line) if "  " in line or "|" in line or not line.isprintable() else (line,)) if p.strip()]
             if not parts:
                 continue
             for column, part in enumerate(parts):
@@ -296,6 +515,66 @@ class Page:
         # from the foot of one column to the head of the next
         return line_a >= self.lines - JUMP and line_b <= JUMP and (column_b > column_a or column_a == column_b == 0)
 
+    @cached_property
+    def joins(self) -> set[tuple[str, str]]:
+        """Every broken word with the first word of each piece that can follow."""
+        head = [b for b, piece in enumerate(self.pieces) if piece[0] <= JUMP]
+        out = set()
+        for a, (line, _, words, broken) in enumerate(self.pieces):
+            if not broken:
+                continue
+            for b in range(a + 1, len(self.pieces)):
+                if self.pieces[b][0] > line + JUMP:
+                    break
+                if self._follows(a, b):
+                    out.add((words[-1], self.pieces[b][2][0]))
+            if line >= self.lines - JUMP:
+                out.update((words[-1], self.pieces[b][2][0]) for b in head if self._follows(a, b))
+        return out
+
+    def neighbours(self, alone: dict[str, int], joined: dict[str, int], least: int) -> bool:
+        """Whether ``least`` consecutive words of an item each have the one before next to them somewhere.
+
+        The places (bits) of the item are given by page word and by two put together. The end of
+        every piece is taken as next to the start of every other, and a word broken at a piece's
+        end as next to all, so that no run of :meth:`longest_run` lacks this.
+        """
+        edges = starts = ends = every = 0  # bit j of edges: the word at j stands after the one at j - 1
+        for _, _, words, _ in self.pieces:
+            here = []  # places of the words and pairs that end at each word
+            for i, word in enumerate(words):
+                now = alone.get(word, 0)
+                pair = joined.get(words[i - 1] + word, 0) if i else 0
+                edges |= now << 1 & now
+                if i:
+                    edges |= here[i - 1] << 1 & now
+                else:
+                    starts |= now
+                if pair:
+                    if i > 1:
+                        edges |= here[i - 2] << 1 & pair
+                    else:
+                        starts |= pair
+                here.append(now | pair)
+                every |= now | pair
+            ends |= here[-1]
+        over = 0
+        for a, b in self.joins:
+            over |= joined.get(a + b, 0)
+        every |= over
+        edges |= ends << 1 & starts | every << 1 & over | over << 1 & every
+        # a word that is crossed stands after steady ones and before another
+        steady = every
+        for k in range(STEADY - 1):
+            steady &= edges << k
+        crossed = steady << 1 & every >> 1
+        edges |= crossed | crossed << 1
+        every |= crossed
+        run = every
+        for k in range(least - 1):
+            run &= edges << k
+        return run != 0
+
     def longest_run(self, words: list[str]) -> int:
         """Longest run of consecutive ``words`` along the page.
 
@@ -428,11 +707,8 @@ def leaks(documents: DataFrame, items: DataFrame, *, min_words: int = 12, doc_id
         for batch in batches:
             docs, found, words = [], [], []
             for doc, page_text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                chosen = known.candidates(page_text)
-                if not chosen:
-                    continue
                 page = Page(page_text)
-                for item in chosen:
+                for item in known.candidates(page):
                     n = known.longest_print(page, item)
                     if n >= min_words:
                         docs.append(doc)

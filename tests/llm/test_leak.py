@@ -104,6 +104,36 @@ def test_passages_hidden_in_pages(spark):
     assert hits >= 0.97 * len(pages)
 
 
+def test_every_long_run_is_read(spark):
+    """Words that a scan spoils in any way its reading allows, so that hardly any is left as it was."""
+    items = [(r.item_id, r.item_text) for r in spark.read.parquet(f"{SF}/eval_items.parquet").orderBy("item_id").collect()]
+    known = leak.Items(items, 12)
+    rng = random.Random(11)
+
+    def spoilt(word):
+        k = rng.randrange(1, len(word)) if len(word) > 3 else 0
+        how = rng.randrange(5)
+        if not k or how == 0:
+            return word + " "
+        return (word[:k] + " " + word[k:], word[:k] + "-\n" + word[k:], word[:k] + "x" + word[k + 1 :], word)[how - 1] + ("" if how == 4 else " ")
+
+    read = 0
+    for _ in range(300):
+        item = rng.randrange(len(items))
+        at = rng.randrange(len(known.words[item]) - 13)
+        page = "".join(spoilt(w) for w in known.words[item][at : at + 13])
+        if leak.Page(page).longest_run(known.words[item]) >= 12:
+            read += 1
+            assert item in known.candidates(page), page
+    assert read > 100
+
+
+def test_words_cut_at_marks(spark):
+    item = "Malnim-on-Weir salue n’arrivent qu’à Nimlet-on-Weir l’été d’un hiver"
+    df = spark.createDataFrame([(1, item), (2, item.replace("salue", "salne").replace("hiver", "liver"))], "doc_id long, text string")
+    assert sorted((r.doc_id, r.words) for r in leak.leaks(df, spark.createDataFrame([(1, item)], "item_id long, item_text string")).collect()) == [(1, 16), (2, 16)]
+
+
 def test_query(spark):
     rows = queries.p7_found(spark, SF).collect()
     assert 0 < len(rows) == len({(r.doc_id, r.item_id) for r in rows})
