@@ -508,7 +508,7 @@ class Page:
         """Whether piece ``b`` can go on where piece ``a`` ends."""
         line_a, column_a, *_ = self.pieces[a]
         line_b, column_b, *_ = self.pieces[b]
-        if line_a < line_b <= line_a + JUMP:
+        if line_a < line_b <= line_a + JUMP + 1:
             return column_a == column_b or line_b == line_a + 1
         if line_a == line_b:
             return column_b > column_a
@@ -524,7 +524,7 @@ class Page:
             if not broken:
                 continue
             for b in range(a + 1, len(self.pieces)):
-                if self.pieces[b][0] > line + JUMP:
+                if self.pieces[b][0] > line + JUMP + 1:
                     break
                 if self._follows(a, b):
                     out.add((words[-1], self.pieces[b][2][0]))
@@ -658,7 +658,7 @@ class Page:
 
         first_near = 0
         for b, (line, _, piece, broken) in enumerate(self.pieces):
-            while self.pieces[first_near][0] < line - JUMP:
+            while self.pieces[first_near][0] < line - JUMP - 1:
                 first_near += 1
             end, head = walk(piece, *enter(b, range(first_near, b)), broken)
             ends.append(end)

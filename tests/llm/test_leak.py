@@ -134,6 +134,19 @@ def test_words_cut_at_marks(spark):
     assert sorted((r.doc_id, r.words) for r in leak.leaks(df, spark.createDataFrame([(1, item)], "item_id long, item_text string")).collect()) == [(1, 16), (2, 16)]
 
 
+def test_wrap_and_advert_in_rows(spark):
+    words = ITEM.split()
+    head, foot = " ".join(words[6:12]), " ".join(words[:6])
+    left = [f"foreign words {i}" for i in range(14)] + [foot]
+    right = [head] + [f"other text {i}" for i in range(14)]
+    across = "\n".join(f"{a}   {b}" for a, b in zip(left, right))
+    turns = "\n".join(x for pair in zip(left, right) for x in pair)
+    advert = "\n".join([foot, *["soap and candles of the best make sold here at low prices every day"] * leak.JUMP, head])
+    df = spark.createDataFrame([(1, across), (2, turns), (3, advert), (4, advert.replace("soap", "more\nsoap", 1))], "doc_id long, text string")
+    got = leak.leaks(df, spark.createDataFrame([(1, ITEM)], "item_id long, item_text string")).collect()
+    assert sorted((r.doc_id, r.words) for r in got) == [(1, 12), (2, 12), (3, 12)]
+
+
 def test_query(spark):
     rows = queries.p7_found(spark, SF).collect()
     assert 0 < len(rows) == len({(r.doc_id, r.item_id) for r in rows})
