@@ -124,3 +124,11 @@ def test_long_texts_in_pieces(spark, pages, monkeypatch):
     assert len(cut) > 10 and "\n".join(t for _, t in cut) == text and all(text.split("\n")[n] == t.split("\n")[0] for n, t in cut)
     found = [first + n for first, t in cut for n, *_ in mojibake.garbled_lines(t, mojibake.label([t], model)[0], model)]
     assert found == [i for i in range(150) if i % 3 == 1]
+
+
+def test_weak_evidence_is_labelled():
+    """A text is called clean at once only if no path gains from it."""
+    values = np.full((2, len(mojibake.STATES)), -9.0, dtype=np.float32)
+    values[:, 0] = 1.1 - mojibake.ENTER[0], -0.1 - mojibake.ENTER[0]
+    model = mojibake.Model(np.array([ord("é"), ord("è")]), values, np.full(len(mojibake.STATES), -9.0, dtype=np.float32), {})
+    assert mojibake.label(["aéb", "aèb", "ab"], model) == [[(1, 1, 0)], [], []]
