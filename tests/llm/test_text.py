@@ -132,3 +132,15 @@ def test_weak_evidence_is_labelled():
     values[:, 0] = 1.1 - mojibake.ENTER[0], -0.1 - mojibake.ENTER[0]
     model = mojibake.Model(np.array([ord("é"), ord("è")]), values, np.full(len(mojibake.STATES), -9.0, dtype=np.float32), {})
     assert mojibake.label(["aéb", "aèb", "ab"], model) == [[(1, 1, 0)], [], []]
+
+
+def test_sample_takes_pieces_of_long_texts(spark, monkeypatch):
+    line = "für die alte Hütte über dem Fluß, schön und groß\n"
+    df = spark.createDataFrame([(1, line * 2000), (2, None)], "doc_id long, text string")
+    taken = []
+    monkeypatch.setattr(mojibake, "train", lambda texts: taken.extend(texts))
+    mojibake.fit(df)
+    assert len(taken) == 5 and all(len(t) <= mojibake.TRAIN_CHARS for t in taken)
+    assert {x for t in taken for x in t.split("\n")} <= {line[:-1], ""}
+    with pytest.raises(ValueError):
+        mojibake.fit(df, pages=0)
