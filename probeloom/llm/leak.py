@@ -1,63 +1,68 @@
 """Passages of held-out items printed in a corpus.
 
-An index of the item words gives for every word of a page, for every two that may be one word
-printed apart, and for every broken word with its possible rests, the places of the items it can
-be a scan of. An item is read against the page word by word if the page has, in whatever order,
-something for every word of a passage that is long enough; no run that the reading accepts can
-lack that, so none is lost. The reading allows for what printing and scanning do to a text: line
-ends, broken and misread words, other columns and adverts between lines. The longest run of
-consecutive item words that the page prints decides.
-
-Pages are independent of each other: the index is built once from the items, whose number is
-bounded, and sent with the task; the corpus is read once and nothing is shuffled.
+The words of the items form a generalised suffix automaton. The words of a page are streamed
+through it: every printed word is read as each item word that it can be a scan of, alone, put
+together with its neighbour, or parted, so the automaton follows several readings at once and
+keeps for each the longest passage that ends there. The readings go on over what printing and
+scanning do to a text: line ends, broken words, other columns and adverts between lines, and one
+unreadable word. The longest matching lengths decide: a page leaks an item when they reach the
+limit of words, or the limit of coverage.
+
+What is found of an item never depends on the other items: a state of the automaton stands for
+every place of every item, and none is forgotten. Pages are independent of each other; the corpus
+is read once per block of items and nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator, Sequence
-from functools import cached_property, lru_cache
+from collections.abc import Iterable, Iterator, Sequence
+from functools import lru_cache
+from itertools import pairwise
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most items, and most of their words, that are sent to every task.
-MAX_ITEMS, MAX_ITEM_WORDS = 200_000, 20_000_000
-#: A match of fewer words counts only if at most so many places of the items have it.
-COMMON, ALWAYS = 12, 5
+#: Item words that one automaton holds; more items are read in blocks of about that size, one after the other.
+BLOCK_WORDS = 200_000
 #: Words read in a row before an unreadable one may be crossed; names in a stock phrase come more often.
 STEADY = 5
 #: Page words, and pairs of them, that a worker remembers; it starts anew when there are more.
-KNOWN_TOKENS, KNOWN_PAIRS = 300_000, 1_000_000
+KNOWN = 300_000
 #: Lines between two that belong together (an advert, lines of another column).
 JUMP = 9
 _WORD = re.compile(r"[^\W_]+")
+#: Words of lines with signs that no print has: what a letter outside ASCII has become belongs to its word.
+_GARBLED = re.compile(r"(?:[^\W_]|[^\x00-\x7f\s–—„“”«»…’‘‐¬\xad]|(?<=[ÃÂÄÅÐÑ√├┬])\S)+")
+_USUAL = str.maketrans("", "", "–—„“”«»…’‘‐¬\xad£§°·•")
 _GAP = re.compile(r"\t|\s\|\s|\s{2,}")
 _BROKEN = "-¬\xad=‐"
 #: Characters and groups that scanners take for each other, and what stands for both.
 LOOKALIKES = (("rn", "m"), ("in", "m"), ("ri", "n"), ("cl", "d"), ("vv", "w"), ("ii", "u"), ("li", "h"))
-_GROUPS = frozenset(group for group, _ in LOOKALIKES)
 _SAME = str.maketrans({"0": "o", "1": "l", "i": "l", "j": "l", "5": "s", "8": "b", "6": "b", "9": "g", "q": "g", "e": "c", "f": "s", "u": "n", "t": "l", "v": "r"})
 
 
-@lru_cache(maxsize=1 << 16)
 def key(word: str) -> str:
     """Lower-case ASCII letters and digits of a word; all else is left out, garbled or not."""
-    return "".join(c for c in word.lower() if c.isascii() and c.isalnum())
+    low = word.lower()
+    if low.isascii() and low.isalnum():
+        return low
+    return "".join(c for c in low if c.isascii() and c.isalnum())
 
 
-@lru_cache(maxsize=1 << 16)
 def folded(word: str) -> str:
     """Lower-case letters and digits with accents taken off."""
-    plain = unicodedata.normalize("NFKD", word.lower().replace("ſ", "s").replace("ı", "i"))
+    low = word.lower()
+    if low.isascii() and low.isalnum():
+        return low
+    plain = unicodedata.normalize("NFKD", low.replace("ſ", "s").replace("ı", "i"))
     return "".join(c for c in plain if c.isalnum())
 
 
-@lru_cache(maxsize=1 << 16)
 def _shape(word: str) -> str:
     for group, one in LOOKALIKES:
         word = word.replace(group, one)
@@ -78,643 +83,558 @@ def _within(a: str, b: str, most: int) -> bool:
     return _within(a[i + 1 :], b[i + 1 :], most - 1) or _within(a[i:], b[i + 1 :], most - 1) or _within(a[i + 1 :], b[i:], most - 1)
 
 
-@lru_cache(maxsize=1 << 18)
+@lru_cache(maxsize=1 << 16)
 def same_word(printed: str, word: str) -> bool:
     """Whether ``printed`` can be a scan of ``word``."""
     return _alike(folded(printed), key(printed), folded(word), key(word), printed.isascii() and word.isascii())
 
 
-def _alike(a: str, short_a: str, b: str, short_b: str, plain: bool) -> bool:
-    """:func:`same_word` by the words' forms and whether both are ASCII."""
+def _alike(a: str, short_a: str, b: str, short_b: str, plain: bool, shaped: bool = False) -> bool:
+    """:func:`same_word` by the words' forms and whether both are ASCII; ``shaped``: the shapes are known to differ."""
     if a == b or (short_a == short_b != ""):
         return True
     if not a or not b or abs(len(a) - len(b)) > 3:
         return False
     longest = max(len(a), len(b))
     if longest <= 2:
-        return longest > 1 and _shape(a) == _shape(b)
+        return not shaped and longest > 1 and _shape(a) == _shape(b)
     if longest > 7:
-        return _within(a, b, 2) or (not plain and _within(short_a, short_b, 2)) or _shape(a) == _shape(b)
+        return _within(a, b, 2) or (not plain and _within(short_a, short_b, 2)) or not shaped and _shape(a) == _shape(b)
     # words one edit apart have their first or their last letter in common
     if (a[0] == b[0] or a[-1] == b[-1]) and _within(a, b, 1):
         return True
     if not plain and _within(short_a, short_b, 1):
         return True
-    return _shape(a) == _shape(b)
+    return not shaped and _shape(a) == _shape(b)
+
+
+@lru_cache(maxsize=1 << 16)
+def near_word(printed: str, word: str) -> bool:
+    """Whether a word that cannot be read may still be a bad scan of ``word``: one more edit, or a number."""
+    a, b = folded(printed), folded(word)
+    if b.isdigit():
+        return len(a) <= 3
+    return _within(a, b, 1 if len(b) <= 3 else 2 if len(b) <= 7 else 3)
+
+
+def item_words(text: str) -> list[str]:
+    """The words of an item, as written."""
+    return _WORD.findall(text)
 
 
 class Automaton:
-    """Generalised suffix automaton of word sequences, with the places every state ends at."""
+    """Generalised suffix automaton of sequences: every passage of every sequence has one state."""
 
-    def __init__(self, items: Sequence[Sequence[str]]) -> None:
-        self.ids: dict[str, int] = {}
+    def __init__(self, sequences: Iterable[Sequence[int]]) -> None:
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        first: list[list[tuple[int, int]]] = [[]]
-        for n, words in enumerate(items):
+        #: sequences that have a prefix ending in the state
+        self.own: list[list[int] | None] = [None]
+        for n, tokens in enumerate(sequences):
             last = 0
-            for p, word in enumerate(words):
-                token = self.ids.setdefault(word, len(self.ids))
-                last = self._extend(last, token, first)
-                first[last].append((n, p))
-        order = sorted(range(1, len(self.length)), key=self.length.__getitem__, reverse=True)
-        for state in order:
-            if self.link[state] > 0:
-                first[self.link[state]] += first[state]
-        #: (item, position of the last word) of each state whose matches count; None: too common to tell items apart
-        self.places = [None if not s or (self.length[s] < ALWAYS and len(at) > COMMON) else tuple(set(at)) for s, at in enumerate(first)]
-
-    def _new(self, length: int, link: int, nxt: dict[int, int], first: list) -> int:
-        self.next.append(nxt)
+            for token in tokens:
+                last = self._extend(last, token)
+                if self.own[last] is None:
+                    self.own[last] = [n]
+                elif self.own[last][-1] != n:
+                    self.own[last].append(n)
+        self.longer: dict[int, list[int]] = defaultdict(list)
+        for state, shorter in enumerate(self.link):
+            if shorter > 0:
+                self.longer[shorter].append(state)
+
+    def _new(self, length: int, link: int, following: dict[int, int]) -> int:
+        self.next.append(following)
         self.length.append(length)
         self.link.append(link)
-        first.append([])
+        self.own.append(None)
         return len(self.length) - 1
 
-    def _split(self, p: int, q: int, token: int, first: list) -> int:
+    def _split(self, p: int, q: int, token: int) -> int:
         """A copy of ``q`` for the shorter passages that reach it through ``p``."""
-        copy = self._new(self.length[p] + 1, self.link[q], dict(self.next[q]), first)
+        copy = self._new(self.length[p] + 1, self.link[q], dict(self.next[q]))
         while p >= 0 and self.next[p].get(token) == q:
             self.next[p][token] = copy
             p = self.link[p]
         self.link[q] = copy
         return copy
 
-    def _extend(self, last: int, token: int, first: list) -> int:
+    def _extend(self, last: int, token: int) -> int:
         q = self.next[last].get(token)
         if q is not None:
-            return q if self.length[q] == self.length[last] + 1 else self._split(last, q, token, first)
-        state = self._new(self.length[last] + 1, 0, {}, first)
+            return q if self.length[q] == self.length[last] + 1 else self._split(last, q, token)
+        state = self._new(self.length[last] + 1, 0, {})
         p = last
         while p >= 0 and token not in self.next[p]:
             self.next[p][token] = state
             p = self.link[p]
         if p >= 0:
             q = self.next[p][token]
-            self.link[state] = q if self.length[q] == self.length[p] + 1 else self._split(p, q, token, first)
+            self.link[state] = q if self.length[q] == self.length[p] + 1 else self._split(p, q, token)
         return state
 
-    def stream(self, tokens: Sequence[int]) -> Iterator[tuple[int, int, int]]:
-        """``(state, matched words, position of the last)`` where a longest match ends; -1 is no item word."""
-        nxt, link, length = self.next, self.link, self.length
-        state = matched = 0
-        for i, token in enumerate(tokens):
-            if token < 0:
-                if matched:
-                    yield state, matched, i - 1
-                    state = matched = 0
-                continue
-            to = nxt[state].get(token)
-            if to is None:
-                if matched:
-                    yield state, matched, i - 1
-                while state and to is None:
-                    state = link[state]
-                    to = nxt[state].get(token)
-                matched = length[state]
-                if to is None:
-                    matched = 0
-                    continue
-            state, matched = to, matched + 1
-        if matched:
-            yield state, matched, len(tokens) - 1
-
-
-    def telling(self, tokens: Sequence[int]) -> list[tuple[tuple[tuple[int, int], ...], int, int]]:
-        """``(places, matched words, position of the last)`` of the matches of ``stream`` that tell items apart."""
-        nxt, link, length, places = self.next, self.link, self.length, self.places
-        out = []
+    def holders(self, state: int) -> set[int]:
+        """The sequences that hold the passages of a state."""
+        found: set[int] = set()
+        todo = [state]
+        while todo:
+            state = todo.pop()
+            if self.own[state]:
+                found.update(self.own[state])
+            todo += self.longer.get(state, ())
+        return found
+
+    def stream(self, tokens: Iterable[int]) -> Iterator[tuple[int, int]]:
+        """``(state, length)`` of the longest passage that ends at each token (0, 0: none)."""
         state = matched = 0
-        here: dict[int, int] = nxt[0]
-        root = nxt[0]
-        for i, token in enumerate(tokens):
-            to = here.get(token)
-            if to is not None:
-                state, here, matched = to, nxt[to], matched + 1
-                continue
-            if matched:
-                if places[state]:
-                    out.append((places[state], matched, i - 1))
-                if token >= 0:
-                    while state:
-                        state = link[state]
-                        to = nxt[state].get(token)
-                        if to is not None:
-                            break
-                    if to is not None:
-                        matched, state, here = length[state] + 1, to, nxt[to]
-                        continue
-                state, here, matched = 0, root, 0
-        if matched and places[state]:
-            out.append((places[state], matched, len(tokens) - 1))
-        return out
-
-
-def item_words(text: str) -> list[str]:
-    """The words of an item, as written."""
-    return _WORD.findall(text)
-
-
-def _forms(word: str) -> tuple[str, ...]:
-    """What :func:`same_word` compares of a word."""
-    plain, short = folded.__wrapped__(word), key.__wrapped__(word)
-    return (plain,) if short in ("", plain) else (plain, short)
+        for token in tokens:
+            while state and token not in self.next[state]:
+                state = self.link[state]
+                matched = self.length[state]
+            state = self.next[state].get(token, 0)
+            matched = matched + 1 if state else 0
+            yield state, matched
 
 
 def _letters(word: str) -> int:
-    """The set of a word's characters as bits, some of which share one."""
+    """The set of a word's characters and of its neighbouring ones as bits, some of which share one; an edit changes at most three."""
     bits = 0
     for c in word:
         bits |= 1 << (ord(c) & 63)
+    for a, b in pairwise(word):
+        bits |= 1 << 64 + (ord(a) * 31 + ord(b) & 127)
     return bits
 
 
-def _twos(word: str) -> int:
-    """The set of a word's neighbouring characters as bits, some of which share one."""
-    bits = 0
-    for a, b in zip(word, word[1:]):
-        bits |= 1 << (ord(a) * 31 + ord(b) & 63)
-    return bits
-
-
-def _less_one(word: str) -> set[str]:
-    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+def _less_one(word: str) -> list[str]:
+    return [word, *(word[:i] + word[i + 1 :] for i in range(len(word)))]
 
 
 class Lexicon:
-    """Words with the places they stand at, looked up by what is printed."""
+    """Words looked up by what is printed: exactly the numbers of those that :func:`same_word` takes it for."""
 
-    def __init__(self, places: dict[str, set[int]]) -> None:
-        self.words = list(places)
-        self.places = [np.array(sorted(at), dtype=np.int32) for at in places.values()]
+    def __init__(self, words: Sequence[str]) -> None:
+        self.forms = [(folded(w), key(w), w.isascii()) for w in words]
+        self.letters = [(_letters(plain), _letters(short)) for plain, short, _ in self.forms]
         self.equal: dict[str, list[int]] = defaultdict(list)  # by form
-        self.shaped: dict[str, list[int]] = defaultdict(list)
-        self.shortened: dict[str, list[int]] = defaultdict(list)  # by a form of up to 7 characters without one of them
-        self.sizes: dict[tuple[int, bool], list[tuple[int, int, int]]] = defaultdict(list)  # (letters, neighbours, word) by a form's length and whether the word has over 7
-        self.forms = [(f[0], key.__wrapped__(w), w.isascii()) for w in self.words for f in (_forms(w),)]
-        for n, word in enumerate(self.words):
-            forms = _forms(word)
-            long = len(forms[0]) > 7
-            self.shaped[_shape.__wrapped__(forms[0])].append(n)
-            for form in forms:
+        self.shaped: dict[str, list[int]] = defaultdict(list)  # by the shape of the first form
+        self.shortened: dict[str, list[int]] = defaultdict(list)  # by a form of up to 8 characters without one of them
+        self.parts: dict[tuple[int, str], list[int]] = defaultdict(list)  # by a third of a form and the form's length
+        self.shapes = [_shape(plain) for plain, _, _ in self.forms]
+        for n, (plain, short, _) in enumerate(self.forms):
+            self.shaped[self.shapes[n]].append(n)
+            for form in {plain, short} - {""}:
                 self.equal[form].append(n)
-                self.sizes[len(form), long].append((_letters(form), _twos(form), n))
-                if not long:
-                    for short in _less_one(form):
-                        self.shortened[short].append(n)
-        self.near: dict[tuple[int, bool], tuple[np.ndarray, ...]] = {}
-
-    def _near(self, length: int, long: bool) -> tuple[np.ndarray, ...]:
-        """Letters, neighbours and number of the words within two edits in length, and how many letters each may have, and lack, besides, and neighbours."""
-        if (length, long) not in self.near:
-            rows = []
-            for size in range(length - 2, length + 3):
-                more, fewer = 2 - max(0, length - size), 2 - max(0, size - length)
-                # an edit parts two neighbours, of the word that it makes longer one
-                for over in (False, True) if long else (True,):
-                    rows += [(bits, twos, n, more, fewer, 2 + more, 2 + fewer) for bits, twos, n in self.sizes.get((size, over), ())]
-            columns = list(zip(*rows)) or [()] * 7
-            self.near[length, long] = tuple(np.array(c, dtype=t) for c, t in zip(columns, (np.uint64, np.uint64, np.int32, *[np.uint8] * 4)))
-        return self.near[length, long]
+                if len(form) <= 8:
+                    for less in _less_one(form):
+                        self.shortened[less].append(n)
+                for k, (at, to) in enumerate(_thirds(len(form))):
+                    self.parts[4 * len(form) + k, form[at:to]].append(n)
+        for index in (self.equal, self.shaped, self.shortened, self.parts):
+            index.default_factory = None
+
+    def exact(self, printed: str) -> list[int]:
+        """The words that ``printed`` equals in a form."""
+        plain, short = folded(printed), key(printed)
+        found = self.equal.get(plain, [])
+        return found if short in ("", plain) else list({*found, *self.equal.get(short, ())})
 
     def find(self, printed: str) -> list[int]:
-        """Every word that ``printed`` equals in a form or that :func:`same_word` takes it for."""
-        forms = _forms(printed)
-        found = {n for form in forms for n in self.equal.get(form, ())}
-        maybe = set(self.shaped.get(_shape.__wrapped__(forms[0]), ()))
-        long = len(forms[0]) > 7
-        for form in forms:
-            if not long:
-                for short in _less_one(form):
-                    maybe.update(self.shortened.get(short, ()))
-            letters, twos, numbers, more, fewer, more2, fewer2 = self._near(len(form), long)
-            if len(letters):
-                own = np.uint64(_twos(form))
-                fits = np.flatnonzero(np.bitwise_count(twos & ~own) <= more2)
-                fits = fits[np.bitwise_count(own & ~twos[fits]) <= fewer2[fits]]
-                if len(fits):
-                    own, letters = np.uint64(_letters(form)), letters[fits]
-                    fits = fits[(np.bitwise_count(letters & ~own) <= more[fits]) & (np.bitwise_count(own & ~letters) <= fewer[fits])]
-                    maybe.update(numbers[fits].tolist())
-        short, plain = key.__wrapped__(printed), printed.isascii()
-        return [*found, *(n for n in maybe - found if (w := self.forms[n]) and _alike(forms[0], short, w[0], w[1], plain and w[2]))]
-
-
-class Parts:
-    """Which two page words put together may be a word of the items, by what each of them is alone.
-
-    Two edits fall on the first part, on the second or on both, so one part is exact or both are
-    one edit away. Every sign is a set of word lengths (bits), since few lengths fit a pair.
-    """
-
-    def __init__(self, words: Sequence[str]) -> None:
-        #: lengths of the forms that begin and end so: exactly, without one character, and of their shapes
-        self.begin, self.end, self.begin1, self.end1, self.begins, self.ends = ({} for _ in range(6))
-        self.over7 = 0
-        for word in words:
-            forms = _forms(word)
-            shape = _shape.__wrapped__(forms[0])
-            if len(forms[0]) > 7:
-                self.over7 |= sum(1 << len(form) for form in forms)
-            for part in range(len(shape) + 1):
-                self.begins[shape[:part]] = self.begins.get(shape[:part], 0) | 1 << len(shape)
-                self.ends[shape[part:]] = self.ends.get(shape[part:], 0) | 1 << len(shape)
-            for form in forms:
-                for part in range(len(form) + 1):
-                    for into, into1, cut in ((self.begin, self.begin1, form[:part]), (self.end, self.end1, form[part:])):
-                        into[cut] = into.get(cut, 0) | 1 << len(form)
-                        for short in _less_one(cut):
-                            into1[short] = into1.get(short, 0) | 1 << len(form)
-        self.known: dict[str, tuple] = {}
-
-    def __getstate__(self) -> dict:
-        return {**self.__dict__, "known": {}}
-
-    def of(self, part: str) -> tuple:
-        """The signs of one page word."""
-        if len(self.known) >= KNOWN_TOKENS:
-            self.known.clear()
-        plain, short = folded.__wrapped__(part), key.__wrapped__(part)
-        shape = _shape.__wrapped__(plain)
-        signs = []
-        for form in (plain, short) if short != plain else (plain,):
-            begin1 = end1 = 0
-            for less in _less_one(form):
-                begin1 |= self.begin1.get(less, 0)
-                end1 |= self.end1.get(less, 0)
-            signs.append((len(form), self.begin.get(form, 0), begin1, self.end.get(form, 0), end1))
-        self.known[part] = made = (signs[0], signs[-1], len(shape), self.begins.get(shape, 0), self.ends.get(shape, 0), plain[-1:], plain[:1])
-        return made
-
-    def fit(self, a: tuple, b: tuple) -> bool:
-        """Whether the two, in this order, may be a word; not often so when they are none."""
-        if (a[3] & b[4]) >> (a[2] + b[2]) & 1 or a[5] + b[6] in _GROUPS:
-            return True
-        for x, y in ((a[0], b[0]),) if a[0] is a[1] and b[0] is b[1] else ((a[0], b[0]), (a[1], b[1])):
-            n = x[0] + y[0]
-            if (x[1] & y[4] | x[2] & y[3]) & (7 << n >> 1):
-                return True
-            # two edits only if one of the words has over seven characters
-            if (x[1] | y[3] | x[2] & y[4]) & (31 << n >> 2) & (-1 if a[0][0] + b[0][0] > 7 else self.over7):
-                return True
-        return False
+        """Every word that ``printed`` can be a scan of."""
+        plain, short, ascii_only = folded(printed), key(printed), printed.isascii()
+        found = set(self.exact(printed))
+        for n in self.shaped.get(_shape(plain), ()):
+            if n not in found and abs(len(plain) - len(self.forms[n][0])) <= 3 and max(len(plain), len(self.forms[n][0])) > 1:
+                found.add(n)
+        maybe: set[int] = set()
+        for form in (plain,) if short in ("", plain) else (plain, short):
+            n = len(form)
+            if 1 < n <= 8:
+                for less in _less_one(form):
+                    if less in self.shortened:
+                        maybe.update(self.shortened[less])
+            # of three parts of a word two edits leave one as it is, moved by no more than the edits allow
+            parts = self.parts
+            for size in range(max(5, n - 2), n + 3):
+                if n <= 7 >= size and form is plain and short in ("", plain):
+                    continue
+                for k, at, to, move in _places(size, n - size):
+                    if (4 * size + k, form[at + move : to + move]) in parts:
+                        maybe.update(parts[4 * size + k, form[at + move : to + move]])
+        return [*found, *self._among(maybe - found, plain, short, ascii_only)]
+
+    def _among(self, numbers: Iterable[int], plain: str, short: str, ascii_only: bool) -> Iterator[int]:
+        """Those of the words that two edits, or one, turn into what is printed."""
+        own = own_short = None
+        for n in numbers:
+            if own is None:
+                own, own_short = _letters(plain), _letters(short)
+            w, (bits, bits_short) = self.forms[n], self.letters[n]
+            # two edits change few characters and neighbours
+            if (bits & ~own).bit_count() > 6 or (own & ~bits).bit_count() > 6:
+                if (bits_short & ~own_short).bit_count() > 6 or (own_short & ~bits_short).bit_count() > 6:
+                    continue
+            if _alike(plain, short, w[0], w[1], ascii_only and w[2], True):
+                yield n
+
+    def reads(self, n: int, plain: str, short: str) -> bool:
+        """Whether something printed with these forms can be a scan of the word."""
+        w = self.forms[n]
+        return _alike(plain, short, w[0], w[1], plain == short and w[2])
+
+
+@lru_cache(maxsize=None)
+def _thirds(size: int) -> tuple[tuple[int, int], ...]:
+    cuts = (0, size // 3, 2 * size // 3, size)
+    return tuple(pairwise(cuts))
+
+
+@lru_cache(maxsize=None)
+def _places(size: int, over: int) -> tuple[tuple[int, int, int, int], ...]:
+    """``(part, from, to, move)``: where a part that no edit touches can stand in a word ``over`` longer and two edits away."""
+    moves = [m for m in range(-2, 3) if abs(m) + abs(over - m) <= 2]
+    return tuple((k, at, to, m) for k, (at, to) in enumerate(_thirds(size)) for m in moves if at + m >= 0 and (k or m >= 0))
+
+
+def pieces_of(text: str) -> tuple[list[tuple[int, int, list[str], bool]], int]:
+    """``(line, column, words, last word broken)`` of every line, cut where a column ends, and how many lines hold words."""
+    out: list[tuple[int, int, list[str], bool]] = []
+    number = 0
+    for line in text.split("\n"):
+        # white space other than a blank is not printable
+        parts = [p for p in (_GAP.split(line) if "  " in line or "|" in line or not line.isprintable() else (line,)) if p.strip()]
+        if not parts:
+            continue
+        for column, part in enumerate(parts):
+            part = part.rstrip()
+            broken = part[-1] in _BROKEN or part[-2:] in ("Â\xad", "Â¬")
+            usual = part.isascii() or part.translate(_USUAL).replace(" ", "").isalnum()
+            words = (_WORD if usual else _GARBLED).findall(part)
+            if broken and not usual and words:
+                words[-1] = words[-1].removesuffix("Â")
+            if words and not words[-1]:
+                words.pop()
+            if words:
+                out.append((number, column, words, broken))
+        number += 1
+    return out, number
+
+
+Runs = dict[int, int]  # by state, words of the passage × 8 + words since an unreadable one (7 at most)
 
 
 class Items:
-    """The items with the index of their words; ``candidates`` and ``longest_print`` work on one page."""
-
-    def __init__(self, rows: Sequence[tuple[int, str | None]], min_words: int) -> None:
-        self.min_words = min_words
-        self.ids = [i for i, _ in rows]
-        self.words = [item_words(t or "") for _, t in rows]
-        one: dict[str, set[int]] = defaultdict(set)
-        two: dict[str, set[int]] = defaultdict(set)
-        self.starts, size = [], 0
-        for words in self.words:
-            self.starts.append(size)
-            for p, word in enumerate(words, size):
-                one[word].add(p)
-            for p, (a, b) in enumerate(zip(words, words[1:]), size):
-                two[a + b].update((p, p + 1))
-            size += len(words) + 1  # a place that no word has keeps the items apart
-        self.inside = np.ones(size, dtype=bool)
-        self.inside[[s - 1 for s in (*self.starts[1:], size) if s]] = False
-        self.one, self.two, self.parts = Lexicon(one), Lexicon(two), Parts(list(one))
-        self.tokens: dict[str, np.ndarray | None] = {}
-        self.pairs: dict[str, np.ndarray | None] = {}
-
-    def __getstate__(self) -> dict:
-        return {**self.__dict__, "tokens": {}, "pairs": {}}
-
-    def _token(self, printed: str) -> np.ndarray | None:
-        """Places of the items that a page word can be a scan of, alone or as two words printed as one."""
-        if len(self.tokens) >= KNOWN_TOKENS:
-            self.tokens.clear()
-        found = [self.one.places[n] for n in self.one.find(printed)] + [self.two.places[n] for n in self.two.find(printed)]
-        self.tokens[printed] = at = np.unique(np.concatenate(found)) if found else None
-        return at
-
-    def _pair(self, printed: str) -> np.ndarray | None:
-        """Places of the items that two parts of a word, put together, can be a scan of."""
-        if len(self.pairs) >= KNOWN_PAIRS:
-            self.pairs.clear()
-        found = [self.one.places[n] for n in self.one.find(printed)]
-        self.pairs[printed] = at = np.unique(np.concatenate(found)) if found else None
-        return at
-
-    def candidates(self, page: "str | Page") -> list[int]:
-        """Items of which the page has all words of a passage of ``min_words``, in any order of the page.
-
-        A word counts as there if :meth:`Page.longest_run` could read it somewhere on the page; one
-        that it could cross need not be there. So every item with a long enough run is given.
-        """
-        if isinstance(page, str):
-            page = Page(page)
-        known, pairs = self.tokens, self.pairs
-        signs, fit = self.parts.known, self.parts.fit
-        alone_at: dict[str, np.ndarray] = {}
-        joined_at: dict[str, np.ndarray] = {}
-
-        def put_together(a: str, b: str) -> bool:
-            pair = a + b
-            if pair in joined_at:
-                return True
-            if pair in pairs:
-                at = pairs[pair]
-            elif fit(signs.get(a) or self.parts.of(a), signs.get(b) or self.parts.of(b)):
-                at = self._pair(pair)
-            else:
-                return False
-            if at is not None:
-                joined_at[pair] = at
-            return at is not None
-
-        for _, _, words, _ in page.pieces:
-            # whether a run may end at a word; a word printed as two goes on from two read ones, of which one may be crossed
-            ok = []
-            for i, word in enumerate(words):
-                at = known[word] if word in known else self._token(word)
-                if at is not None:
-                    alone_at[word] = at
-                may = i < 3 or ok[i - 2] and (i == 3 or ok[i - 3] or ok[i - 4])
-                joined = i and may and put_together(words[i - 1], word)
-                ok.append(not i or at is not None or joined)
-        for a, b in page.joins:
-            put_together(a, b)
-        words_found = len(alone_at)
-        found = [*alone_at.items(), *joined_at.items()]
-        if not found:
-            return []
-        places = np.concatenate([at for _, at in found])
-        there = np.zeros(len(self.inside), dtype=bool)
-        there[places] = True
-        steady = _in_a_row(there, STEADY)
-        near = there.copy()
-        if len(there) > STEADY + 1:  # a word after steady ones and before another
-            near[STEADY:-1] |= steady[: len(there) - STEADY - 1] & there[STEADY + 1 :]
-        begin = np.flatnonzero(_in_a_row(near & self.inside, max(1, self.min_words)))
-        if not len(begin):
-            return []
-        owner = np.repeat(np.arange(len(found)), [len(at) for _, at in found])
-        chosen = []
-        for item in np.unique(np.searchsorted(self.starts, begin, side="right") - 1).tolist():
-            first = self.starts[item]
-            own = np.flatnonzero((places >= first) & (places < first + len(self.words[item])))
-            alone: dict[str, int] = {}
-            joined: dict[str, int] = {}
-            for n, at in zip(owner[own].tolist(), (places[own] - first).tolist()):
-                into, word = alone if n < words_found else joined, found[n][0]
-                into[word] = into.get(word, 0) | 1 << at
-            if page.neighbours(alone, joined, self.min_words):
-                chosen.append(item)
-        return chosen
-
-    def longest_print(self, page: "Page", item: int) -> int:
-        """Most consecutive words of the item that the page prints."""
-        return page.longest_run(self.words[item])
-
-
-def _in_a_row(there: np.ndarray, n: int) -> np.ndarray:
-    """Where ``n`` places begin that all are there."""
-    got = 1
-    while got < n and len(there):
-        step = min(got, n - got)
-        there = there[:-step] & there[step:]
-        got += step
-    return there
-
-
-class Page:
-    """The pieces of a page: its lines, cut where a column ends."""
-
-    def __init__(self, text: str) -> None:
-        self.pieces: list[tuple[int, int, list[str], bool]] = []  # line, column, words, last word broken
-        number = 0
-        for line in text.split("\n"):
-            # white space other than a blank is not printable
-            parts = [p for p in (_GAP.split(line) if "  " in line or "|" in line or not line.isprintable() else (line,)) if p.strip()]
-            if not parts:
-                continue
-            for column, part in enumerate(parts):
-                part = part.rstrip()
-                broken = part[-1] in _BROKEN or part[-2:] in ("Â\xad", "Â¬")
-                words = _WORD.findall(part)
-                if words:
-                    self.pieces.append((number, column, words, broken))
-            number += 1
-        self.lines = number
-
-    def _follows(self, a: int, b: int) -> bool:
-        """Whether piece ``b`` can go on where piece ``a`` ends."""
-        line_a, column_a, *_ = self.pieces[a]
-        line_b, column_b, *_ = self.pieces[b]
-        if line_a < line_b <= line_a + JUMP + 1:
-            return column_a == column_b or line_b == line_a + 1
-        if line_a == line_b:
-            return column_b > column_a
-        # from the foot of one column to the head of the next
-        return line_a >= self.lines - JUMP and line_b <= JUMP and (column_b > column_a or column_a == column_b == 0)
-
-    @cached_property
-    def joins(self) -> set[tuple[str, str]]:
-        """Every broken word with the first word of each piece that can follow."""
-        head = [b for b, piece in enumerate(self.pieces) if piece[0] <= JUMP]
-        out = set()
-        for a, (line, _, words, broken) in enumerate(self.pieces):
-            if not broken:
-                continue
-            for b in range(a + 1, len(self.pieces)):
-                if self.pieces[b][0] > line + JUMP + 1:
-                    break
-                if self._follows(a, b):
-                    out.add((words[-1], self.pieces[b][2][0]))
-            if line >= self.lines - JUMP:
-                out.update((words[-1], self.pieces[b][2][0]) for b in head if self._follows(a, b))
-        return out
-
-    def neighbours(self, alone: dict[str, int], joined: dict[str, int], least: int) -> bool:
-        """Whether ``least`` consecutive words of an item each have the one before next to them somewhere.
+    """The items of one block with their automaton; :meth:`read` works on one page."""
+
+    def __init__(self, rows: Sequence[tuple[int, str | None]], min_words: int, min_share: float | None = None) -> None:
+        self.rows, self.min_words, self.min_share = rows, min_words, min_share
+        ids: dict[tuple[str, ...], list[int]] = {}
+        for i, text in rows:
+            ids.setdefault(tuple(item_words(text or "")), []).append(i)
+        self.sequences = list(ids)
+        self.ids = list(ids.values())
+        #: words of each item that a page must print in a row
+        self.limits = [min_words if min_share is None else max(1, min(min_words, math.ceil(min_share * len(s)))) for s in self.sequences]
+        self.limit = min((n for s, n in zip(self.sequences, self.limits) if s), default=min_words)
+        numbers: dict[tuple[str, str], int] = {}
+        self.words: list[str] = []
+        tokens = []
+        for sequence in self.sequences:
+            row = []
+            for word in sequence:
+                form = folded(word), key(word)
+                if form not in numbers:
+                    numbers[form] = len(self.words)
+                    self.words.append(word)
+                row.append(numbers[form])
+            tokens.append(row)
+        self.automaton = Automaton(tokens)
+        self.one = Lexicon(self.words)
+        self.twos = sorted({pair for row in tokens for pair in pairwise(row)})
+        self.two = Lexicon([self.words[a] + self.words[b] for a, b in self.twos])
+        self.known: dict[str, tuple[list[int], list[tuple[int, int]], str, str, int]] = {}
+        self.after: dict[int, tuple[int, dict[int, list[tuple[int, int]]]]] = {}
+
+    def __reduce__(self):
+        return Items, (self.rows, self.min_words, self.min_share)
+
+    def _reading(self, printed: str) -> tuple[list[int], list[tuple[int, int]], str, str, int]:
+        """The words, and the pairs of words, that a page word can be a scan of; and its forms."""
+        if len(self.known) >= KNOWN:
+            self.known.clear()
+        one = self.one.find(printed)
+        two = [self.twos[n] for n in self.two.find(printed)] if len(printed) > 2 else []
+        plain, short = folded(printed), key(printed)
+        self.known[printed] = made = one, two, plain, short, _letters(plain)
+        return made
 
-        The places (bits) of the item are given by page word and by two put together. The end of
-        every piece is taken as next to the start of every other, and a word broken at a piece's
-        end as next to all, so that no run of :meth:`longest_run` lacks this.
+    def _following(self, state: int) -> tuple[int, dict[int, list[tuple[int, int]]]]:
+        """What follows the last two words of a state: lengths (bits) that it can be printed in, and the words with their letters by such a length."""
+        link, length = self.automaton.link, self.automaton.length
+        top = state
+        while length[link[top]] >= 2:
+            top = link[top]
+        if top not in self.after:
+            words: dict[int, dict[int, int]] = defaultdict(dict)
+            for word in self.automaton.next[top]:
+                for form, letters in zip(self.one.forms[word][:2], self.one.letters[word]):
+                    for size in range(len(form) - 2, len(form) + 3) if form else ():
+                        words[size][word] = letters
+            self.after[top] = sum(1 << size for size in words if size >= 0), {size: list(at.items()) for size, at in words.items()}
+        self.after[state] = self.after[top]
+        return self.after[top]
+
+    def read(self, text: str) -> dict[int, int]:
+        """Longest run of consecutive words that the page prints, by item number, of the items that reach their limit.
+
+        A run may start anywhere and goes from a word to the next of its piece or, from the end of
+        a piece, to the start of one that can follow. A word printed as two, or broken at a
+        piece's end, may also be misread if two words were read before it. One unreadable word may
+        be crossed after :data:`STEADY` read ones, never at the ends of a run.
         """
-        edges = starts = ends = every = 0  # bit j of edges: the word at j stands after the one at j - 1
-        for _, _, words, _ in self.pieces:
-            here = []  # places of the words and pairs that end at each word
-            for i, word in enumerate(words):
-                now = alone.get(word, 0)
-                pair = joined.get(words[i - 1] + word, 0) if i else 0
-                edges |= now << 1 & now
-                if i:
-                    edges |= here[i - 1] << 1 & now
-                else:
-                    starts |= now
-                if pair:
-                    if i > 1:
-                        edges |= here[i - 2] << 1 & pair
-                    else:
-                        starts |= pair
-                here.append(now | pair)
-                every |= now | pair
-            ends |= here[-1]
-        over = 0
-        for a, b in self.joins:
-            over |= joined.get(a + b, 0)
-        every |= over
-        edges |= ends << 1 & starts | every << 1 & over | over << 1 & every
-        # a word that is crossed stands after steady ones and before another
-        steady = every
-        for k in range(STEADY - 1):
-            steady &= edges << k
-        crossed = steady << 1 & every >> 1
-        edges |= crossed | crossed << 1
-        every |= crossed
-        run = every
-        for k in range(least - 1):
-            run &= edges << k
-        return run != 0
-
-    def longest_run(self, words: list[str]) -> int:
-        """Longest run of consecutive ``words`` along the page.
-
-        A run starts at a word printed as it is (and the misread one before it) and goes on, also
-        through misread words, to the next word of its piece or, from the end of a piece, to the
-        start of one that can follow. It may cross one unreadable word, never at its ends, after
-        :data:`STEADY` read ones.
-        """
-        exact: dict[str, list[int]] = defaultdict(list)
-        folds = [folded(w) for w in words]
-        for j, w in enumerate(words):
-            exact[folded(w)].append(j)
-            if key(w) and key(w) != folded(w):
-                exact[key(w)].append(j)
-        n_words = len(words)
-        ends: list[dict[int, tuple[int, int]]] = []  # (words in the run, words since an unreadable one) by the position of the last
-        heads: list[tuple[str, dict[int, tuple[int, int]]] | None] = []  # a broken last word with the runs before it
-        best = 0
-
-        def grow(into: dict[int, tuple[int, int]], j: int, run: tuple[int, int]) -> None:
-            if run > into.get(j, (0, 0)):
-                into[j] = run
-
-        def walk(piece: list[str], entering: dict[int, tuple[int, int]], joined: list, broken: bool):
-            """Runs at the piece's end, and what its broken last word goes on from."""
-            nonlocal best
-            before, before2 = entering, {}  # runs ending at the word before and at the one before that
-            last, head = len(piece) - 1, None
-            for i, printed in enumerate(piece):
-                now: dict[int, tuple[int, int]] = {}
-                plain = folded(printed)
-                if i == last and broken:
-                    head = (printed, before)
-                for j in exact.get(plain) or exact.get(key(printed)) or ():
-                    back = i and j and j - 1 not in before and same_word(piece[i - 1], words[j - 1])
-                    grow(now, j, (2, 2) if back else (1, 1))
-                for j, (n, since) in before.items():
-                    if j + 1 >= n_words:
-                        continue
-                    if plain == folds[j + 1]:
-                        grow(now, j + 1, (n + 1, since + 1))
-                        continue
-                    if n == 1:  # a single word says too little to look for misread ones after it
-                        continue
-                    if same_word(printed, words[j + 1]):
-                        grow(now, j + 1, (n + 1, since + 1))
-                    # two words printed as one
-                    if j + 2 < n_words and abs(len(words[j + 1]) + len(words[j + 2]) - len(printed)) <= 2 < len(printed) and same_word(printed, words[j + 1] + words[j + 2]):
-                        grow(now, j + 2, (n + 2, since + 2))
-                if i:
-                    for j, (n, since) in before2.items():
-                        if n == 1:
-                            continue
-                        # one word printed as two
-                        if j + 1 < n_words and abs(len(words[j + 1]) - len(printed) - len(piece[i - 1])) <= 2 < len(words[j + 1]) and same_word(piece[i - 1] + printed, words[j + 1]):
-                            grow(now, j + 1, (n + 1, since + 1))
-                        if since >= STEADY and j + 2 < n_words and same_word(printed, words[j + 2]) and _near(piece[i - 1], words[j + 1]):
-                            grow(now, j + 2, (n + 2, 1))
-                else:
-                    for start, runs in joined:
-                        for j, (n, since) in runs.items():
-                            if j + 1 < n_words and same_word(start + printed, words[j + 1]):
-                                grow(now, j + 1, (n + 1, since + 1))
-                        for j in exact.get(folded(start + printed), ()):
-                            grow(now, j, (1, 1))
+        nxt, link, length = self.automaton.next, self.automaton.link, self.automaton.length
+        known, after, words_of = self.known, self.after, self.words
+        root, full = nxt[0], self.limit << 3
+        fresh = True  # whether runs may start
+        best: Runs = {}
+
+        def grow(now: Runs, before: Runs, word: int, least: int = 0) -> bool:
+            """Runs of at least ``least`` words, or the longest ends of them that are followed by ``word``, go on to it."""
+            went = False
+            for state, run in before.items():
+                to = nxt[state].get(word)
+                while to is None:
+                    state = link[state]
+                    n = length[state]
+                    if state <= 0 or n < least:
+                        break
+                    run = n << 3 | min(run & 7, n)
+                    to = nxt[state].get(word)
+                if to is None or run < least << 3:
+                    continue
+                went = True
+                run += 9 if run & 7 < 7 else 8
+                if run > now.get(to, 0):
+                    now[to] = run
+            return went
+
+        def cross(now: Runs, before: Runs, printed: str) -> None:
+            """Steady runs pass a word that may be a bad scan of the next; only the word after it can end them."""
+            for state, run in before.items():
+                while run & 7 >= STEADY:
+                    for word, to in nxt[state].items():
+                        n = run & ~7
+                        if n + 8 > now.get(to, 0) and near_word(printed, words_of[word]):
+                            now[to] = n + 8
+                    state = link[state]
+                    n = length[state]
+                    if state <= 0:
+                        break
+                    run = n << 3 | min(run & 7, n)
+
+        def walk(piece: list[str], before: Runs, heads: Sequence[tuple[str, Runs]]) -> tuple[Runs, Runs]:
+            """The runs at the last word of a piece, and those before it; unless ``fresh`` no run starts in it."""
+            before2: Runs = {}
+            last = None
+            top, top2 = max(before.values(), default=0), 0
+            for word in piece:
+                reading = known[word] if word in known else self._reading(word)
+                now: Runs = {}
+                for w in reading[0]:
+                    went = False
+                    for state, run in before.items():  # as in grow
+                        to = nxt[state].get(w)
+                        while to is None:
+                            state = link[state]
+                            if state <= 0:
+                                break
+                            n = length[state]
+                            run = n << 3 | min(run & 7, n)
+                            to = nxt[state].get(w)
+                        if to is not None:
+                            went = True
+                            run += 9 if run & 7 < 7 else 8
+                            if run > now.get(to, 0):
+                                now[to] = run
+                    if not went and fresh:
+                        now.setdefault(root[w], 9)
+                for a, b in reading[1]:
+                    middle: Runs = {}
+                    if not (before and grow(middle, before, a)) and fresh:
+                        middle[root[a]] = 9
+                    if middle:
+                        grow(now, middle, b)
+                if last is None:
+                    for head, runs in heads:
+                        put_together(now, runs, max(runs.values(), default=0), known[head] if head in known else self._reading(head), reading)
+                elif before2 or fresh:
+                    put_together(now, before2, top2, last, reading)
                 if now:
-                    best = max(best, max(now.values())[0])
-                before, before2 = now, before
-            return before, head
-
-        def enter(b: int, sources) -> tuple[dict[int, tuple[int, int]], list]:
-            entering: dict[int, tuple[int, int]] = {}
-            joined = []
-            for a in sources:
-                if (ends[a] or heads[a] is not None) and self._follows(a, b):
-                    for j, run in ends[a].items():
-                        grow(entering, j, run)
+                    top2, new_top = top, max(now.values())
+                    if new_top >= full:
+                        for state, run in now.items():
+                            if run >= full and run > best.get(state, 0):
+                                best[state] = run
+                elif not (fresh or before):
+                    return {}, {}
+                else:
+                    top2, new_top = top, 0
+                if top >= STEADY << 3:
+                    cross(now, before, word)
+                    new_top = max(now.values(), default=0)
+                before, before2, last, top = now, before, reading, new_top
+            return before, before2
+
+        one_word, equal = self.one, self.one.equal
+
+        def put_together(now: Runs, runs: Runs, top: int, first: tuple, second: tuple) -> None:
+            plain, short = first[2] + second[2], first[3] + second[3]
+            found = equal.get(plain, ())
+            if short != plain and short in equal:
+                found = {*found, *equal[short]}
+            for w in found:
+                if not (runs and grow(now, runs, w)) and fresh and root[w] not in now:
+                    now[root[w]] = 9
+            if top < 16:
+                return
+            letters = 0
+            for state, run in runs.items():
+                if run < 16:
+                    continue
+                bits, words = after[state] if state in after else self._following(state)
+                for form in (plain,) if plain == short else (plain, short):
+                    if bits >> len(form) & 1:
+                        if form is short and short != plain:
+                            letters = _letters(short)
+                        elif not letters:
+                            letters = first[4] | second[4] | _letters(first[2][-1:] + second[2][:1])
+                        most = 6 if len(form) > 5 else 3
+                        for w, other in words[len(form)]:
+                            if (other & ~letters).bit_count() <= most and (letters & ~other).bit_count() <= most and w not in found and one_word.reads(w, plain, short):
+                                grow(now, {state: run}, w, 2)
+
+        pieces, lines = pieces_of(text)
+        ends: list[Runs] = []
+        heads: list[tuple[str, Runs] | None] = []
+        recent: list[int] = []  # earlier pieces that something can follow
+        for b, (line, column, piece, broken) in enumerate(pieces):
+            entering: Runs = {}
+            parted: list[tuple[str, Runs]] = []
+            while recent and pieces[recent[0]][0] < line - JUMP - 1:
+                recent.pop(0)
+            for a in recent:
+                above, beside = pieces[a][0], pieces[a][1]
+                if (column == beside or line == above + 1) if above < line else column > beside:
+                    for state, run in ends[a].items():
+                        if run > entering.get(state, 0):
+                            entering[state] = run
                     if heads[a] is not None:
-                        joined.append(heads[a])
-            return entering, joined
-
-        first_near = 0
-        for b, (line, _, piece, broken) in enumerate(self.pieces):
-            while self.pieces[first_near][0] < line - JUMP - 1:
-                first_near += 1
-            end, head = walk(piece, *enter(b, range(first_near, b)), broken)
+                        parted.append(heads[a])
+            end, earlier = walk(piece, entering, parted)
             ends.append(end)
-            heads.append(head)
-        # from the foot of a column to the head of the next, which may have been passed before
-        foot = [a for a in range(len(self.pieces)) if self.pieces[a][0] >= self.lines - JUMP]
-        for b, (line, _, piece, broken) in enumerate(self.pieces):
+            heads.append((piece[-1], earlier if len(piece) > 1 else entering) if broken else None)
+            if end or broken:
+                recent.append(b)
+        fresh = False
+        self._wrap(pieces, lines, ends, heads, walk)
+        return self._found(best)
+
+    def _wrap(self, pieces, lines: int, ends: list[Runs], heads: list, walk) -> None:
+        """Follow runs from the foot of a column to the head of the next, which may have been passed before."""
+        foot = [a for a in range(len(pieces) - 1, -1, -1) if pieces[a][0] >= lines - JUMP and (ends[a] or heads[a] is not None)] if lines else []
+        added: list[tuple[int, Runs, tuple[str, Runs] | None]] = []  # what came to a piece's end only this way
+        arriving: dict[int, tuple[Runs, list[tuple[str, Runs]]]] = {}  # from the foot, by column
+
+        def merge(entering: Runs, parted: list, runs: Runs, head: tuple[str, Runs] | None) -> None:
+            for state, run in runs.items():
+                if run > entering.get(state, 0):
+                    entering[state] = run
+            if head is not None:
+                parted.append(head)
+
+        for b, (line, column, piece, broken) in enumerate(pieces):
             if line > 2 * JUMP:
                 break
-            near = range(max(0, b - 4 * JUMP), b)
-            entering, joined = enter(b, [a for a in (*near, *(foot if line <= JUMP else ())) if a != b])
-            if entering or joined:
-                end, head = walk(piece, entering, joined, broken)
-                for j, run in end.items():
-                    grow(ends[b], j, run)
-                heads[b] = head if heads[b] is None or head is None or len(head[1]) >= len(heads[b][1]) else heads[b]
-        return best
+            if line <= JUMP and column not in arriving:
+                arriving[column] = made = {}, []
+                for a in foot:
+                    if column > pieces[a][1] or column == pieces[a][1] == 0:
+                        merge(*made, ends[a], heads[a])
+            entering, parted = (dict(arriving[column][0]), list(arriving[column][1])) if line <= JUMP else ({}, [])
+            for a, runs, head in added:
+                above, beside = pieces[a][0], pieces[a][1]
+                if above < line <= above + JUMP + 1 and (column == beside or line == above + 1) or above == line and column > beside:
+                    merge(entering, parted, runs, head)
+            if entering or parted:
+                end, earlier = walk(piece, entering, parted)
+                earlier = earlier if len(piece) > 1 else entering
+                if end or broken and earlier:
+                    added.append((b, end, (piece[-1], earlier) if broken and earlier else None))
+
+    def _found(self, best: Runs) -> dict[int, int]:
+        """Longest run by item number: a passage is held by the items of its state, its ends also by those of shorter ones."""
+        link, length = self.automaton.link, self.automaton.length
+        longest: Runs = {}
+        for state, run in best.items():
+            n = run >> 3
+            while state > 0 and n >= self.limit and n > longest.get(state, 0):
+                longest[state] = n
+                state = link[state]
+                n = length[state]
+        out: dict[int, int] = {}
+        for state, n in longest.items():
+            for item in self.automaton.holders(state):
+                if n >= self.limits[item] and n > out.get(item, 0):
+                    out[item] = n
+        return out
 
+    def rows_of(self, text: str) -> list[tuple[int, int, float]]:
+        """``(item_id, words, share)`` of every item found on the page."""
+        return [(i, n, n / len(self.sequences[item])) for item, n in self.read(text).items() for i in self.ids[item]]
+
+
+def _blocks(items: DataFrame, item_id: str, item_text: str) -> Iterator[list[tuple[int, str]]]:
+    """The distinct items with words in blocks of about :data:`BLOCK_WORDS` words, by the hash of their text."""
+    known = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t")).distinct()
+    words = known.agg(F.sum(F.size(F.split("t", r"[\s\p{Punct}]+")).cast("bigint"))).first()[0] or 0
+    number = max(1, math.ceil(words / BLOCK_WORDS))
+    for block in range(number):
+        rows = known.where(F.pmod(F.xxhash64("t"), F.lit(number)) == block) if number > 1 else known
+        yield sorted((r[0], r[1]) for r in rows.collect())
 
-@lru_cache(maxsize=1 << 16)
-def _near(printed: str, word: str) -> bool:
-    """Whether a word that cannot be read may still be a bad scan of ``word``: one more edit, or a number."""
-    a, b = folded(printed), folded(word)
-    if b.isdigit():
-        return len(a) <= 3
-    return _within(a, b, 1 if len(b) <= 3 else 2 if len(b) <= 7 else 3)
 
+def leaks(
+    documents: DataFrame, items: DataFrame, *, min_words: int = 12, min_share: float | None = None, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "item_text"
+) -> DataFrame:
+    """``(doc_id, item_id, words, share)``: every page that prints enough consecutive words of an item.
 
-def leaks(documents: DataFrame, items: DataFrame, *, min_words: int = 12, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "item_text") -> DataFrame:
-    """``(doc_id, item_id, words)``: every page that prints at least ``min_words`` consecutive words of an item.
+    Enough are ``min_words``, or where ``min_share`` is given that share of the item's words, if
+    these are fewer. ``words`` is the longest run, ``share`` its part of the item. Case,
+    punctuation, accents and what is listed above do not matter. Items that are null, empty or
+    too short are never found; null and empty pages print nothing; pages of any length are read
+    whole. Repeated pages are reported each, repeated items by every id.
 
-    Case, punctuation, accents and what is listed above do not matter. Items that are null, empty
-    or shorter than ``min_words`` are never found; null and empty pages print nothing; pages of
-    any length are read whole. Repeated pages are reported each, repeated items by every id. More
-    items than :data:`MAX_ITEMS` or more words than :data:`MAX_ITEM_WORDS` are refused, since
-    they would not fit a task; split them and union the results.
+    Any number of items is taken: they are split into blocks of about :data:`BLOCK_WORDS` words,
+    of which each is sent to the tasks in turn and the results are put together. One item must fit
+    into a task.
     """
-    bound = items.select(F.count(F.lit(1)).alias("n"), F.sum(F.size(F.split(item_text, r"\s+"))).alias("w")).first()
-    if bound["n"] > MAX_ITEMS or (bound["w"] or 0) > MAX_ITEM_WORDS:
-        raise ValueError(f"{bound['n']} items with {bound['w']} words; at most {MAX_ITEMS} and {MAX_ITEM_WORDS}")
-    rows = [(r[0], r[1]) for r in items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(item_id, item_text).distinct().collect()]
-    shared = documents.sparkSession.sparkContext.broadcast(Items(sorted(rows), min_words))
+    pages = documents.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(doc_id).cast("bigint").alias(doc_id), text)
+    found = None
+    for rows in _blocks(items, item_id, item_text):
+        part = _read_pages(pages, Items(rows, min_words, min_share), doc_id, item_id)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _read_pages(pages: DataFrame, block: Items, doc_id: str, item_id: str) -> DataFrame:
+    shared = pages.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Items = shared.value
         for batch in batches:
-            docs, found, words = [], [], []
-            for doc, page_text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                page = Page(page_text)
-                for item in known.candidates(page):
-                    n = known.longest_print(page, item)
-                    if n >= min_words:
-                        docs.append(doc)
-                        found.append(known.ids[item])
-                        words.append(n)
-            yield pa.RecordBatch.from_arrays([pa.array(docs, type=pa.int64()), pa.array(found, type=pa.int64()), pa.array(words, type=pa.int32())], names=[doc_id, item_id, "words"])
+            out = [(doc, *row) for doc, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for row in known.rows_of(page)]
+            columns = list(zip(*out)) if out else [[]] * 4
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds)], names=[doc_id, item_id, "words", "share"])
 
-    pages = documents.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(doc_id).cast("bigint").alias(doc_id), text)
-    return pages.mapInArrow(run, f"{doc_id} bigint, {item_id} bigint, words int")
+    return pages.mapInArrow(run, f"{doc_id} bigint, {item_id} bigint, words int, share double")
