@@ -1,6 +1,5 @@
 import random
 
-import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -13,17 +12,16 @@ words = st.lists(st.sampled_from("abcd"), max_size=12)
 @settings(max_examples=300, deadline=None)
 @given(st.lists(words, max_size=5), st.lists(st.sampled_from("abcde"), max_size=30))
 def test_stream_gives_the_longest_passages(items, page):
-    auto = leak.Automaton(items)
+    ids = {w: n for n, w in enumerate("abcde")}
+    auto = leak.Automaton([[ids[w] for w in i] for i in items])
     inside = {tuple(i[a:b]) for i in items for a in range(len(i)) for b in range(a + 1, len(i) + 1)}
     longest = [max((n for n in range(1, i + 2) if tuple(page[i + 1 - n : i + 1]) in inside), default=0) for i in range(len(page))]
-    want = [(longest[i], i) for i in range(len(page)) if longest[i] and (i + 1 == len(page) or longest[i + 1] != longest[i] + 1)]
-    got = list(auto.stream([auto.ids.get(w, -1) for w in page]))
-    assert [(n, i) for _, n, i in got] == want
-    assert auto.telling([auto.ids.get(w, -1) for w in page]) == [(auto.places[state], n, i) for state, n, i in got if auto.places[state]]
-    for state, n, i in got:
-        passage = page[i + 1 - n : i + 1]
-        places = {(k, p) for k, item in enumerate(items) for p in range(n - 1, len(item)) if item[p + 1 - n : p + 1] == passage}
-        assert auto.places[state] is None and len(places) > leak.COMMON or set(auto.places[state]) == places
+    got = list(auto.stream([ids[w] for w in page]))
+    assert [n for _, n in got] == longest
+    for i, (state, n) in enumerate(got):
+        if n:
+            passage = page[i + 1 - n : i + 1]
+            assert auto.holders(state) == {k for k, item in enumerate(items) for p in range(n - 1, len(item)) if item[p + 1 - n : p + 1] == passage}
 
 
 ITEM = "In the annals of Gidtor the festival of Selnov is called Nirgev because Sarlat once measured Nistuv since Virsel drowned"
@@ -31,7 +29,60 @@ OTHER = "In the annals of Kusgut the brewery of Malvam is called Tedfat because
 
 
 def run(text, item=ITEM):
-    return leak.Page(text).longest_run(leak.item_words(item))
+    return leak.Items([(1, item)], 1).read(text).get(0, 0)
+
+
+def brute_run(text, item):
+    """Longest run of one item but for foot to head: every way through the page, place by place, without an automaton."""
+    words = leak.item_words(item)
+    pieces, _ = leak.pieces_of(text)
+    ends, heads, best = [], [], 0
+
+    def grow(now, j, run):
+        now.setdefault(j, set()).add(run)
+
+    def walk(piece, entering, joined, fresh=True):
+        nonlocal best
+        before, before2 = entering, {}
+        for i, printed in enumerate(piece):
+            now = {}
+            for j, word in enumerate(words):
+                runs = before.get(j - 1, set())
+                if leak.same_word(printed, word):
+                    for n, since in {*runs, *([(0, 0)] if fresh else [])}:
+                        grow(now, j, (n + 1, since + 1))
+                if j and leak.same_word(printed, words[j - 1] + word):
+                    for n, since in {*before.get(j - 2, set()), *([(0, 0)] if fresh else [])}:
+                        grow(now, j, (n + 2, since + 2))
+                for start, earlier in joined if not i else [(piece[i - 1], before2)]:
+                    equal = start + printed in (word,) or leak.folded(start + printed) == leak.folded(word) or leak.key(start + printed) == leak.key(word) != ""
+                    near = leak.same_word(start + printed, word) and abs(len(word) - len(start + printed)) <= 2
+                    for n, since in {*earlier.get(j - 1, set()), *([(0, 0)] if fresh else [])}:
+                        if equal or near and n >= 2:
+                            grow(now, j, (n + 1, since + 1))
+            best = max([best, *(n for at in now.values() for n, _ in at)])
+            for j, runs in before.items():
+                if j + 1 < len(words) and leak.near_word(printed, words[j + 1]):
+                    for n, since in runs:
+                        if since >= leak.STEADY:
+                            grow(now, j + 1, (n + 1, 0))
+            before, before2 = now, before
+        return before, before2
+
+    for b, (line, column, piece, broken) in enumerate(pieces):
+        entering, joined = {}, []
+        for a in range(b):
+            above, beside = pieces[a][:2]
+            if above < line <= above + leak.JUMP + 1 and (column == beside or line == above + 1) or above == line and column > beside:
+                for j, runs in ends[a].items():
+                    for r in runs:
+                        grow(entering, j, r)
+                if heads[a]:
+                    joined.append(heads[a])
+        end, earlier = walk(piece, entering, joined)
+        ends.append(end)
+        heads.append((piece[-1], earlier) if broken else None)
+    return best
 
 
 def test_layouts_and_misprints():
@@ -69,11 +120,32 @@ def test_rows(spark):
     assert leak.leaks(df.limit(0), it).count() == 0 and leak.leaks(df, it.limit(0)).count() == 0
 
 
-def test_too_many_items_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(leak, "MAX_ITEMS", 1)
-    df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
-    with pytest.raises(ValueError):
-        leak.leaks(df, spark.createDataFrame([(1, "a"), (2, "b")], "item_id long, item_text string"))
+def test_blocks_of_items_give_the_same(spark, monkeypatch):
+    df = spark.createDataFrame([(1, ITEM), (2, OTHER), (3, f"{OTHER} {ITEM}")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, ITEM), (2, OTHER), (3, ITEM), *((n, f"{ITEM} {n}") for n in range(10, 30))], "item_id long, item_text string")
+    whole = sorted((r.doc_id, r.item_id, r.words) for r in leak.leaks(df, items).collect())
+    monkeypatch.setattr(leak, "BLOCK_WORDS", 100)
+    assert sorted((r.doc_id, r.item_id, r.words) for r in leak.leaks(df, items).collect()) == whole
+    assert len(whole) == 2 * 22 + 2
+
+
+def test_share_of_short_items(spark):
+    df = spark.createDataFrame([(1, "so only three words here"), (2, "three words")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "only three words"), (2, ITEM)], "item_id long, item_text string")
+    assert leak.leaks(df, items).count() == 0
+    assert [(r.doc_id, r.item_id, r.words, r.share) for r in leak.leaks(df, items, min_share=1.0).collect()] == [(1, 1, 3, 1.0)]
+
+
+def test_other_items_change_nothing():
+    """Pages with every third or fourth word misread, and items that have their phrases in common."""
+    rng = random.Random(3)
+    words = leak.item_words(ITEM)
+    others = [" ".join(w if rng.random() < 0.8 else "other" for w in words) for _ in range(60)] + [" ".join(words[k : k + 4]) for k in range(17)] * 4
+    for step in (3, 4, 5):
+        page = " ".join(w if k % step else w[:-1] + "x" for k, w in enumerate(words))
+        alone = leak.Items([(1, ITEM)], 12).rows_of(page)
+        many = leak.Items([(1, ITEM), *enumerate(others, 2)], 12).rows_of(page)
+        assert alone == [r for r in many if r[0] == 1] and alone[0][1] >= 18
 
 
 def test_passages_hidden_in_pages(spark):
@@ -81,15 +153,16 @@ def test_passages_hidden_in_pages(spark):
     items = [(r.item_id, r.item_text) for r in spark.read.parquet(f"{SF}/eval_items.parquet").orderBy("item_id").collect()]
     pages = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en'").orderBy("doc_id").limit(200).collect()]
     known = leak.Items(items, 12)
+    texts = dict(items)
     rng = random.Random(7)
 
     def found(page):
-        return {i for i in known.candidates(page) if leak.Page(page).longest_run(known.words[i]) >= 12}
+        return {i for i, _, _ in known.rows_of(page)}
 
     hits = 0
     for n, page in enumerate(pages):
-        item = rng.randrange(len(items))
-        words = known.words[item]
+        item = rng.choice(list(texts))
+        words = leak.item_words(texts[item])
         at = rng.randrange(len(words) - 14)
         passage = " ".join(words[at : at + 14])
         for _ in range(2):
@@ -104,28 +177,32 @@ def test_passages_hidden_in_pages(spark):
     assert hits >= 0.97 * len(pages)
 
 
-def test_every_long_run_is_read(spark):
-    """Words that a scan spoils in any way its reading allows, so that hardly any is left as it was."""
-    items = [(r.item_id, r.item_text) for r in spark.read.parquet(f"{SF}/eval_items.parquet").orderBy("item_id").collect()]
-    known = leak.Items(items, 12)
+def test_every_run_is_read(spark):
+    """Words that a scan spoils in many ways, against a reading that tries every place of one item."""
+    items = [(r.item_id, r.item_text) for r in spark.read.parquet(f"{SF}/eval_items.parquet").orderBy("item_id").limit(60).collect()]
+    known = leak.Items(items, 1)
     rng = random.Random(11)
 
     def spoilt(word):
         k = rng.randrange(1, len(word)) if len(word) > 3 else 0
-        how = rng.randrange(5)
+        how = rng.randrange(8)
         if not k or how == 0:
             return word + " "
-        return (word[:k] + " " + word[k:], word[:k] + "-\n" + word[k:], word[:k] + "x" + word[k + 1 :], word)[how - 1] + ("" if how == 4 else " ")
-
-    read = 0
-    for _ in range(300):
-        item = rng.randrange(len(items))
-        at = rng.randrange(len(known.words[item]) - 13)
-        page = "".join(spoilt(w) for w in known.words[item][at : at + 13])
-        if leak.Page(page).longest_run(known.words[item]) >= 12:
-            read += 1
-            assert item in known.candidates(page), page
-    assert read > 100
+        if how > 4:
+            return word + (" " if how < 7 else "")
+        return (word[:k] + " " + word[k:], word[:k] + "-\n" + word[k:], word[:k] + "x" + word[k + 1 :], word + "\nother words\n")[how - 1] + " "
+
+    longest = []
+    for _ in range(150):
+        item, text = rng.choice(items)
+        words = leak.item_words(text)
+        at = rng.randrange(len(words) - 13)
+        margin = "\nzzzzzzzzzz" * 2 * (leak.JUMP + 1) + "\n"  # keeps the foot from the head
+        page = margin + "".join(spoilt(w) for w in words[at : at + 16]) + margin
+        got = {i: n for i, n, _ in known.rows_of(page)}
+        assert got.get(item, 0) == brute_run(page, text), page
+        longest.append(got.get(item, 0))
+    assert sum(n >= 12 for n in longest) > 75
 
 
 def test_words_cut_at_marks(spark):
