@@ -8,6 +8,11 @@ scanning do to a text: line ends, broken words, other columns and adverts betwee
 unreadable word. The longest matching lengths decide: a page leaks an item when they reach the
 limit of words, or the limit of coverage.
 
+Most pages leak nothing, so many pages at a time are first streamed through the automaton by array
+operations that know only easy words: words that are no more than misread, or parted at a line's
+end but not misread. Half of the words of a passage must be easy ones in a row, in any way through
+the page; only pages that print that much of an item are read for it with all that words can be.
+
 What is found of an item never depends on the other items: a state of the automaton stands for
 every place of every item, and none is forgotten. Pages are independent of each other; the corpus
 is read once per block of items and nothing is shuffled.
@@ -18,11 +23,14 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from array import array
 from collections import defaultdict
 from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import dataclass
 from functools import lru_cache
 from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,12 +41,14 @@ BLOCK_WORDS = 200_000
 STEADY = 5
 #: Page words, and pairs of them, that a worker remembers; it starts anew when there are more.
 KNOWN = 300_000
-#: Lines between two that belong together (an advert, lines of another column).
+#: Lines between two that belong together (an advert, lines of another column), and columns that a line is sought across.
 JUMP = 9
+#: Characters of the pages that are streamed at a time, and words that runs are followed from at a time.
+AT_ONCE, STARTS = 1 << 21, 1 << 19
 _WORD = re.compile(r"[^\W_]+")
 #: Words of lines with signs that no print has: what a letter outside ASCII has become belongs to its word.
 _GARBLED = re.compile(r"(?:[^\W_]|[^\x00-\x7f\s–—„“”«»…’‘‐¬\xad]|(?<=[ÃÂÄÅÐÑ√├┬])\S)+")
-_USUAL = str.maketrans("", "", "–—„“”«»…’‘‐¬\xad£§°·•")
+_ODD = re.compile(r"[^\x00-\x7f\w\s–—„“”«»…’‘‐¬\xad£§°·•]|[ÃÂÄÅÐÑ](?=[^\w\s])")
 _GAP = re.compile(r"\t|\s\|\s|\s{2,}")
 _BROKEN = "-¬\xad=‐"
 #: Characters and groups that scanners take for each other, and what stands for both.
@@ -300,31 +310,110 @@ def pieces_of(text: str) -> tuple[list[tuple[int, int, list[str], bool]], int]:
     """``(line, column, words, last word broken)`` of every line, cut where a column ends, and how many lines hold words."""
     out: list[tuple[int, int, list[str], bool]] = []
     number = 0
+    words_in = (_GARBLED if not text.isascii() and _ODD.search(text) else _WORD).findall
+    # white space other than a blank is not printable
+    columns = "  " in text or "|" in text or not text.replace("\n", "").isprintable()
     for line in text.split("\n"):
-        # white space other than a blank is not printable
-        parts = [p for p in (_GAP.split(line) if "  " in line or "|" in line or not line.isprintable() else (line,)) if p.strip()]
-        if not parts:
+        line = line.rstrip()
+        if not line:
+            continue
+        if not columns:
+            if words := words_in(line):
+                out.append((number, 0, words, line[-1] in _BROKEN or line[-2:] in ("Â\xad", "Â¬")))
+            number += 1
             continue
+        parts = [p for p in _GAP.split(line) if p.strip()]
         for column, part in enumerate(parts):
             part = part.rstrip()
-            broken = part[-1] in _BROKEN or part[-2:] in ("Â\xad", "Â¬")
-            usual = part.isascii() or part.translate(_USUAL).replace(" ", "").isalnum()
-            words = (_WORD if usual else _GARBLED).findall(part)
-            if broken and not usual and words:
-                words[-1] = words[-1].removesuffix("Â")
-            if words and not words[-1]:
-                words.pop()
-            if words:
-                out.append((number, column, words, broken))
-        number += 1
+            if words := words_in(part):
+                out.append((number, column, words, part[-1] in _BROKEN or part[-2:] in ("Â\xad", "Â¬")))
+        number += bool(parts)
     return out, number
 
 
+def _spread(begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and position of every one of ``count`` consecutive positions from ``begin``."""
+    owner = np.repeat(np.arange(len(count)), count)
+    return owner, np.arange(len(owner)) + np.repeat(begin - np.cumsum(count) + count, count)
+
+
+def successions(page: np.ndarray, line: np.ndarray, column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of pieces of which the second can go on where the first ends, in the order of the second.
+
+    It stands in the same column within :data:`JUMP` lines, in the next line, or in the same line
+    further on; the last two within as many columns. So a piece has few that can follow.
+    """
+    keys = page << 45 | line << 19 | np.minimum(column, (1 << 19) - 1)
+    one = np.arange(len(keys))
+    ends = keys - column + np.minimum(column + JUMP + 1, (1 << 19) - 1)
+    beside = _spread(one + 1, np.searchsorted(keys, ends, "right") - one - 1)
+    low, high = keys + (1 << 19) - np.minimum(column, JUMP), ends + (1 << 19) - 1
+    begin = np.searchsorted(keys, low)
+    below = _spread(begin, np.searchsorted(keys, high, "right") - begin)
+    firsts, seconds = [beside[0], below[0]], [beside[1], below[1]]
+    for down in range(2, JUMP + 2):
+        at = np.searchsorted(keys, keys + (down << 19))
+        same = np.flatnonzero(keys[np.minimum(at, len(keys) - 1)] == keys + (down << 19))
+        firsts.append(same)
+        seconds.append(at[same])
+    a, b = np.concatenate(firsts), np.concatenate(seconds)
+    order = np.lexsort((a, b))
+    return a[order], b[order]
+
+
+def wraps(page: np.ndarray, line: np.ndarray, column: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of pieces at the foot of a column and at the head of the next, or of a page's only one; ``lines``: of each piece's page."""
+    keys = page << 45 | line << 19 | np.minimum(column, (1 << 19) - 1)
+    foot = np.flatnonzero(line >= lines - JUMP)
+    own = page[foot] << 45
+    first, last = np.where(column[foot] == 0, 0, column[foot] + 1), column[foot] + JUMP + 1
+    firsts, seconds = [], []
+    for head in range(JUMP + 1):
+        begin = np.searchsorted(keys, own | head << 19 | np.minimum(first, (1 << 19) - 1))
+        owner, at = _spread(begin, np.searchsorted(keys, own | head << 19 | np.minimum(last, (1 << 19) - 1), "right") - begin)
+        firsts.append(foot[owner])
+        seconds.append(at)
+    a, b = np.concatenate(firsts), np.concatenate(seconds)
+    keep = a != b
+    order = np.lexsort((a[keep], b[keep]))
+    return a[keep][order], b[keep][order]
+
+
 Runs = dict[int, int]  # by state, words of the passage × 8 + words since an unreadable one (7 at most)
 
 
+def _hashed(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+@dataclass(frozen=True)
+class Layout:
+    """The pages of some pieces, and the pairs of :func:`successions` and :func:`wraps`."""
+
+    page: np.ndarray
+    follow: tuple[np.ndarray, np.ndarray]
+    wrap: tuple[np.ndarray, np.ndarray]
+
+    @classmethod
+    def empty(cls) -> "Layout":
+        none = np.zeros(0, dtype=np.int64)
+        return cls(none, (none, none), (none, none))
+
+    def of(self, n: int) -> tuple[list[list[int]], list[list[int]]]:
+        """What each piece of a page can follow, by the page's own numbers."""
+        low, high = np.searchsorted(self.page, [n, n + 1]).tolist()
+        out = []
+        for a, b in (self.follow, self.wrap):
+            before: list[list[int]] = [[] for _ in range(high - low)]
+            x, y = np.searchsorted(b, [low, high]).tolist()
+            for i, j in zip((a[x:y] - low).tolist(), (b[x:y] - low).tolist()):
+                before[j].append(i)
+            out.append(before)
+        return out[0], out[1]
+
+
 class Items:
-    """The items of one block with their automaton; :meth:`read` works on one page."""
+    """The items of one block with their automaton; :meth:`read` works on one page, :meth:`rows_of` on many."""
 
     def __init__(self, rows: Sequence[tuple[int, str | None]], min_words: int, min_share: float | None = None) -> None:
         self.rows, self.min_words, self.min_share = rows, min_words, min_share
@@ -339,8 +428,9 @@ class Items:
         numbers: dict[tuple[str, str], int] = {}
         self.words: list[str] = []
         tokens = []
+        self.vocabulary: list[set[int]] = []
         for sequence in self.sequences:
-            row = []
+            row: list[int] = []
             for word in sequence:
                 form = folded(word), key(word)
                 if form not in numbers:
@@ -348,12 +438,130 @@ class Items:
                     self.words.append(word)
                 row.append(numbers[form])
             tokens.append(row)
+            self.vocabulary.append(set(row))
         self.automaton = Automaton(tokens)
         self.one = Lexicon(self.words)
         self.twos = sorted({pair for row in tokens for pair in pairwise(row)})
         self.two = Lexicon([self.words[a] + self.words[b] for a, b in self.twos])
         self.known: dict[str, tuple[list[int], list[tuple[int, int]], str, str, int]] = {}
         self.after: dict[int, tuple[int, dict[int, list[tuple[int, int]]]]] = {}
+        self.held: dict[int, set[int]] = {}
+        self._arrays()
+
+    def _arrays(self) -> None:
+        """What the array operations need: numbers of page words, their readings, and the automaton's first steps."""
+        self.numbers: dict[str, int] = {}
+        self.read_as, self.read_from = array("q"), array("q", [0])
+        self.easy = max(1, self.limit // 2)
+        steps = [(state, word, to) for state, following in enumerate(self.automaton.next) if state == 0 or self.automaton.length[self.automaton.link[state]] + 1 < self.easy for word, to in following.items()]
+        states, words, self.step_to = (np.array(c, dtype=np.int64) for c in (zip(*steps) if steps else ((), (), ())))
+        keys = states * max(1, len(self.words)) + words
+        order = np.argsort(keys)
+        self.step_keys, self.step_to = keys[order], self.step_to[order]
+        bits = max(10, int(len(keys) * 32).bit_length())
+        self.sieve = np.zeros(1 << bits, dtype=bool)
+        self.sieve[_hashed(keys, bits)] = True
+        self.root = np.zeros(max(1, len(self.words)), dtype=np.int64)
+        for word, to in self.automaton.next[0].items():
+            self.root[word] = to
+
+    def _number(self, printed: str) -> int:
+        self.numbers[printed] = n = len(self.numbers)
+        self.read_as.extend((self.known[printed] if printed in self.known else self._reading(printed))[0])
+        self.read_from.append(len(self.read_as))
+        return n
+
+    def _steps(self, states: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the states go on with the word, and where to."""
+        keys = states * len(self.words) + words
+        maybe = np.flatnonzero(self.sieve[_hashed(keys, len(self.sieve).bit_length() - 1)])
+        keys = keys[maybe]
+        at = np.minimum(np.searchsorted(self.step_keys, keys), len(self.step_keys) - 1)
+        there = self.step_keys[at] == keys
+        return maybe[there], self.step_to[at[there]]
+
+    def promising(self, pages: Sequence[tuple[list[tuple[int, int, list[str], bool]], int]]) -> tuple[dict[int, set[int]], "Layout"]:
+        """Items of which a page prints enough easy words in a row, by page number; and how the pieces stand."""
+        if len(self.numbers) >= KNOWN:
+            self.numbers.clear()
+            self.read_as, self.read_from = array("q"), array("q", [0])
+        numbers, number = self.numbers, self._number
+        pieces = [(n, lines, *piece) for n, (own, lines) in enumerate(pages) for piece in own]
+        if not pieces or not len(self.step_keys):
+            return {}, Layout.empty()
+        token = np.array([numbers[w] if w in numbers else number(w) for p in pieces for w in p[4]], dtype=np.int64)
+        page, lines, line, column, size = (np.array([f(p) for p in pieces], dtype=np.int64) for f in (lambda p: p[0], lambda p: p[1], lambda p: p[2], lambda p: p[3], lambda p: len(p[4])))
+        layout = Layout(page, successions(page, line, column), wraps(page, line, column, lines))
+        stop = np.cumsum(size)
+        start = stop - size
+        first = np.concatenate([layout.follow[0], layout.wrap[0]])
+        second = np.concatenate([layout.follow[1], layout.wrap[1]])
+        # where a run goes on from each word: to the next of its piece, or to the first of those that can follow
+        order = np.argsort(first, kind="stable")
+        first, second = first[order], second[order]
+        count = np.ones(len(token), dtype=np.int64)
+        count[stop - 1] = np.bincount(first, minlength=len(size))
+        begin = np.cumsum(count) - count
+        target = np.zeros(int(count.sum()), dtype=np.int64)
+        inner = np.ones(len(token), dtype=bool)
+        inner[stop - 1] = False
+        target[begin[inner]] = np.flatnonzero(inner) + 1
+        target[_spread(begin[stop - 1], count[stop - 1])[1]] = start[second]
+        # words parted at the end of a piece: from the word before, with the word that the parts are, to the rest's place
+        equal, known = self.one.equal, self.known
+        parted = np.flatnonzero(np.array([p[5] for p in pieces])[first])
+        heads = [(known.get(p[4][-1]) or self._reading(p[4][-1]))[2:4] if p[5] else None for p in pieces]
+        rests = [(known.get(p[4][0]) or self._reading(p[4][0]))[2:4] for p in pieces]
+        joins = []
+        for a, b in zip(first[parted].tolist(), second[parted].tolist()):
+            (plain, short), (plain2, short2) = heads[a], rests[b]
+            plain, short = plain + plain2, short + short2
+            if plain in equal or short in equal:
+                joins += [(a, b, w) for w in {*equal.get(plain, ()), *equal.get(short, ())}]
+        joined, rest, word = (np.array(c, dtype=np.int64) for c in (zip(*joins) if joins else ((), (), ())))
+        alone = size[joined] == 1  # the word before a head that is its piece's only word ends another piece
+        back = np.argsort(second, kind="stable")
+        before = np.searchsorted(second[back], joined[alone])
+        owner, at = _spread(before, np.searchsorted(second[back], joined[alone], "right") - before)
+        source = np.concatenate([stop[joined[~alone]] - 2, stop[first[back][at]] - 1])
+        through = np.concatenate([word[~alone], word[alone][owner]])
+        arrive = np.concatenate([start[rest[~alone]], start[rest[alone]][owner]])
+        order = np.argsort(source, kind="stable")
+        source, through, arrive = source[order], through[order], arrive[order]
+
+        read_as, read_from = np.frombuffer(self.read_as, dtype=np.int64) if len(self.read_as) else np.zeros(0, dtype=np.int64), np.frombuffer(self.read_from, dtype=np.int64)
+        found: dict[int, set[int]] = {}
+        width = np.int64(len(self.automaton.next))
+        owner_of = np.repeat(np.arange(len(size)), size)
+        for low in range(0, len(token), STARTS):
+            own = np.arange(low, min(low + STARTS, len(token)))
+            owner, at = _spread(read_from[token[own]], read_from[token[own] + 1] - read_from[token[own]])
+            here = (start[rest] >= low) & (start[rest] < low + STARTS)
+            place, state = np.concatenate([own[owner], start[rest][here]]), np.concatenate([self.root[read_as[at]], self.root[word[here]]])
+            for _ in range(self.easy - 1):
+                owner, at = _spread(begin[place], count[place])
+                place_to, state_of = target[at], state[owner]
+                owner, at = _spread(read_from[token[place_to]], read_from[token[place_to] + 1] - read_from[token[place_to]])
+                went, to = self._steps(state_of[owner], read_as[at])
+                marks = [place_to[owner[went]] * width + to]
+                if len(source):
+                    by = np.searchsorted(source, place)
+                    owner, at = _spread(by, np.searchsorted(source, place, "right") - by)
+                    went, to = self._steps(state[owner], through[at])
+                    marks.append(arrive[at[went]] * width + to)
+                place, state = np.divmod(np.unique(np.concatenate(marks)), width)
+                if not len(place):
+                    break
+            for n, s in set(zip(page[owner_of[place]].tolist(), state.tolist())):
+                found.setdefault(n, set()).update(self._holders(s))
+        return found, layout
+
+    def _holders(self, state: int) -> set[int]:
+        if len(self.held) >= KNOWN:
+            self.held.clear()
+        if state not in self.held:
+            self.held[state] = self.automaton.holders(state)
+        return self.held[state]
 
     def __reduce__(self):
         return Items, (self.rows, self.min_words, self.min_share)
@@ -384,8 +592,8 @@ class Items:
         self.after[state] = self.after[top]
         return self.after[top]
 
-    def read(self, text: str) -> dict[int, int]:
-        """Longest run of consecutive words that the page prints, by item number, of the items that reach their limit.
+    def read(self, pieces: Sequence[tuple[int, int, list[str], bool]], follow: list[list[int]], wrap: list[list[int]], wanted: set[int] | None = None) -> dict[int, int]:
+        """Longest run of consecutive words that the page prints, by item number, of the (wanted) items that reach their limit.
 
         A run may start anywhere and goes from a word to the next of its piece or, from the end of
         a piece, to the start of one that can follow. A word printed as two, or broken at a
@@ -396,8 +604,16 @@ class Items:
         known, after, words_of = self.known, self.after, self.words
         root, full = nxt[0], self.limit << 3
         fresh = True  # whether runs may start
+        allowed = set(range(len(self.words))) if wanted is None else set().union(*(self.vocabulary[item] for item in wanted))
         best: Runs = {}
 
+        def merge(entering: Runs, parted: list, runs: Runs, head: tuple[str, Runs] | None) -> None:
+            for state, run in runs.items():
+                if run > entering.get(state, 0):
+                    entering[state] = run
+            if head is not None:
+                parted.append(head)
+
         def grow(now: Runs, before: Runs, word: int, least: int = 0) -> bool:
             """Runs of at least ``least`` words, or the longest ends of them that are followed by ``word``, go on to it."""
             went = False
@@ -441,6 +657,8 @@ class Items:
                 reading = known[word] if word in known else self._reading(word)
                 now: Runs = {}
                 for w in reading[0]:
+                    if w not in allowed:
+                        continue
                     went = False
                     for state, run in before.items():  # as in grow
                         to = nxt[state].get(w)
@@ -459,6 +677,8 @@ class Items:
                     if not went and fresh:
                         now.setdefault(root[w], 9)
                 for a, b in reading[1]:
+                    if a not in allowed or b not in allowed:
+                        continue
                     middle: Runs = {}
                     if not (before and grow(middle, before, a)) and fresh:
                         middle[root[a]] = 9
@@ -493,7 +713,7 @@ class Items:
             if short != plain and short in equal:
                 found = {*found, *equal[short]}
             for w in found:
-                if not (runs and grow(now, runs, w)) and fresh and root[w] not in now:
+                if w in allowed and not (runs and grow(now, runs, w)) and fresh and root[w] not in now:
                     now[root[w]] = 9
             if top < 16:
                 return
@@ -510,68 +730,38 @@ class Items:
                             letters = first[4] | second[4] | _letters(first[2][-1:] + second[2][:1])
                         most = 6 if len(form) > 5 else 3
                         for w, other in words[len(form)]:
-                            if (other & ~letters).bit_count() <= most and (letters & ~other).bit_count() <= most and w not in found and one_word.reads(w, plain, short):
+                            if w in allowed and (other & ~letters).bit_count() <= most and (letters & ~other).bit_count() <= most and w not in found and one_word.reads(w, plain, short):
                                 grow(now, {state: run}, w, 2)
 
-        pieces, lines = pieces_of(text)
         ends: list[Runs] = []
         heads: list[tuple[str, Runs] | None] = []
-        recent: list[int] = []  # earlier pieces that something can follow
-        for b, (line, column, piece, broken) in enumerate(pieces):
+        for b, (_, _, piece, broken) in enumerate(pieces):
             entering: Runs = {}
             parted: list[tuple[str, Runs]] = []
-            while recent and pieces[recent[0]][0] < line - JUMP - 1:
-                recent.pop(0)
-            for a in recent:
-                above, beside = pieces[a][0], pieces[a][1]
-                if (column == beside or line == above + 1) if above < line else column > beside:
-                    for state, run in ends[a].items():
-                        if run > entering.get(state, 0):
-                            entering[state] = run
-                    if heads[a] is not None:
-                        parted.append(heads[a])
+            for a in follow[b]:
+                merge(entering, parted, ends[a], heads[a])
             end, earlier = walk(piece, entering, parted)
             ends.append(end)
             heads.append((piece[-1], earlier if len(piece) > 1 else entering) if broken else None)
-            if end or broken:
-                recent.append(b)
+        # from the foot of a column to the head of the next, which may have been passed before
         fresh = False
-        self._wrap(pieces, lines, ends, heads, walk)
-        return self._found(best)
-
-    def _wrap(self, pieces, lines: int, ends: list[Runs], heads: list, walk) -> None:
-        """Follow runs from the foot of a column to the head of the next, which may have been passed before."""
-        foot = [a for a in range(len(pieces) - 1, -1, -1) if pieces[a][0] >= lines - JUMP and (ends[a] or heads[a] is not None)] if lines else []
-        added: list[tuple[int, Runs, tuple[str, Runs] | None]] = []  # what came to a piece's end only this way
-        arriving: dict[int, tuple[Runs, list[tuple[str, Runs]]]] = {}  # from the foot, by column
-
-        def merge(entering: Runs, parted: list, runs: Runs, head: tuple[str, Runs] | None) -> None:
-            for state, run in runs.items():
-                if run > entering.get(state, 0):
-                    entering[state] = run
-            if head is not None:
-                parted.append(head)
-
-        for b, (line, column, piece, broken) in enumerate(pieces):
-            if line > 2 * JUMP:
-                break
-            if line <= JUMP and column not in arriving:
-                arriving[column] = made = {}, []
-                for a in foot:
-                    if column > pieces[a][1] or column == pieces[a][1] == 0:
-                        merge(*made, ends[a], heads[a])
-            entering, parted = (dict(arriving[column][0]), list(arriving[column][1])) if line <= JUMP else ({}, [])
-            for a, runs, head in added:
-                above, beside = pieces[a][0], pieces[a][1]
-                if above < line <= above + JUMP + 1 and (column == beside or line == above + 1) or above == line and column > beside:
-                    merge(entering, parted, runs, head)
+        added: dict[int, tuple[Runs, tuple[str, Runs] | None]] = {}  # what came to a piece's end only this way
+        for b, (_, _, piece, broken) in enumerate(pieces):
+            entering, parted = {}, []
+            for a in wrap[b]:
+                merge(entering, parted, ends[a], heads[a])
+            if added:
+                for a in follow[b]:
+                    if a in added:
+                        merge(entering, parted, *added[a])
             if entering or parted:
                 end, earlier = walk(piece, entering, parted)
                 earlier = earlier if len(piece) > 1 else entering
                 if end or broken and earlier:
-                    added.append((b, end, (piece[-1], earlier) if broken and earlier else None))
+                    added[b] = end, (piece[-1], earlier) if broken and earlier else None
+        return self._found(best, wanted)
 
-    def _found(self, best: Runs) -> dict[int, int]:
+    def _found(self, best: Runs, wanted: set[int] | None) -> dict[int, int]:
         """Longest run by item number: a passage is held by the items of its state, its ends also by those of shorter ones."""
         link, length = self.automaton.link, self.automaton.length
         longest: Runs = {}
@@ -583,14 +773,20 @@ class Items:
                 n = length[state]
         out: dict[int, int] = {}
         for state, n in longest.items():
-            for item in self.automaton.holders(state):
+            for item in self._holders(state) if wanted is None else self._holders(state) & wanted:
                 if n >= self.limits[item] and n > out.get(item, 0):
                     out[item] = n
         return out
 
-    def rows_of(self, text: str) -> list[tuple[int, int, float]]:
-        """``(item_id, words, share)`` of every item found on the page."""
-        return [(i, n, n / len(self.sequences[item])) for item, n in self.read(text).items() for i in self.ids[item]]
+    def rows_of(self, texts: Sequence[str]) -> list[tuple[int, int, int, float]]:
+        """``(page number, item_id, words, share)`` of every item found on the pages."""
+        pages = [pieces_of(t) for t in texts]
+        wanted, layout = self.promising(pages)
+        out = []
+        for n, items in sorted(wanted.items()):
+            for item, words in sorted(self.read(pages[n][0], *layout.of(n), items).items()):
+                out += [(n, i, words, words / len(self.sequences[item])) for i in self.ids[item]]
+        return out
 
 
 def _blocks(items: DataFrame, item_id: str, item_text: str) -> Iterator[list[tuple[int, str]]]:
@@ -629,12 +825,23 @@ def leaks(
 def _read_pages(pages: DataFrame, block: Items, doc_id: str, item_id: str) -> DataFrame:
     shared = pages.sparkSession.sparkContext.broadcast(block)
 
+    def some(known: Items, docs: list[int | None], texts: list[str]) -> pa.RecordBatch:
+        columns = list(zip(*((docs[n], *row) for n, *row in known.rows_of(texts)))) or [[]] * 4
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds)], names=[doc_id, item_id, "words", "share"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Items = shared.value
         for batch in batches:
-            out = [(doc, *row) for doc, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for row in known.rows_of(page)]
-            columns = list(zip(*out)) if out else [[]] * 4
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds)], names=[doc_id, item_id, "words", "share"])
+            docs, texts, size = [], [], 0
+            for doc, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                docs.append(doc)
+                texts.append(page)
+                size += len(page)
+                if size >= AT_ONCE:
+                    yield some(known, docs, texts)
+                    docs, texts, size = [], [], 0
+            if docs:
+                yield some(known, docs, texts)
 
     return pages.mapInArrow(run, f"{doc_id} bigint, {item_id} bigint, words int, share double")
