@@ -44,7 +44,7 @@ KNOWN = 300_000
 #: Lines between two that belong together (an advert, lines of another column), and columns that a line is sought across.
 JUMP = 9
 #: Characters of the pages that are streamed at a time, and words that runs are followed from at a time.
-AT_ONCE, STARTS = 1 << 21, 1 << 19
+AT_ONCE, STARTS = 1 << 20, 1 << 17
 _WORD = re.compile(r"[^\W_]+")
 #: Words of lines with signs that no print has: what a letter outside ASCII has become belongs to its word.
 _GARBLED = re.compile(r"(?:[^\W_]|[^\x00-\x7f\s–—„“”«»…’‘‐¬\xad]|(?<=[ÃÂÄÅÐÑ√├┬])\S)+")
@@ -83,14 +83,24 @@ def _within(a: str, b: str, most: int) -> bool:
     """Whether at most ``most`` single-character edits lie between the words."""
     if a == b:
         return True
-    if not most or abs(len(a) - len(b)) > most:
+    n, m = len(a), len(b)
+    if not most or n - m > most or m - n > most:
         return False
+    least = n if n < m else m
     i = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
+    while i < least and a[i] == b[i]:
         i += 1
-    return _within(a[i + 1 :], b[i + 1 :], most - 1) or _within(a[i:], b[i + 1 :], most - 1) or _within(a[i + 1 :], b[i:], most - 1)
+    j = 1
+    while j <= least - i and a[-j] == b[-j]:
+        j += 1
+    # what is left when the same beginning and end are taken off
+    n, m = n - i - j + 1, m - i - j + 1
+    if n <= most >= m:
+        return True
+    if most == 1:
+        return False
+    a, b = a[i : i + n], b[i : i + m]
+    return _within(a[1:], b[1:], most - 1) or _within(a, b[1:], most - 1) or _within(a[1:], b, most - 1)
 
 
 @lru_cache(maxsize=1 << 16)
@@ -257,32 +267,37 @@ class Lexicon:
             if n not in found and abs(len(plain) - len(self.forms[n][0])) <= 3 and max(len(plain), len(self.forms[n][0])) > 1:
                 found.add(n)
         maybe: set[int] = set()
+        shortened, parts = self.shortened, self.parts
         for form in (plain,) if short in ("", plain) else (plain, short):
             n = len(form)
             if 1 < n <= 8:
                 for less in _less_one(form):
-                    if less in self.shortened:
-                        maybe.update(self.shortened[less])
+                    if less in shortened:
+                        maybe.update(shortened[less])
             # of three parts of a word two edits leave one as it is, moved by no more than the edits allow
-            parts = self.parts
-            for size in range(max(5, n - 2), n + 3):
-                if n <= 7 >= size and form is plain and short in ("", plain):
-                    continue
-                for k, at, to, move in _places(size, n - size):
-                    if (4 * size + k, form[at + move : to + move]) in parts:
-                        maybe.update(parts[4 * size + k, form[at + move : to + move]])
+            low = max(5, n - 2) if n > 7 or short not in ("", plain) else 8
+            for size in range(low, n + 3):
+                for mark, at, to in _places(size, n - size):
+                    part = mark, form[at:to]
+                    if part in parts:
+                        maybe.update(parts[part])
+        if not maybe:
+            return list(found)
         return [*found, *self._among(maybe - found, plain, short, ascii_only)]
 
     def _among(self, numbers: Iterable[int], plain: str, short: str, ascii_only: bool) -> Iterator[int]:
         """Those of the words that two edits, or one, turn into what is printed."""
         own = own_short = None
+        size = len(plain)
         for n in numbers:
             if own is None:
-                own, own_short = _letters(plain), _letters(short)
+                own = _letters(plain)
+                own_short = own if plain == short else _letters(short)
             w, (bits, bits_short) = self.forms[n], self.letters[n]
-            # two edits change few characters and neighbours
-            if (bits & ~own).bit_count() > 6 or (own & ~bits).bit_count() > 6:
-                if (bits_short & ~own_short).bit_count() > 6 or (own_short & ~bits_short).bit_count() > 6:
+            # two edits, or one between short words, change few characters and neighbours
+            most = 3 if size <= 7 >= len(w[0]) else 6
+            if (bits & ~own).bit_count() > most or (own & ~bits).bit_count() > most:
+                if ascii_only and w[2] or (bits_short & ~own_short).bit_count() > most or (own_short & ~bits_short).bit_count() > most:
                     continue
             if _alike(plain, short, w[0], w[1], ascii_only and w[2], True):
                 yield n
@@ -300,10 +315,10 @@ def _thirds(size: int) -> tuple[tuple[int, int], ...]:
 
 
 @lru_cache(maxsize=None)
-def _places(size: int, over: int) -> tuple[tuple[int, int, int, int], ...]:
-    """``(part, from, to, move)``: where a part that no edit touches can stand in a word ``over`` longer and two edits away."""
+def _places(size: int, over: int) -> tuple[tuple[int, int, int], ...]:
+    """``(part's mark, from, to)``: where a part that no edit touches can stand in a word ``over`` longer and two edits away."""
     moves = [m for m in range(-2, 3) if abs(m) + abs(over - m) <= 2]
-    return tuple((k, at, to, m) for k, (at, to) in enumerate(_thirds(size)) for m in moves if at + m >= 0 and (k or m >= 0))
+    return tuple((4 * size + k, at + m, to + m) for k, (at, to) in enumerate(_thirds(size)) for m in moves if at + m >= 0 and (k or m >= 0))
 
 
 def pieces_of(text: str) -> tuple[list[tuple[int, int, list[str], bool]], int]:
@@ -337,79 +352,84 @@ def _spread(begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return owner, np.arange(len(owner)) + np.repeat(begin - np.cumsum(count) + count, count)
 
 
-def successions(page: np.ndarray, line: np.ndarray, column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of pieces of which the second can go on where the first ends, in the order of the second.
+def successions(page: np.ndarray, line: np.ndarray, column: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(how many, which, wrapped)``: of each piece, those that can go on where it ends.
 
-    It stands in the same column within :data:`JUMP` lines, in the next line, or in the same line
-    further on; the last two within as many columns. So a piece has few that can follow.
+    They stand in the same column within :data:`JUMP` lines, in the next line, or in the same line
+    further on; the last two within as many columns. From the foot of a column, or of a page's
+    only one, it can also go on at the head of the next; these are marked as wrapped. So a piece
+    has few that can follow. ``lines`` is how many each piece's page has.
     """
-    keys = page << 45 | line << 19 | np.minimum(column, (1 << 19) - 1)
+    most = (1 << 19) - 1
+    keys = page << 45 | line << 19 | np.minimum(column, most)
     one = np.arange(len(keys))
-    ends = keys - column + np.minimum(column + JUMP + 1, (1 << 19) - 1)
-    beside = _spread(one + 1, np.searchsorted(keys, ends, "right") - one - 1)
-    low, high = keys + (1 << 19) - np.minimum(column, JUMP), ends + (1 << 19) - 1
-    begin = np.searchsorted(keys, low)
-    below = _spread(begin, np.searchsorted(keys, high, "right") - begin)
-    firsts, seconds = [beside[0], below[0]], [beside[1], below[1]]
+    right = np.minimum(column + JUMP + 1, most)
+    row = keys - np.minimum(column, most)
+    ranges = [(one + 1, np.searchsorted(keys, row + right, "right"))]
+    below = row + (1 << 19)
+    ranges.append((np.searchsorted(keys, below + np.maximum(column - JUMP, 0)), np.searchsorted(keys, below + right - 1, "right")))
     for down in range(2, JUMP + 2):
         at = np.searchsorted(keys, keys + (down << 19))
-        same = np.flatnonzero(keys[np.minimum(at, len(keys) - 1)] == keys + (down << 19))
-        firsts.append(same)
-        seconds.append(at[same])
-    a, b = np.concatenate(firsts), np.concatenate(seconds)
-    order = np.lexsort((a, b))
-    return a[order], b[order]
-
-
-def wraps(page: np.ndarray, line: np.ndarray, column: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of pieces at the foot of a column and at the head of the next, or of a page's only one; ``lines``: of each piece's page."""
-    keys = page << 45 | line << 19 | np.minimum(column, (1 << 19) - 1)
+        ranges.append((at, at + (keys[np.minimum(at, len(keys) - 1)] == keys + (down << 19))))
     foot = np.flatnonzero(line >= lines - JUMP)
-    own = page[foot] << 45
-    first, last = np.where(column[foot] == 0, 0, column[foot] + 1), column[foot] + JUMP + 1
-    firsts, seconds = [], []
+    plain = len(ranges)
     for head in range(JUMP + 1):
-        begin = np.searchsorted(keys, own | head << 19 | np.minimum(first, (1 << 19) - 1))
-        owner, at = _spread(begin, np.searchsorted(keys, own | head << 19 | np.minimum(last, (1 << 19) - 1), "right") - begin)
-        firsts.append(foot[owner])
-        seconds.append(at)
-    a, b = np.concatenate(firsts), np.concatenate(seconds)
-    keep = a != b
-    order = np.lexsort((a[keep], b[keep]))
-    return a[keep][order], b[keep][order]
+        own = page[foot] << 45 | head << 19
+        begin, end = np.zeros((2, len(keys)), dtype=np.int64)
+        begin[foot] = np.searchsorted(keys, own | np.where(column[foot] == 0, 0, np.minimum(column[foot] + 1, most)))
+        end[foot] = np.searchsorted(keys, own | right[foot], "right")
+        ranges.append((begin, np.maximum(end, begin)))
+    counts = [end - begin for begin, end in ranges]
+    total = sum(counts)
+    place = np.cumsum(total) - total
+    which, wrapped = np.zeros(int(total.sum()), dtype=np.int64), np.zeros(int(total.sum()), dtype=bool)
+    for n, ((begin, _), count) in enumerate(zip(ranges, counts)):
+        some = np.flatnonzero(count)
+        to = _spread(place[some], count[some])[1]
+        which[to] = _spread(begin[some], count[some])[1]
+        wrapped[to] = n >= plain
+        place += count
+    return total, which, wrapped
 
 
 Runs = dict[int, int]  # by state, words of the passage × 8 + words since an unreadable one (7 at most)
 
 
+def _polynomial(word: str) -> tuple[int, int]:
+    """Hash of a word and what the hash of another is multiplied by when the word is put after it."""
+    value, factor = 0, 1
+    for c in word:
+        value = (value * 0x9E3779B97F4A7C15 + ord(c)) & 0xFFFFFFFFFFFFFFFF
+        factor = factor * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
+    return value, factor
+
+
 def _hashed(keys: np.ndarray, bits: int) -> np.ndarray:
     return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 @dataclass(frozen=True)
 class Layout:
-    """The pages of some pieces, and the pairs of :func:`successions` and :func:`wraps`."""
+    """The pages of some pieces, and their :func:`successions`."""
 
     page: np.ndarray
-    follow: tuple[np.ndarray, np.ndarray]
-    wrap: tuple[np.ndarray, np.ndarray]
-
-    @classmethod
-    def empty(cls) -> "Layout":
-        none = np.zeros(0, dtype=np.int64)
-        return cls(none, (none, none), (none, none))
+    count: np.ndarray
+    which: np.ndarray
+    wrapped: np.ndarray
 
     def of(self, n: int) -> tuple[list[list[int]], list[list[int]]]:
-        """What each piece of a page can follow, by the page's own numbers."""
+        """What each piece of a page can follow, and from which foot it can, by the page's own numbers."""
         low, high = np.searchsorted(self.page, [n, n + 1]).tolist()
-        out = []
-        for a, b in (self.follow, self.wrap):
-            before: list[list[int]] = [[] for _ in range(high - low)]
-            x, y = np.searchsorted(b, [low, high]).tolist()
-            for i, j in zip((a[x:y] - low).tolist(), (b[x:y] - low).tolist()):
-                before[j].append(i)
-            out.append(before)
-        return out[0], out[1]
+        begin = int(self.count[:low].sum())
+        first = np.repeat(np.arange(high - low), self.count[low:high])
+        follow: list[list[int]] = [[] for _ in range(high - low)]
+        wrap: list[list[int]] = [[] for _ in range(high - low)]
+        for a, b, wrapped in zip(first.tolist(), (self.which[begin : begin + len(first)] - low).tolist(), self.wrapped[begin : begin + len(first)].tolist()):
+            if not wrapped:
+                follow[b].append(a)
+            elif a != b:
+                wrap[b].append(a)
+        return follow, wrap
 
 
 class Items:
@@ -443,7 +463,7 @@ class Items:
         self.one = Lexicon(self.words)
         self.twos = sorted({pair for row in tokens for pair in pairwise(row)})
         self.two = Lexicon([self.words[a] + self.words[b] for a, b in self.twos])
-        self.known: dict[str, tuple[list[int], list[tuple[int, int]], str, str, int]] = {}
+        self.known: dict[str, tuple[list[int], list[tuple[int, int]] | None, str, str, int]] = {}
         self.after: dict[int, tuple[int, dict[int, list[tuple[int, int]]]]] = {}
         self.held: dict[int, set[int]] = {}
         self._arrays()
@@ -461,16 +481,30 @@ class Items:
         bits = max(10, int(len(keys) * 32).bit_length())
         self.sieve = np.zeros(1 << bits, dtype=bool)
         self.sieve[_hashed(keys, bits)] = True
+        self.printed = array("Q")  # four numbers of each page word: hash and factor of both forms
+        self.whole = np.unique(np.array([_polynomial(form)[0] for form in self.one.equal], dtype=np.uint64))
         self.root = np.zeros(max(1, len(self.words)), dtype=np.int64)
         for word, to in self.automaton.next[0].items():
             self.root[word] = to
 
     def _number(self, printed: str) -> int:
         self.numbers[printed] = n = len(self.numbers)
-        self.read_as.extend((self.known[printed] if printed in self.known else self._reading(printed))[0])
+        reading = self.known[printed] if printed in self.known else self._reading(printed)
+        self.read_as.extend(reading[0])
         self.read_from.append(len(self.read_as))
+        own = _polynomial(reading[2])
+        self.printed.extend(own + (own if reading[3] == reading[2] else _polynomial(reading[3])))
         return n
 
+    def _whole(self, printed: np.ndarray, heads: np.ndarray, rests: np.ndarray) -> np.ndarray:
+        """Which heads and rests (numbers of page words) may put together be a word of the items, as printed."""
+        found = np.zeros(len(heads), dtype=bool)
+        for form in (0, 2):
+            joined = printed[heads, form] * printed[rests, form + 1] + printed[rests, form]
+            at = np.minimum(np.searchsorted(self.whole, joined), len(self.whole) - 1)
+            found |= self.whole[at] == joined
+        return np.flatnonzero(found)
+
     def _steps(self, states: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the states go on with the word, and where to."""
         keys = states * len(self.words) + words
@@ -484,38 +518,35 @@ class Items:
         """Items of which a page prints enough easy words in a row, by page number; and how the pieces stand."""
         if len(self.numbers) >= KNOWN:
             self.numbers.clear()
-            self.read_as, self.read_from = array("q"), array("q", [0])
+            self.read_as, self.read_from, self.printed = array("q"), array("q", [0]), array("Q")
         numbers, number = self.numbers, self._number
-        pieces = [(n, lines, *piece) for n, (own, lines) in enumerate(pages) for piece in own]
-        if not pieces or not len(self.step_keys):
-            return {}, Layout.empty()
+        pieces = [(n, lines, *piece, len(piece[2])) for n, (own, lines) in enumerate(pages) for piece in own]
         token = np.array([numbers[w] if w in numbers else number(w) for p in pieces for w in p[4]], dtype=np.int64)
-        page, lines, line, column, size = (np.array([f(p) for p in pieces], dtype=np.int64) for f in (lambda p: p[0], lambda p: p[1], lambda p: p[2], lambda p: p[3], lambda p: len(p[4])))
-        layout = Layout(page, successions(page, line, column), wraps(page, line, column, lines))
+        page, lines, line, column, size = (np.fromiter((p[k] for p in pieces), np.int64, len(pieces)) for k in (0, 1, 2, 3, 6))
+        layout = Layout(page, *successions(page, line, column, lines))
+        if not len(token) or not len(self.step_keys):
+            return {}, layout
         stop = np.cumsum(size)
         start = stop - size
-        first = np.concatenate([layout.follow[0], layout.wrap[0]])
-        second = np.concatenate([layout.follow[1], layout.wrap[1]])
+        first, second = np.repeat(np.arange(len(pieces)), layout.count), layout.which
         # where a run goes on from each word: to the next of its piece, or to the first of those that can follow
-        order = np.argsort(first, kind="stable")
-        first, second = first[order], second[order]
         count = np.ones(len(token), dtype=np.int64)
-        count[stop - 1] = np.bincount(first, minlength=len(size))
+        count[stop - 1] = layout.count
         begin = np.cumsum(count) - count
         target = np.zeros(int(count.sum()), dtype=np.int64)
         inner = np.ones(len(token), dtype=bool)
         inner[stop - 1] = False
         target[begin[inner]] = np.flatnonzero(inner) + 1
-        target[_spread(begin[stop - 1], count[stop - 1])[1]] = start[second]
+        target[_spread(begin[stop - 1], layout.count)[1]] = start[second]
         # words parted at the end of a piece: from the word before, with the word that the parts are, to the rest's place
         equal, known = self.one.equal, self.known
         parted = np.flatnonzero(np.array([p[5] for p in pieces])[first])
-        heads = [(known.get(p[4][-1]) or self._reading(p[4][-1]))[2:4] if p[5] else None for p in pieces]
-        rests = [(known.get(p[4][0]) or self._reading(p[4][0]))[2:4] for p in pieces]
+        printed = np.frombuffer(self.printed, dtype=np.uint64).reshape(-1, 4)
+        parted = parted[self._whole(printed, token[stop[first[parted]] - 1], token[start[second[parted]]])]
         joins = []
         for a, b in zip(first[parted].tolist(), second[parted].tolist()):
-            (plain, short), (plain2, short2) = heads[a], rests[b]
-            plain, short = plain + plain2, short + short2
+            head, rest = known.get(pieces[a][4][-1]) or self._reading(pieces[a][4][-1]), known.get(pieces[b][4][0]) or self._reading(pieces[b][4][0])
+            plain, short = head[2] + rest[2], head[3] + rest[3]
             if plain in equal or short in equal:
                 joins += [(a, b, w) for w in {*equal.get(plain, ()), *equal.get(short, ())}]
         joined, rest, word = (np.array(c, dtype=np.int64) for c in (zip(*joins) if joins else ((), (), ())))
@@ -566,14 +597,18 @@ class Items:
     def __reduce__(self):
         return Items, (self.rows, self.min_words, self.min_share)
 
-    def _reading(self, printed: str) -> tuple[list[int], list[tuple[int, int]], str, str, int]:
-        """The words, and the pairs of words, that a page word can be a scan of; and its forms."""
+    def _reading(self, printed: str) -> tuple[list[int], None, str, str, int]:
+        """The words that a page word can be a scan of, room for the pairs of words, and its forms and letters."""
         if len(self.known) >= KNOWN:
             self.known.clear()
-        one = self.one.find(printed)
-        two = [self.twos[n] for n in self.two.find(printed)] if len(printed) > 2 else []
         plain, short = folded(printed), key(printed)
-        self.known[printed] = made = one, two, plain, short, _letters(plain)
+        self.known[printed] = made = self.one.find(printed), None, plain, short, _letters(plain)
+        return made
+
+    def _reading_of_two(self, printed: str) -> tuple[list[int], list[tuple[int, int]], str, str, int]:
+        """:meth:`_reading` with the pairs of words, which few pages need."""
+        one, _, plain, short, letters = self.known.get(printed) or self._reading(printed)
+        self.known[printed] = made = one, [self.twos[n] for n in self.two.find(printed)] if len(printed) > 2 else [], plain, short, letters
         return made
 
     def _following(self, state: int) -> tuple[int, dict[int, list[tuple[int, int]]]]:
@@ -654,7 +689,9 @@ class Items:
             last = None
             top, top2 = max(before.values(), default=0), 0
             for word in piece:
-                reading = known[word] if word in known else self._reading(word)
+                reading = known.get(word)
+                if reading is None or reading[1] is None:
+                    reading = self._reading_of_two(word)
                 now: Runs = {}
                 for w in reading[0]:
                     if w not in allowed:

@@ -34,13 +34,19 @@ def test_pairs_of_pieces(pages):
     follow, wrap = [], []
     for b, (n, y, x, height) in enumerate(at):
         for a, (m, above, beside, _) in enumerate(at):
-            near = abs(x - beside) <= leak.JUMP
-            if n == m and (y == above and beside < x <= beside + leak.JUMP + 1 or y == above + 1 and near or x == beside and above < y <= above + leak.JUMP + 1):
+            if n == m and (y == above and beside < x <= beside + leak.JUMP + 1 or y == above + 1 and abs(x - beside) <= leak.JUMP or x == beside and above < y <= above + leak.JUMP + 1):
                 follow.append((a, b))
-            if n == m and a != b and above >= height - leak.JUMP and y <= leak.JUMP and (beside < x or beside == x == 0) and x <= beside + leak.JUMP + 1:
+            if n == m and above >= height - leak.JUMP and y <= leak.JUMP and (beside < x or beside == x == 0) and x <= beside + leak.JUMP + 1:
                 wrap.append((a, b))
-    assert list(zip(*(c.tolist() for c in leak.successions(page, line, column)))) == sorted(follow, key=lambda p: (p[1], p[0]))
-    assert list(zip(*(c.tolist() for c in leak.wraps(page, line, column, lines)))) == sorted(wrap, key=lambda p: (p[1], p[0]))
+    count, which, wrapped = leak.successions(page, line, column, lines)
+    pairs = list(zip(np.repeat(np.arange(len(at)), count).tolist(), which.tolist()))
+    assert sorted(p for p, w in zip(pairs, wrapped.tolist()) if not w) == sorted(follow)
+    assert sorted(p for p, w in zip(pairs, wrapped.tolist()) if w) == sorted(wrap)
+    layout = leak.Layout(page, count, which, wrapped)
+    for n in range(len(pages)):
+        low = sum(p < n for p in page.tolist())
+        for got, want in zip(layout.of(n), (follow, [p for p in wrap if p[0] != p[1]])):
+            assert {(a + low, b + low) for b, before in enumerate(got) for a in before} == {p for p in want if at[p[0]][0] == n}
 
 
 ITEM = "In the annals of Gidtor the festival of Selnov is called Nirgev because Sarlat once measured Nistuv since Virsel drowned"
@@ -52,7 +58,7 @@ def whole(known, text):
     pieces, lines = leak.pieces_of(text)
     line, column = (np.array([p[k] for p in pieces], dtype=np.int64) for k in (0, 1))
     page = np.zeros(len(pieces), dtype=np.int64)
-    layout = leak.Layout(page, leak.successions(page, line, column), leak.wraps(page, line, column, np.full(len(pieces), lines)))
+    layout = leak.Layout(page, *leak.successions(page, line, column, np.full(len(pieces), lines)))
     return known.read(pieces, *layout.of(0))
 
 
