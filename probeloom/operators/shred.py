@@ -13,7 +13,6 @@ shuffle is needed, whatever the size or the nesting of a record.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -21,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from probeloom.sources.nested import dumps, loads_quoted
+
 
 @dataclass(frozen=True)
 class Node:
@@ -187,33 +188,31 @@ def assemble(shredded: Shredder, ancestor: tuple[str, ...], leaves: list[tuple[s
     return Assembled(record, ordinals, out)
 
 
-def parse_report(text: str | None, wrapper: str = "report", quoted: int = 4) -> object:
+def parse_report(text: str | None, wrapper: str = "report") -> object:
     """The report in a payload, or None when the payload is not complete JSON.
 
-    A byte order mark is skipped, a text that itself holds JSON is read again (up to ``quoted``
-    times), and an object of the single wrapping field is opened.
+    A byte order mark is skipped, a text that itself holds JSON is read again, however often, and
+    an object of the single wrapping field is opened. A report may be nested to any depth.
     """
-    try:
-        value = json.loads(text.lstrip("﻿ \t\r\n")) if text else None
-        for _ in range(quoted):
-            if not isinstance(value, str):
-                break
-            value = json.loads(value.lstrip("﻿ \t\r\n"))
-    except (ValueError, RecursionError):
-        return None
+    value = loads_quoted(text)
     if isinstance(value, dict) and isinstance(value.get(wrapper), dict):
         value = value[wrapper]
     return value if isinstance(value, dict) else None
 
 
+#: The fields of a completed report.
 REPORT = Node("", (
-    Node("report_id"),
+    Node("report_id"), Node("generated_at"),
+    Node("manifest", (Node("run_id"), Node("editor", (Node("adapter"), Node("hyperparameters"))), Node("seeds"), Node("failure"))),
     Node("audit_case", (Node("case_id"),)),
     Node("metrics", (
-        Node("metric_id"), Node("status"), Node("aggregate"),
+        Node("metric_id"), Node("status"), Node("direction"), Node("unit"), Node("aggregate"), Node("reduction"), Node("warnings"),
+        Node("threshold", (Node("operator"), Node("value"), Node("passed"))),
         Node("coverage", (Node("fraction"), Node("total"), Node("evaluated"), Node("missing"))),
         Node("probes", (
-            Node("probe_id"), Node("status"), Node("values", (Node("signed_delta"), Node("absolute_delta"))), Node("missing_reason"),
+            Node("probe_id"), Node("status"), Node("values", (
+                Node("baseline_mean_log_probability"), Node("edited_mean_log_probability"), Node("signed_delta"), Node("absolute_delta"), Node("contribution"), Node("mean_kl_divergence"),
+            )), Node("missing_reason"),
         ), repeated=True, key_as="probe_id", lone="probe_id"),
         Node("citations", (Node("title"), Node("source"), Node("identifier")), repeated=True, lone="title", scalar_as="title"),
     ), repeated=True, key_as="metric_id", lone="metric_id"),
@@ -224,13 +223,17 @@ _P, _C = (*_M, "probes"), (*_M, "citations")
 
 TABLES: dict[str, tuple[tuple[str, ...], dict[str, tuple[tuple[str, ...], str]]]] = {
     "metric": (_M, {
-        "report_id": (("report_id",), "string"), "case_id": (("audit_case", "case_id"), "string"), "metric_id": ((*_M, "metric_id"), "string"),
+        "report_id": (("report_id",), "string"), "generated_at": (("generated_at",), "string"), "run_id": (("manifest", "run_id"), "string"), "adapter": (("manifest", "editor", "adapter"), "string"),
+        "hyperparameters": (("manifest", "editor", "hyperparameters"), "string"), "seeds": (("manifest", "seeds"), "string"), "failure": (("manifest", "failure"), "string"),
+        "case_id": (("audit_case", "case_id"), "string"), "metric_id": ((*_M, "metric_id"), "string"), "direction": ((*_M, "direction"), "string"), "unit": ((*_M, "unit"), "string"),
+        "reduction": ((*_M, "reduction"), "string"), "warnings": ((*_M, "warnings"), "string"), "threshold_operator": ((*_M, "threshold", "operator"), "string"),
+        "threshold_value": ((*_M, "threshold", "value"), "double"), "threshold_passed": ((*_M, "threshold", "passed"), "string"),
         "status": ((*_M, "status"), "string"), "aggregate": ((*_M, "aggregate"), "double"), "coverage_fraction": ((*_M, "coverage", "fraction"), "double"),
         "coverage_total": ((*_M, "coverage", "total"), "bigint"), "coverage_evaluated": ((*_M, "coverage", "evaluated"), "bigint"), "coverage_missing": ((*_M, "coverage", "missing"), "bigint"),
     }),
     "probe": (_P, {
         "report_id": (("report_id",), "string"), "metric_id": ((*_M, "metric_id"), "string"), "probe_id": ((*_P, "probe_id"), "string"), "status": ((*_P, "status"), "string"),
-        "signed_delta": ((*_P, "values", "signed_delta"), "double"), "absolute_delta": ((*_P, "values", "absolute_delta"), "double"), "missing_reason": ((*_P, "missing_reason"), "string"),
+        **{n: ((*_P, "values", n), "double") for n in ("baseline_mean_log_probability", "edited_mean_log_probability", "signed_delta", "absolute_delta", "contribution", "mean_kl_divergence")}, "missing_reason": ((*_P, "missing_reason"), "string"),
     }),
     "citation": (_C, {
         "report_id": (("report_id",), "string"), "metric_id": ((*_M, "metric_id"), "string"), "title": ((*_C, "title"), "string"), "source": ((*_C, "source"), "string"), "identifier": ((*_C, "identifier"), "string"),
@@ -243,7 +246,7 @@ _ARROW = {"string": pa.string(), "double": pa.float64(), "bigint": pa.int64()}
 def _as_text(v: object) -> str | None:
     if v is None or isinstance(v, str):
         return v
-    return json.dumps(v, ensure_ascii=False)
+    return dumps(v)
 
 
 def _as_double(v: object) -> float | None:
@@ -315,3 +318,73 @@ def flatten_reports(df: DataFrame, *tables: str, id_column: str = "raw_id", payl
                     yield rows(part.column(0), shredder, t)
 
     return df.selectExpr(f"cast({id_column} as bigint) as {id_column}", payload).mapInArrow(run, ", ".join(f"{n} {kinds[n]}" for n in names))
+
+
+class Number(str):
+    """A number as it is written."""
+
+
+def leaves_of(value: object) -> Iterator[tuple[str, list[int], int, int, str, str | None]]:
+    """``(path, ordinals, rep, def, kind, value)`` of every leaf of a JSON value, in its order.
+
+    The path names the fields from the top, ``[]`` the elements of an array; ``ordinals`` holds
+    the places in these arrays. ``rep`` says at which of the arrays the leaf starts a new element
+    against the leaf before it under the same path (0: none), ``def`` how many fields and
+    elements of the path are there. Nulls and empty containers are leaves without a value.
+    """
+    last: dict[str, list[int]] = {}
+    todo: list[tuple[object, tuple, str | int | None]] = [(value, (), None)]  # with the parent's chain and the own step
+    while todo:
+        item, parent, step = todo.pop()
+        chain = (parent, step) if step is not None else ()
+        if item and isinstance(item, dict):
+            todo += [(v, chain, k) for k, v in reversed(item.items())]
+            continue
+        if item and isinstance(item, list):
+            todo += [(v, chain, n) for n, v in reversed(list(enumerate(item)))]
+            continue
+        steps: list[str | int] = []
+        while chain:
+            chain, one = chain
+            steps.append(one)
+        steps.reverse()
+        path = ".".join("[]" if isinstance(x, int) else x for x in steps)
+        ordinals = [x for x in steps if isinstance(x, int)]
+        before = last.get(path)
+        rep = 0 if before is None else next((n for n, (a, b) in enumerate(zip(before, ordinals), 1) if a != b), 0)
+        last[path] = ordinals
+        if item is None or isinstance(item, dict | list):
+            yield path, ordinals, rep, max(0, len(steps) - (item is None)), "null" if item is None else "object" if isinstance(item, dict) else "array", None
+        else:
+            kind = "boolean" if isinstance(item, bool) else "number" if isinstance(item, Number | int | float) else "string"
+            yield path, ordinals, rep, len(steps), kind, ("true" if item else "false") if kind == "boolean" else str(item)
+
+
+def shred_leaves(df: DataFrame, id_column: str = "raw_id", payload: str = "payload") -> DataFrame:
+    """``(id, path, ordinals, rep, def, kind, value)``: every leaf of every payload with its levels.
+
+    No schema is given: the leaf paths are those that the payloads have, to any depth. Values are
+    texts as written. Null payloads and such as are not complete JSON have no leaves; a byte order
+    mark is skipped and a text that holds JSON is opened. Rows come payload by payload.
+    """
+    kinds = {id_column: pa.int64(), "path": pa.string(), "ordinals": pa.list_(pa.int64()), "rep": pa.int32(), "def": pa.int32(), "kind": pa.string(), "value": pa.string()}
+
+    def some(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows), kinds.values())], names=list(kinds))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: list[tuple] = []
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                value = loads_quoted(text, Number)
+                if value is None:
+                    continue
+                for leaf in leaves_of(value):
+                    held.append((i, *leaf))
+                    if len(held) >= 1 << 14:
+                        yield some(held)
+                        held = []
+            if held:
+                yield some(held)
+
+    return df.selectExpr(f"cast({id_column} as bigint) as {id_column}", payload).mapInArrow(run, f"{id_column} bigint, path string, ordinals array<bigint>, rep int, def int, kind string, value string")

@@ -3,8 +3,9 @@ import json
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from probeloom.operators.shred import REPORT, Shredder, assemble, flatten_reports, parse_report
+from probeloom.operators.shred import REPORT, Number, Shredder, assemble, flatten_reports, leaves_of, parse_report, shred_leaves
 from probeloom.plans import copies
+from probeloom.sources import nested
 
 
 def brute(raw):
@@ -74,3 +75,66 @@ def test_levels_round_trip(records):
     got = list(zip(made.record.tolist(), made.ordinals[0].tolist(), made.ordinals[1].tolist(), made.values[path], made.values[("metrics", "metric_id")], made.values[("report_id",)]))
     want = [(i, j, k, p.get("probe_id"), m.get("metric_id"), r.get("report_id")) for i, r in enumerate(records) for j, m in enumerate(r.get("metrics") or []) for k, p in enumerate(m.get("probes") or [])]
     assert got == want
+
+
+json_values = st.recursive(st.none() | st.booleans() | st.integers(-10**20, 10**20) | st.floats(allow_nan=False, allow_infinity=False) | st.text(max_size=5), lambda x: st.lists(x, max_size=4) | st.dictionaries(st.text(max_size=4), x, max_size=4), max_leaves=20)
+
+
+@settings(max_examples=300, deadline=None)
+@given(json_values)
+def test_reading_without_recursion(value):
+    for text in (json.dumps(value), json.dumps(value, indent=1, ensure_ascii=False)):
+        assert nested._deep(text, None) == json.loads(text) == value
+        for bad in (text[:-1], text + "x", "," + text):
+            try:
+                want = json.loads(bad)
+            except ValueError:
+                want = ValueError
+            try:
+                got = nested._deep(bad, None)
+            except ValueError:
+                got = ValueError
+            assert got == want
+
+
+def test_deep_and_often_quoted_payloads(spark):
+    report = {"report_id": "r", "metrics": [METRIC]}
+    text = json.dumps(report)
+    deep = text[:-1] + ', "extra": ' + '{"a": [' * 100_000 + '"x"' + "]}" * 100_000 + "}"
+    deep_status = text[:-2].replace('"m1"', '"m1", "status": ' + "[" * 50_000 + "]" * 50_000, 1) + "]}"
+    quoted = text
+    for _ in range(12):
+        quoted = json.dumps(quoted)
+    many = text
+    for _ in range(3):
+        many = json.dumps(many)
+    raw = [(1, deep), (2, quoted), (3, deep_status), (4, deep[:-1]), (5, many)]
+    assert [(r[0], r[3], r[4]) for r in run(spark, raw)] == sorted([(i, k, n) for i in (1, 2, 3, 5) for k, n in ((0, "p1"), (0, "t"), (1, "p2"), (2, "p3"))], key=lambda r: (r[0], r[2] != "t", r[1]))
+    metrics = flatten_reports(spark.createDataFrame(raw, "raw_id long, payload string"), "metric").collect()
+    assert {m.raw_id: m.status for m in metrics}[3] == "[" * 50_000 + "]" * 50_000
+    leaves = shred_leaves(spark.createDataFrame(raw[:1], "raw_id long, payload string")).collect()
+    assert len(leaves) == 10 and max(r["def"] for r in leaves) == 200_001
+
+
+@settings(max_examples=200, deadline=None)
+@given(json_values)
+def test_leaves_give_the_record_back(value):
+    """Every leaf once, in its place, and the levels as a walk over the leaves counts them."""
+    def walk(v, steps):
+        if v and isinstance(v, dict):
+            for k, x in v.items():
+                yield from walk(x, (*steps, k))
+        elif v and isinstance(v, list):
+            for n, x in enumerate(v):
+                yield from walk(x, (*steps, n))
+        else:
+            yield steps, v
+
+    got, want = list(leaves_of(json.loads(json.dumps(value), parse_int=Number, parse_float=Number))), list(walk(value, ()))
+    assert [(p, o, d) for p, o, _, d, _, _ in got] == [(".".join("[]" if isinstance(x, int) else x for x in s), [x for x in s if isinstance(x, int)], max(0, len(s) - (v is None))) for s, v in want]
+    assert [t for *_, t in got] == [None if v is None or isinstance(v, dict | list) else json.dumps(v) if not isinstance(v, str) else v for _, v in want]
+    seen = {}
+    for path, ordinals, rep, *_ in got:
+        before = seen.get(path)
+        assert rep == 0 if before is None or before == ordinals else before[: rep - 1] == ordinals[: rep - 1] and before[rep - 1] != ordinals[rep - 1]
+        seen[path] = ordinals
