@@ -10,10 +10,12 @@ of ranks, so only the pages of one bin per source are ever ranked together.
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the tokenizer's vocabulary splits text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BINS = 1 << 14
-#: Longest piece the tokenizer gets at once; longer texts are cut at white space before it.
+#: Characters that the tokenizer gets at once; longer texts are cut where the pattern cuts, whatever stands around.
 PIECE = 1 << 16
 
 
@@ -43,19 +45,40 @@ def count_tokens(text: str | None, path: str = TOKENIZER) -> int:
         return 0
     encode, total, at = encoder(path).encode_ordinary, 0, 0
     while len(text) - at > PIECE:
-        end = at + PIECE
-        cut = max(text.rfind(" ", at + 1, end), text.rfind("\n", at + 1, end))
-        end = cut if cut > at else end
+        end = _cut(text, at, at + PIECE)
         total += len(encode(text[at:end]))
         at = end
     return total + len(encode(text[at:] if at else text))
 
 
+def _cut(text: str, at: int, end: int) -> int:
+    """A place before white space that follows something else: no part of the pattern reaches over it.
+
+    The last such place up to ``end``, else the first after it; the end of the text if there is none.
+    """
+    found = end + 1
+    while found > at + 1:
+        found = max(text.rfind(" ", at + 1, found), text.rfind("\n", at + 1, found))
+        if found > at and not text[found - 1].isspace():
+            return found
+    for found in range(end + 1, len(text)):
+        if text[found] in " \n" and not text[found - 1].isspace():
+            return found
+    return len(text)
+
+
 def token_sizes(documents: DataFrame, *, path: str = TOKENIZER) -> DataFrame:
-    """``(doc_id, source, weight, tokens)``; pages are preferred by their mean confidence, 0.75 where it is unknown."""
+    """``(doc_id, source, weight, tokens)``; pages are preferred by their mean confidence, 0.75 where it is unknown.
+
+    ``path`` is the tokenizer's rank file on the driver; it is sent to the executors with the job.
+    """
+    documents.sparkSession.sparkContext.addFile(path)
+    name = os.path.basename(path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = SparkFiles.get(name)
         for b in batches:
-            sizes = pa.array([count_tokens(t, path) for t in b.column("text").to_pylist()], type=pa.int64())
+            sizes = pa.array([count_tokens(t, own) for t in b.column("text").to_pylist()], type=pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), b.column("weight"), sizes], names=["doc_id", "source", "weight", "tokens"])
 
     conf = F.col("mean_conf").cast("double")

@@ -80,9 +80,17 @@ def _sizes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return targets, mixing.token_sizes(pages)
 
 
-def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Target and actual share of every source."""
     targets, sizes = _sizes(spark, sf)
-    return mixing.source_plan(targets, sizes).where(~F.col("reaches")).select("source")
+    sizes = materialize(sizes)
+    plan = mixing.source_plan(targets, sizes)
+    return mixing.shares(plan, mixing.mix(sizes, plan))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources that stay below their share of the mix although it uses all of their pages as often as it may."""
+    return p8_shares(spark, sf).where((F.col("mixed") < F.col("wanted")) & (F.col("mixed") == F.col("max_repeats") * F.col("available"))).select("source")
 
 
 def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
@@ -92,14 +100,6 @@ def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(sizes, mixing.source_plan(targets, sizes))
 
 
-def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
-    """Target and actual share of every source."""
-    targets, sizes = _sizes(spark, sf)
-    sizes = materialize(sizes)
-    plan = mixing.source_plan(targets, sizes)
-    return mixing.shares(plan, mixing.mix(sizes, plan))
-
-
 def p9_restored(spark: SparkSession, sf: str) -> DataFrame:
     """Wrongly decoded lines with the text as it was, where the bytes survive."""
     documents = table(spark, sf, "documents")

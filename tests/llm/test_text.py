@@ -16,6 +16,8 @@ def test_tokens_of_long_and_empty_texts(monkeypatch):
     whole = len(encode(text))
     monkeypatch.setattr(mixing, "PIECE", 256)
     assert mixing.count_tokens(text) == whole
+    for text in ("x" * 3000, "ab12" * 700, "a  b\n\n c\t d   " * 200, " " * 900, "dots... and, commas;" * 100, "\x1c a\u3000 b\xa0 c" * 150, "好的，" * 900 + " x" * 200, "it's  we'll \n 12 34" * 90):
+        assert mixing.count_tokens(text) == len(encode(text))
     assert mixing.count_tokens("x" * 1000) > 0 and mixing.count_tokens(None) == 0 == mixing.count_tokens("")
 
 
@@ -51,6 +53,20 @@ def test_mix(spark):
     assert np.mean(used[0.5]) < np.mean(used[1.0])
 
 
+def test_counts_of_a_long_text_without_white_space():
+    for text in ("xyz1" * 75_000, "x" * 300_000 + " y"):
+        assert mixing.count_tokens(text) == len(mixing.encoder(mixing.TOKENIZER).encode_ordinary(text))
+
+
+def test_unreached_shares_are_those_of_all_pages(spark):
+    """Sources found by what the mix reaches, against the sums."""
+    sf_rows = spark.read.parquet(f"{SF}/mix_targets.parquet").collect()
+    rows = {r.source: r for r in queries.p8_shares(spark, SF).collect()}
+    total = sum(r.available for r in rows.values())
+    want = {t.source for t in sf_rows if t.max_repeats * rows[t.source].available < t.target_share * total}
+    assert {r.source for r in queries.p8_found(spark, SF).collect()} == want != set()
+
+
 def test_mix_of_nothing(spark):
     targets = spark.createDataFrame([("a", 1.0, 3)], "source string, target_share double, max_repeats int")
     empty = sizes_of(spark, [])
