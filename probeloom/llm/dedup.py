@@ -1,14 +1,14 @@
 """Records that differ only in their spelling, collapsed by sorting their canonical form.
 
 Canonical records are range-partitioned by their whole key (and id, so that one key may span
-many partitions), sorted on disk where memory ends, and scanned for runs of equal keys. A run
-that crosses a partition is stitched from what each partition says about its first and last
-key, which is one row per partition.
+many partitions), sorted on disk where memory ends, and scanned for runs of equal keys. The scan
+gives every record its run's first id, which is the representative, and at the end of a run how
+many copies it had. Only a partition's first and last run can go on in a neighbour; what they are
+there is stitched from two rows per partition.
 """
 
 from __future__ import annotations
 
-import json
 import unicodedata
 from collections.abc import Iterator
 
@@ -18,6 +18,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from probeloom.session import materialize
+from probeloom.sources.nested import loads
+
+#: Characters of keys that a sorted partition holds on average at most.
+PARTITION = 64 << 20
 
 
 def fold(text: str) -> str:
@@ -41,11 +45,11 @@ def canonical_record(payload: str | None) -> str | None:
     """The record's canonical form, or None when the payload is no such record.
 
     The template, the set of exact prompts and the set of paraphrase prompts, each folded; a
-    missing, null or oddly typed part counts as empty.
+    missing, null or oddly typed part counts as empty. Payloads may be nested to any depth.
     """
     try:
-        value = json.loads(payload.lstrip("﻿")) if payload else None
-    except (ValueError, RecursionError):
+        value = loads(payload.lstrip("﻿")) if payload else None
+    except ValueError:
         return None
     if not isinstance(value, dict):
         return None
@@ -72,53 +76,79 @@ def canonical_keys(df: DataFrame, id_column: str, payload: str) -> DataFrame:
     return df.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("bigint").alias("id"), F.col(payload).alias("payload")).mapInArrow(run, "id bigint, key string")
 
 
-def collapse(keys: DataFrame) -> DataFrame:
-    """``(id, kept_id, copies)``: every record with the smallest id of its key and the key's rows.
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of equal keys in one sorted partition.
 
-    ``keys`` holds ``(id, key)`` without nulls; it is read twice (for the range bounds and for
-    the sort) and should be a table. Keys are compared in full. A key of any number of rows is
-    spread over as many partitions as its ids need, and only one row per partition is gathered.
+    A row ``(part, edge, id, kept_id)`` per record, then ``(part, edge, kept_id, copies)`` per run;
+    ``edge`` is 0 in the partition's first run, 1 in its last, null in others. The rows of the two
+    edge runs carry their key. Memory holds a batch and the ids of the open run.
+    """
+    from pyspark import TaskContext
+
+    part = TaskContext.get().partitionId()
+    names = ["part", "edge", "id", "kept_id", "copies", "key"]
+
+    def rows(edge: list[int | None], ids: pa.Array, kept: list[int], copies: list[int | None], keys: list[str | None]) -> pa.RecordBatch:
+        columns = [pa.array([part] * len(kept), pa.int32()), pa.array(edge, pa.int32()), ids, pa.array(kept, pa.int64()), pa.array(copies, pa.int64()), pa.array(keys, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    def run_row(edge: int | None) -> pa.RecordBatch:
+        return rows([edge], pa.nulls(1, pa.int64()), [kept], [copies], [None if edge is None else key])
+
+    key, kept, copies, first = None, 0, 0, True  # the open run
+    held: list[pa.Array] = []  # its ids, told apart only when it is known whether it is the last
+    for batch in batches:
+        keys, ids = batch.column("key"), batch.column("id")
+        n = batch.num_rows
+        if not n:
+            continue
+        change = pc.not_equal(keys.slice(1), keys.slice(0, n - 1)).to_numpy(zero_copy_only=False).nonzero()[0] + 1
+        begins = [*([] if keys[0].as_py() == key else [0]), *change.tolist()]
+        cuts = sorted({0, *begins, n})
+        for at, to in zip(cuts, cuts[1:]):
+            if at in begins:
+                if key is not None:
+                    edge = 0 if first else None
+                    yield from (rows([edge] * len(a), a, [kept] * len(a), [None] * len(a), [None] * len(a)) for a in held)
+                    yield run_row(edge)
+                    first, held = False, []
+                key, kept, copies = keys[at].as_py(), ids[at].as_py(), 0
+            copies += to - at
+            held.append(ids.slice(at, to - at))
+            if first and len(held) > 1:  # a run that fills the partition is its first as well as its last
+                yield from (rows([0] * len(a), a, [kept] * len(a), [None] * len(a), [None] * len(a)) for a in held)
+                held = []
+    if key is not None:
+        edge = 0 if first else 1
+        yield from (rows([edge] * len(a), a, [kept] * len(a), [None] * len(a), [None] * len(a)) for a in held)
+        yield run_row(edge)
+
+
+def collapse(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members ``(id, kept_id)`` and representatives ``(kept_id, copies)``: the smallest id of each key and the key's rows.
+
+    ``keys`` holds ``(id, key)`` without nulls; it is read three times (for its size, for the
+    range bounds and for the sort) and should be a table. Keys are compared in full. A key of any
+    number of rows is spread over as many partitions as its ids need; there are more partitions
+    than ``spark.sql.shuffle.partitions`` where the keys ask for it.
     """
     spark = keys.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = keys.agg(F.sum(F.length("key").cast("bigint") + 16)).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION))
     ordered = keys.repartitionByRange(parts, "key", "id").sortWithinPartitions("key", "id")
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows ``(part, run, id)`` of runs of equal keys; then one row with the key of the first run and of the last."""
-        from pyspark import TaskContext
-
-        def rows(runs: list[int], ids: pa.Array, keys: list[str | None]) -> pa.RecordBatch:
-            columns = [pa.array([part] * len(runs), pa.int32()), pa.array(runs, pa.int64()), ids, pa.array(keys, pa.string())]
-            return pa.RecordBatch.from_arrays(columns, names=["part", "run", "id", "key"])
-
-        part, run, previous, first = TaskContext.get().partitionId(), -1, None, None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            key = b.column("key")
-            head = key[0].as_py()
-            first = head if first is None else first
-            run += int(head != previous)
-            change = pc.not_equal(key.slice(1), key.slice(0, len(key) - 1)).to_numpy(zero_copy_only=False)
-            runs = [run, *(run + change.cumsum()).tolist()]
-            run, previous = runs[-1], key[len(key) - 1].as_py()
-            yield rows(runs, b.column("id"), [None] * len(runs))
-        if first is not None:
-            ends = {0: first, run: previous}
-            yield rows(list(ends), pa.nulls(len(ends), pa.int64()), list(ends.values()))
-
-    runs = materialize(ordered.mapInArrow(scan, "part int, run bigint, id bigint, key string"))
-    members = runs.where(F.col("id").isNotNull()).select("part", "run", "id")
-    heads = members.groupBy("part", "run").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("rows"))
-    # the first and the last run of each partition; only these can go on in a neighbour
-    border = runs.where(F.col("id").isNull()).select("part", "run", "key").join(heads, ["part", "run"])
-    stitched = border.select("part", "run", F.min("low").over(Window.partitionBy("key")).alias("kept"), F.sum("rows").over(Window.partitionBy("key")).alias("total"))
-    whole = heads.join(stitched, ["part", "run"], "left").select("part", "run", F.coalesce("kept", "low").alias("kept_id"), F.coalesce("total", "rows").alias("copies"))
-    return members.join(whole, ["part", "run"]).select("id", "kept_id", "copies")
-
-
-def spelling_copies(df: DataFrame, id_column: str, payload: str) -> DataFrame:
-    """``(id, kept_id, copies)`` of every payload that is a record.
+    runs = materialize(ordered.mapInArrow(_scan, "part int, edge int, id bigint, kept_id bigint, copies bigint, key string"))
+    # two rows per partition, of the runs that can go on in a neighbour
+    edges = runs.where(F.col("id").isNull() & F.col("edge").isNotNull())
+    same = Window.partitionBy("key")
+    stitched = materialize(edges.select("part", "edge", F.min("kept_id").over(same).alias("true_id"), F.sum("copies").over(same).alias("total"), (F.row_number().over(same.orderBy("kept_id", "part")) == 1).alias("leads")))
+    both = runs.drop("key").join(F.broadcast(stitched), ["part", "edge"], "left")
+    members = both.where(F.col("id").isNotNull()).select("id", F.coalesce("true_id", "kept_id").alias("kept_id"))
+    heads = both.where(F.col("id").isNull() & F.coalesce("leads", F.lit(True))).select(F.coalesce("true_id", "kept_id").alias("kept_id"), F.coalesce("total", "copies").alias("copies"))
+    return members, heads
+
+
+def spelling_copies(df: DataFrame, id_column: str, payload: str) -> tuple[DataFrame, DataFrame]:
+    """Members ``(id, kept_id)`` and representatives ``(kept_id, copies)`` of the payloads that are records.
 
     Payloads that are null, damaged or hold none of the compared texts are no records and have
     no row. Rows with a null id are left out; a repeated id counts as often as it occurs.

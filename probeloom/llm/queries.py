@@ -46,13 +46,13 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p4_copies(spark: SparkSession, sf: str) -> DataFrame:
     """One representative per record with the number of its copies."""
-    all_rows = dedup.spelling_copies(table(spark, sf, "case_submissions"), "submission_id", "payload")
-    return all_rows.where(F.col("id") == F.col("kept_id")).select(F.col("id").alias("submission_id"), "copies").distinct()
+    _, records = dedup.spelling_copies(table(spark, sf, "case_submissions"), "submission_id", "payload")
+    return records.select(F.col("kept_id").alias("submission_id"), "copies")
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    all_rows = dedup.spelling_copies(table(spark, sf, "case_submissions"), "submission_id", "payload")
-    return all_rows.where(F.col("id") != F.col("kept_id")).select("kept_id", F.col("id").alias("copy_id"))
+    members, _ = dedup.spelling_copies(table(spark, sf, "case_submissions"), "submission_id", "payload")
+    return members.where(F.col("id") != F.col("kept_id")).select("kept_id", F.col("id").alias("copy_id"))
 
 
 def p6_top3(spark: SparkSession, sf: str) -> DataFrame:
@@ -121,7 +121,19 @@ SELECT {columns} FROM (
 ) WHERE rank <= 3
 """
 
+# letters and digits of a text without case, however its accents are coded
+_FOLD = "regexp_replace(nfc_normalize(lower(nfc_normalize({x}))), '[^\\p{{L}}\\p{{N}}\\p{{M}}]', '', 'g')"
+_PROMPTS = "list_sort(list_distinct(list_transform(json_extract_string(j, '$.probes.{g}[*].prompt'), lambda x: {fold})))"
+_RECORDS = f"""
+WITH p AS (SELECT submission_id AS id, ltrim(payload, chr(65279)) AS t FROM case_submissions WHERE json_valid(ltrim(payload, chr(65279)))),
+r AS (SELECT id, {_FOLD.format(x="coalesce(CASE WHEN json_type(j, '$.edit.prompt_template') = 'VARCHAR' THEN j ->> '$.edit.prompt_template' END, '')")} AS template,
+  {_PROMPTS.format(g="exact", fold=_FOLD.format(x="x"))} AS exact, {_PROMPTS.format(g="paraphrase", fold=_FOLD.format(x="x"))} AS paraphrase FROM (SELECT id, t::JSON AS j FROM p)),
+g AS (SELECT min(id) AS kept_id, count(*) AS copies, list(id) AS ids FROM r WHERE template <> '' OR len(exact) > 0 OR len(paraphrase) > 0 GROUP BY template, exact, paraphrase)
+"""
+
 ORACLE = {
+    "p4_copies": f"{_RECORDS} SELECT kept_id AS submission_id, copies FROM g",
+    "p4_found": f"{_RECORDS} SELECT kept_id, copy_id FROM (SELECT kept_id, unnest(ids) AS copy_id FROM g) WHERE copy_id <> kept_id",
     # the outcome is the same in characters as in tokens
     "p8_found": """
 WITH a AS (SELECT source, sum(length(text)) AS n FROM documents GROUP BY source), j AS (SELECT m.*, coalesce(a.n, 0) AS n FROM mix_targets m LEFT JOIN a USING (source))

@@ -91,6 +91,14 @@ def test_fold():
     assert dedup.fold("́") == "" == dedup.fold(" \n")
 
 
+def collapsed(members, heads):
+    """(id, kept id, copies) of every member; one head per record."""
+    copies = {r.kept_id: r.copies for r in heads.collect()}
+    rows = sorted((r.id, r.kept_id, copies[r.kept_id]) for r in members.collect())
+    assert heads.count() == len(copies) == len({k for _, k, _ in rows}) and sum(copies.values()) == len(rows)
+    return rows
+
+
 def test_spelling_copies(spark):
     p = lambda t: [{"prompt": x} for x in t]
     data = [
@@ -99,18 +107,25 @@ def test_spelling_copies(spark):
         (None, payload("X", [], {})), (20, payload("y" * 100_000, [], [])), (21, payload("Y " * 100_000, [], [])),
     ]
     df = spark.createDataFrame([(i, t, "clash", "k") for i, t in data], "submission_id long, payload string, key string, id string")
-    got = sorted((r.id, r.kept_id, r.copies) for r in dedup.spelling_copies(df, "submission_id", "payload").collect())
+    got = collapsed(*dedup.spelling_copies(df, "submission_id", "payload"))
     assert got == [(3, 3, 2), (4, 4, 1), (5, 3, 2), (16, 16, 2), (17, 16, 2), (20, 20, 2), (21, 20, 2)]
-    assert dedup.spelling_copies(df.limit(0), "submission_id", "payload").count() == 0
+    assert collapsed(*dedup.spelling_copies(df.limit(0), "submission_id", "payload")) == []
+    deep = '{"edit": {"prompt_template": "A"}, "more": ' + "[" * 100_000 + "]" * 100_000 + "}"
+    assert dedup.canonical_record(deep) == dedup.canonical_record('{"edit": {"prompt_template": "a."}}') != None  # noqa: E711
 
 
-def test_runs_across_partitions(spark):
+def test_runs_across_partitions(spark, monkeypatch):
     keys = [(i, "hot" if i % 3 else f"k{i % 50}") for i in range(20_000)] + [(20_000 + i, f"u{i}") for i in range(20)]
-    got = dedup.collapse(spark.createDataFrame(keys, "id long, key string")).collect()
+    df = spark.createDataFrame(keys, "id long, key string")
     groups = defaultdict(list)
     for i, k in keys:
         groups[k].append(i)
-    assert sorted((r.id, r.kept_id, r.copies) for r in got) == sorted((i, min(v), len(v)) for v in groups.values() for i in v)
+    want = sorted((i, min(v), len(v)) for v in groups.values() for i in v)
+    assert collapsed(*dedup.collapse(df)) == want
+    monkeypatch.setattr(dedup, "PARTITION", 10_000)  # many partitions within one key
+    assert collapsed(*dedup.collapse(df)) == want
+    one = spark.createDataFrame([(i, "same") for i in range(3000)], "id long, key string")
+    assert collapsed(*dedup.collapse(one)) == [(i, 0, 3000) for i in range(3000)]
 
 
 def test_copies_of_table(spark):
