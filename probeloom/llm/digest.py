@@ -3,14 +3,16 @@
 A digest clusters sorted values so that a cluster near quantile q holds at most about
 ``pi * sqrt(q * (1 - q)) / compression`` of the weight (the arcsine size function).
 Digests are merged by clustering their centroids again, so digests of partitions, batches or
-days combine into the digest of the whole. A second pass counts the rows below and at every
-estimate and so certifies its rank error.
+days combine into the digest of the whole; they meet in a tree of fixed fan-in, and a task holds
+one group at a time. A second pass counts the rows below and at every estimate and so certifies
+its rank error; where that is beyond the bound asked for, finer digests follow.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +26,13 @@ COMPRESSION = 600
 BROADCAST_ROWS = 20_000
 #: Rows that a task gathers before it clusters them.
 CHUNK = 1 << 18
-#: Partial digests of a group that one task merges at a time.
+#: Partitions whose digests of a group one task merges; more meet in several rounds.
 FAN_IN = 256
 SALTS = 16
+#: Centroids that a task keeps before it hands its digests on.
+HELD = 1 << 20
+#: How much finer the digests are, and how often, where an estimate misses the bound.
+FINER, ROUNDS = 4, 3
 
 
 def cluster(code: np.ndarray, mean: np.ndarray, weight: np.ndarray, compression: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,8 +101,11 @@ def partial_digests(df: DataFrame, keys: Sequence[str], fields: Sequence[str], c
     """Digests of every partition: one row per group and field in it (several for long partitions)."""
     keys, fields = list(keys), list(fields)
 
-    def digest(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    schema = _schema(df, keys)
+
+    def digest(table: pa.Table) -> pa.Table:
         code, first = _codes(table, keys)
+        made = []
         for field in fields:
             value = table.column(field).combine_chunks().to_numpy(zero_copy_only=False)
             ok = np.isfinite(value)
@@ -108,59 +117,89 @@ def partial_digests(df: DataFrame, keys: Sequence[str], fields: Sequence[str], c
             np.minimum.at(low, code[ok], value[ok])
             np.maximum.at(high, code[ok], value[ok])
             name = pa.array([field] * table.num_rows).dictionary_encode().dictionary_decode()
-            yield _batch(table, keys, name, c, m, w, low[there], high[there], first[there])
+            made.append(_batch(table, keys, name, c, m, w, low[there], high[there], first[there]))
+        return pa.Table.from_batches(made) if made else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
-        for batch in batches:
-            held.append(batch)
-            rows += batch.num_rows
-            if rows >= CHUNK:
-                yield from digest(pa.Table.from_batches(held))
+        held, rows, done = [], 0, None
+        for batch in chain(batches, (None,)):
+            if batch is not None:
+                held.append(batch)
+                rows += batch.num_rows
+            if rows >= CHUNK or batch is None and rows:
+                new = digest(pa.Table.from_batches(held))
+                done = new if done is None else done if new is None else _merged(pa.concat_tables([done, new]), keys, compression)
                 held, rows = [], 0
-        if rows:
-            yield from digest(pa.Table.from_batches(held))
+                if done is not None and len(done.column("means").combine_chunks().flatten()) > HELD:
+                    yield from done.to_batches()
+                    done = None
+        if done is not None:
+            yield from done.to_batches()
 
     plain = df.select(*keys, *(F.col(f).cast("double").alias(f) for f in fields))
-    return plain.mapInArrow(run, _schema(plain, keys))
+    return plain.mapInArrow(run, schema)
+
 
+def _merged(table: pa.Table, keys: Sequence[str], compression: int) -> pa.Table:
+    """One digest per group of the digests of a table."""
+    code, first = _codes(table, [*keys, "field"])
+    lengths = np.diff(table.column("means").combine_chunks().offsets.to_numpy())
+    flat = lambda name: table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    c, m, w = cluster(np.repeat(code, lengths), flat("means"), flat("weights"), compression)
+    low, high = np.full(len(first), np.inf), np.full(len(first), -np.inf)
+    np.minimum.at(low, code, table.column("low").to_numpy())
+    np.maximum.at(high, code, table.column("high").to_numpy())
+    return pa.Table.from_batches([_batch(table, list(keys), table.column("field").combine_chunks(), c, m, w, low, high, first)])
 
-def _merge_once(partials: DataFrame, keys: Sequence[str], compression: int, salted: bool) -> DataFrame:
+
+def _merge_round(partials: DataFrame, keys: Sequence[str], compression: int) -> DataFrame:
+    """Digests ``(*keys, field, part, ...)`` merged where group and part agree, one group after the other."""
     keys = list(keys)
-    spark = partials.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    where = F.pmod(F.xxhash64(*keys, "field"), F.lit(buckets))
-    schema = _schema(partials, keys)
-
-    def run(table: pa.Table) -> pa.Table:
-        code, first = _codes(table, [*keys, "field"])
-        means = table.column("means").combine_chunks()
-        lengths = np.diff(means.offsets.to_numpy())
-        flat = lambda name: table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        c, m, w = cluster(np.repeat(code, lengths), flat("means"), flat("weights"), compression)
-        low, high = np.full(len(first), np.inf), np.full(len(first), -np.inf)
-        np.minimum.at(low, code, table.column("low").to_numpy())
-        np.maximum.at(high, code, table.column("high").to_numpy())
-        return pa.Table.from_batches([_batch(table, keys, table.column("field").combine_chunks(), c, m, w, low, high, first)])
-
-    spread = partials.select(*keys, "field", "n", "low", "high", "means", "weights", where.alias("bucket"))
-    if salted:
-        spread = spread.withColumn("salt", F.pmod(F.xxhash64(F.spark_partition_id()), F.lit(FAN_IN)))
-        return spread.groupBy("bucket", "salt").applyInArrow(lambda t: run(t), schema)
-    return spread.groupBy("bucket").applyInArrow(lambda t: run(t), schema)
+    by = [*keys, "field", "part"]
+    schema = _schema(partials, keys) + ", part bigint"
+    names = [*keys, "field", "n", "low", "high", "means", "weights"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by group; what may go on in the next batch is held back."""
+        open_group: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            if open_group is not None:
+                table = pa.concat_tables([open_group, table])
+            code, _ = _codes(table, by)
+            cut = int(np.flatnonzero(code != code[-1])[-1]) + 1 if (code != code[-1]).any() else 0
+            if cut:
+                yield from with_part(table.slice(0, cut))
+            # the last group as far as it came, as one digest
+            open_group = pa.Table.from_batches(list(with_part(table.slice(cut))))
+        if open_group is not None:
+            yield from open_group.to_batches()
+
+    def with_part(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        made = _merged(table.combine_chunks(), [*keys, "part"], compression)
+        yield from made.select([*names, "part"]).combine_chunks().to_batches()
+
+    spread = partials.select(*names, "part").repartition(*by).sortWithinPartitions(*by)
+    return spread.mapInArrow(run, schema)
 
 
 def merge_digests(partials: DataFrame, keys: Sequence[str], compression: int = COMPRESSION) -> DataFrame:
     """One digest per group of ``keys`` and field, whatever the digests of ``partials`` stand for.
 
-    Dropping a key (say the batch) merges the batches into the digest of the whole. With many
-    partitions the digests of a group are first merged in salted shares, so no task holds more
-    than a share of them.
+    Dropping a key (say the batch) merges the batches into the digest of the whole. Digests meet
+    in a tree: each task merges those of up to :data:`FAN_IN` partitions, as they come, so a group
+    of any number of digests is never in one task before it is that few.
     """
-    own = partials.select(*keys, "field", "n", "low", "high", "means", "weights")
-    if own.rdd.getNumPartitions() > FAN_IN:
-        own = _merge_once(own, keys, compression, salted=True)
-    return _merge_once(own, keys, compression, salted=False)
+    own = partials.select(*keys, "field", "n", "low", "high", "means", "weights").withColumn("part", F.spark_partition_id().cast("bigint"))
+    parts = partials.rdd.getNumPartitions()
+    while True:
+        own = own.withColumn("part", F.floor(F.col("part") / FAN_IN))
+        own = _merge_round(own, keys, compression)
+        parts = -(-parts // FAN_IN)
+        if parts <= 1:
+            return own.drop("part")
 
 
 def estimates(digests: DataFrame, keys: Sequence[str], points: Sequence[float]) -> DataFrame:
@@ -199,7 +238,7 @@ def certify(df: DataFrame, found: DataFrame, keys: Sequence[str], fields: Sequen
         right = F.broadcast(right)
     else:
         right = right.withColumn("e_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int"))
+        rows = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
         on.append(F.col("salt") == F.col("e_salt"))
     counted = rows.join(right, on, "inner").groupBy(*keys, "field").agg(
         F.count(F.lit(1)).alias("rows"),
@@ -216,12 +255,32 @@ def certify(df: DataFrame, found: DataFrame, keys: Sequence[str], fields: Sequen
     return out.withColumn("rank_error", error)
 
 
-def percentiles(df: DataFrame, keys: Sequence[str], fields: Sequence[str], points: Sequence[float], *, compression: int = COMPRESSION) -> DataFrame:
+def percentiles(df: DataFrame, keys: Sequence[str], fields: Sequence[str], points: Sequence[float], *, compression: int = COMPRESSION, max_error: float | None = None) -> DataFrame:
     """Certified percentiles of the finite values of ``fields`` for every group of ``keys``.
 
     Null, NaN and infinite values take no part; a group without a finite value has no row. Null
     keys form a group of their own. Ties, repeated rows and empty tables are handled; columns
-    that are not named do not matter.
+    that are not named do not matter. With ``max_error`` the groups of which a counted rank error
+    is beyond it are digested again, :data:`FINER` times as finely, up to :data:`ROUNDS` times;
+    the certificate of what remains says how far it is off.
     """
+    keys = list(keys)
     digests = merge_digests(partial_digests(df, keys, fields, compression), keys, compression)
-    return certify(df, estimates(digests, keys, points), keys, fields, points)
+    found = certify(df, estimates(digests, keys, points), keys, fields, points)
+    if max_error is None:
+        return found
+    kept = []
+    for again in range(1, ROUNDS + 1):
+        found = materialize(found)
+        missed = found.where(F.col("rank_error") > F.greatest(F.lit(max_error), 1 / F.col("n"))).select(*(F.col(k).alias(f"m_{k}") for k in keys)).distinct()
+        if missed.isEmpty():
+            break
+        missed = materialize(missed)
+        mine = [F.col(k).eqNullSafe(F.col(f"m_{k}")) for k in keys]
+        kept.append(found.join(missed, mine, "left_anti"))
+        rest = df.select(*keys, *fields).join(missed, mine, "left_semi")
+        finer = compression * FINER**again
+        found = certify(rest, estimates(merge_digests(partial_digests(rest, keys, fields, finer), keys, finer), keys, points), keys, fields, points)
+    for part in kept:
+        found = found.unionByName(part)
+    return found

@@ -13,6 +13,7 @@ PROBE_GROUPS = ("exact", "paraphrase", "locality", "portability", "control")
 SAMPLE_RATE = 0.0125  # chance per probe of a case
 SAMPLE_SALT = "case-sample"
 DELTAS = ("absolute_delta", "signed_delta")
+RANK_ERROR = 0.005  # of the percentiles of p3_found
 POINTS = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
 
@@ -35,8 +36,8 @@ def p3_percentiles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Batches of a metric with a long tail of ``absolute_delta`` or a low median of ``signed_delta``."""
-    found = digest.percentiles(table(spark, sf, "probe_evidence"), ["metric_id", "batch_id"], DELTAS, (0.5, 0.95))
+    """Batches of a metric with a long tail of ``absolute_delta`` or a low median of ``signed_delta``, by estimates whose counted rank error is within the bound."""
+    found = digest.percentiles(table(spark, sf, "probe_evidence"), ["metric_id", "batch_id"], DELTAS, (0.5, 0.95), max_error=RANK_ERROR)
     at = lambda p: F.max(F.when(F.col("percentile") == p, F.col("value")))
     both = found.groupBy("metric_id", "batch_id", "field").agg(at(0.5).alias("median"), at(0.95).alias("high"))
     tail = (F.col("field") == "absolute_delta") & (F.col("high") >= 6 * F.col("median"))
@@ -44,6 +45,12 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return both.where(tail | low).select("metric_id", "batch_id", "field")
 
 
+def p3_certified(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the counted rank error of every percentile per metric and batch is within the bound."""
+    found = digest.percentiles(table(spark, sf, "probe_evidence"), ["metric_id", "batch_id"], DELTAS, POINTS, max_error=RANK_ERROR)
+    return found.select("metric_id", "batch_id", "field", "percentile", "n", (F.col("rank_error") <= F.greatest(F.lit(RANK_ERROR), 1 / F.col("n"))).alias("within"))
+
+
 def p4_copies(spark: SparkSession, sf: str) -> DataFrame:
     """One representative per record with the number of its copies."""
     _, records = dedup.spelling_copies(table(spark, sf, "case_submissions"), "submission_id", "payload")
@@ -110,7 +117,7 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return p9_restored(spark, sf).select("doc_id", "line_no")
 
 
-QUERIES = {f.__name__: f for f in (p2_sample, p3_found, p3_percentiles, p4_found, p4_copies, p6_found, p6_top3, p7_found, p7_leaks, p8_found, p8_mix, p8_shares, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p2_sample, p3_found, p3_percentiles, p3_certified, p4_found, p4_copies, p6_found, p6_top3, p7_found, p7_leaks, p8_found, p8_mix, p8_shares, p9_found, p9_restored)}
 
 _WEIGHT = "greatest(1, " + " + ".join(f"coalesce(len(probes.{g}), 0)" for g in PROBE_GROUPS) + ")::DOUBLE"
 _UNIT = f"(('0x' || substr(sha256('{SAMPLE_SALT}:' || case_id), 1, 13))::BIGINT)::DOUBLE / 4503599627370496.0"
@@ -148,6 +155,10 @@ GROUP BY case_id HAVING max(u) < max(w) * {SAMPLE_RATE}
 WITH v AS (SELECT metric_id, batch_id, 'absolute_delta' AS field, absolute_delta AS x FROM probe_evidence UNION ALL SELECT metric_id, batch_id, 'signed_delta', signed_delta FROM probe_evidence),
 q AS (SELECT metric_id, batch_id, field, quantile_cont(x, 0.5) AS m, quantile_cont(x, 0.95) AS h FROM v WHERE isfinite(x) GROUP BY ALL)
 SELECT metric_id, batch_id, field FROM q WHERE (field = 'absolute_delta' AND h >= 6 * m) OR (field = 'signed_delta' AND m <= -0.4)
+""",
+    "p3_certified": f"""
+WITH v AS (SELECT metric_id, batch_id, 'absolute_delta' AS field, absolute_delta AS x FROM probe_evidence UNION ALL SELECT metric_id, batch_id, 'signed_delta', signed_delta FROM probe_evidence)
+SELECT metric_id, batch_id, field, percentile::DOUBLE AS percentile, count(*) AS n, true AS within FROM v, (SELECT unnest([{", ".join(map(str, POINTS))}]) AS percentile) WHERE isfinite(x) GROUP BY ALL
 """,
     "p6_found": _TOP.format(columns="case_id, metric_id, evidence_id"),
     "p6_top3": _TOP.format(columns="case_id, metric_id, absolute_delta, probe_id, evidence_id, rank"),

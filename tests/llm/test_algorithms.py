@@ -74,13 +74,34 @@ def test_percentiles(spark, monkeypatch, broadcast):
 def test_digests_of_batches_combine(spark, monkeypatch):
     df = spark.read.parquet(f"{SF}/probe_evidence.parquet").repartition(5)
     batches = digest.merge_digests(digest.partial_digests(df, ["metric_id", "batch_id"], ["signed_delta"]), ["metric_id", "batch_id"])
-    for fan_in in (256, 1):
+    for fan_in in (256, 2):
         monkeypatch.setattr(digest, "FAN_IN", fan_in)
         whole = digest.merge_digests(batches, ["metric_id"])
         got = digest.certify(df, digest.estimates(whole, ["metric_id"], [0.5, 0.9]), ["metric_id"], ["signed_delta"], [0.5, 0.9]).collect()
         assert len(got) == 2 * 4 and all(r.rank_error < 0.005 for r in got)
 
 
+def test_coarse_digests_are_refined(spark, monkeypatch):
+    """Estimates beyond the bound are made again from finer digests of their groups only."""
+    rng = np.random.default_rng(8)
+    data = [(k, float(v)) for k, n in (("a", 6000), (None, 4000), ("small", 20)) for v in rng.lognormal(sigma=2, size=n)]
+    df = spark.createDataFrame(data, "k string, x double").repartition(4)
+    coarse = digest.percentiles(df, ["k"], ["x"], (0.3, 0.95), compression=10).collect()
+    assert max(r.rank_error for r in coarse) > 0.002
+    fine = digest.percentiles(df, ["k"], ["x"], (0.3, 0.95), compression=10, max_error=0.002).collect()
+    assert len(fine) == 6 and all(r.rank_error <= max(0.002, 1 / r.n) for r in fine)
+    assert digest.percentiles(df.limit(0), ["k"], ["x"], (0.5,), max_error=0.01).count() == 0
+
+
+def test_long_partitions_keep_one_digest(spark, monkeypatch):
+    monkeypatch.setattr(digest, "CHUNK", 500)
+    df = spark.range(20_000, numPartitions=2).selectExpr("id % 3 as k", "cast(id as double) as x")
+    partials = digest.partial_digests(df, ["k"], ["x"])
+    assert partials.count() == 6
+    got = digest.certify(df, digest.estimates(digest.merge_digests(partials, ["k"]), ["k"], [0.5]), ["k"], ["x"], [0.5]).collect()
+    assert len(got) == 3 and all(r.rank_error < 0.005 for r in got)
+
+
 def payload(template, exact, paraphrase, **more):
     return json.dumps({"edit": {"prompt_template": template}, "probes": {"exact": exact, "paraphrase": paraphrase}, **more}, ensure_ascii=False)
 
