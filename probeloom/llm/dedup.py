@@ -12,6 +12,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -88,12 +89,15 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId()
     names = ["part", "edge", "id", "kept_id", "copies", "key"]
 
-    def rows(edge: list[int | None], ids: pa.Array, kept: list[int], copies: list[int | None], keys: list[str | None]) -> pa.RecordBatch:
-        columns = [pa.array([part] * len(kept), pa.int32()), pa.array(edge, pa.int32()), ids, pa.array(kept, pa.int64()), pa.array(copies, pa.int64()), pa.array(keys, pa.string())]
-        return pa.RecordBatch.from_arrays(columns, names=names)
+    def rows(edge: int | None, ids: pa.Array | None, kept: np.ndarray, copies: np.ndarray | None = None, key: str | None = None) -> pa.RecordBatch:
+        n = len(kept)
+        columns = [np.full(n, part, dtype=np.int32), pa.nulls(n, pa.int32()) if edge is None else np.full(n, edge, dtype=np.int32), pa.nulls(n, pa.int64()) if ids is None else ids]
+        columns += [kept, pa.nulls(n, pa.int64()) if copies is None else copies, pa.array([key] * n, pa.string())]
+        return pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=names)
 
-    def run_row(edge: int | None) -> pa.RecordBatch:
-        return rows([edge], pa.nulls(1, pa.int64()), [kept], [copies], [None if edge is None else key])
+    def of_open(edge: int | None) -> Iterator[pa.RecordBatch]:
+        """The open run's records that wait."""
+        yield from (rows(edge, a, np.full(len(a), kept)) for a in held)
 
     key, kept, copies, first = None, 0, 0, True  # the open run
     held: list[pa.Array] = []  # its ids, told apart only when it is known whether it is the last
@@ -102,26 +106,32 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = batch.num_rows
         if not n:
             continue
-        change = pc.not_equal(keys.slice(1), keys.slice(0, n - 1)).to_numpy(zero_copy_only=False).nonzero()[0] + 1
-        begins = [*([] if keys[0].as_py() == key else [0]), *change.tolist()]
-        cuts = sorted({0, *begins, n})
-        for at, to in zip(cuts, cuts[1:]):
-            if at in begins:
-                if key is not None:
-                    edge = 0 if first else None
-                    yield from (rows([edge] * len(a), a, [kept] * len(a), [None] * len(a), [None] * len(a)) for a in held)
-                    yield run_row(edge)
-                    first, held = False, []
-                key, kept, copies = keys[at].as_py(), ids[at].as_py(), 0
-            copies += to - at
-            held.append(ids.slice(at, to - at))
-            if first and len(held) > 1:  # a run that fills the partition is its first as well as its last
-                yield from (rows([0] * len(a), a, [kept] * len(a), [None] * len(a), [None] * len(a)) for a in held)
-                held = []
+        starts = np.flatnonzero(pc.not_equal(keys.slice(1), keys.slice(0, n - 1)).to_numpy(zero_copy_only=False)) + 1
+        if key is None:
+            key, kept = keys[0].as_py(), ids[0].as_py()
+        elif keys[0].as_py() != key:
+            starts = np.concatenate([[0], starts])
+        to = int(starts[0]) if len(starts) else n
+        if to:
+            copies += to
+            held.append(ids.slice(0, to))
+        if first:  # a run that fills the partition is its first as well as its last
+            yield from of_open(0)
+            held = []
+        if not len(starts):
+            continue
+        yield from of_open(None)
+        yield rows(0 if first else None, None, np.array([kept]), np.array([copies]), key if first else None)
+        first, last = False, int(starts[-1])
+        if last > to:
+            sizes = np.diff(starts)
+            lows = ids.take(pa.array(starts[:-1])).to_numpy()
+            yield rows(None, ids.slice(to, last - to), np.repeat(lows, sizes))
+            yield rows(None, None, lows, sizes)
+        key, kept, copies, held = keys[last].as_py(), ids[last].as_py(), n - last, [ids.slice(last)]
     if key is not None:
-        edge = 0 if first else 1
-        yield from (rows([edge] * len(a), a, [kept] * len(a), [None] * len(a), [None] * len(a)) for a in held)
-        yield run_row(edge)
+        yield from of_open(1)
+        yield rows(0 if first else 1, None, np.array([kept]), np.array([copies]), key)
 
 
 def collapse(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
