@@ -1,11 +1,11 @@
 """The best N items of every group, from the highest scores down.
 
-Scores are cut into descending bands. Each band is ranked exactly (all ties of a score lie in
-one band), groups that are filled take no part in the bands below, and the last band a group
-needs finishes it by the full tie rule. The rank limit is applied within each task before the
-shuffle. Groups large enough to matter for one task are known from a count, of which there can
-be only :data:`HOT_SHARE`; their rows are ranked in salted shares first, and dropped without a
-shuffle once the group is filled.
+Scores are cut into descending bands by filters on the stored column, which reach the scan. Each
+band is ranked exactly (all ties of a score lie in one band), groups that are filled are left out
+of the bands below before anything is sorted, and the last band a group needs finishes it by the
+full tie rule. The rank limit is applied within each task before the shuffle. Groups large enough
+to matter for one task are known from a count, of which there can be only :data:`HOT_SHARE`; their
+rows are ranked in salted shares first.
 """
 
 from __future__ import annotations
@@ -20,12 +20,15 @@ from probeloom.session import materialize
 
 #: A group is hot when it holds more than one in so many rows; there are at most as many such groups.
 HOT_SHARE = 5_000
-#: Shares of the rows above the lower edges of the bands, from the top.
-BANDS = (0.04, 0.3)
+#: Share of the rows in the top band, and in each that follows, from the top.
+BANDS = (0.3,)
 SALTS = 32
+#: Most filled groups, and bytes of their keys, that are sent to every executor; more are left out after the rank limit by a shuffle.
+FILLED_ROWS, FILLED_BYTES = 500_000, 32 << 20
+INF = float("inf")
 
 
-def _equal(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
+def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, (left[k].eqNullSafe(right[f"h_{k}"]) for k in keys))
 
 
@@ -38,13 +41,22 @@ def top_n(df: DataFrame, keys: Sequence[str], score: str, ties: Sequence[str], n
     gives no rows; other columns do not matter.
     """
     keys, ties = list(keys), list(ties)
-    value = F.col(score).cast("double") + F.lit(0.0)
-    rows = df.select(*keys, value.alias(score), *ties).where(F.col(score).isNotNull() & ~F.isnan(score) & (F.abs(score) != float("inf")))
-    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(score, [1 - b for b in bands], 1000).alias("edges")).first()
+    # on the column as it is, so that the scan can skip; NaN is above all numbers
+    raw = df.select(*keys, score, *ties).where(F.col(score).isNotNull() & (F.col(score) > -INF) & (F.col(score) < INF))
+
+    def rows(low: float | None = None, high: float | None = None) -> DataFrame:
+        part = raw if low is None else raw.where(F.col(score) >= low)
+        part = part if high is None else part.where(F.col(score) < high)
+        return part.withColumn(score, F.col(score).cast("double") + F.lit(0.0))
+
+    facts = raw.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(F.col(score).cast("double"), [1 - b for b in bands], 1000).alias("edges")).first()
     if not facts["n"]:
-        return rows.withColumn("rank", F.lit(1)).limit(0)
+        return rows().withColumn("rank", F.lit(1)).limit(0)
     edges = sorted({float(e) for e in facts["edges"]}, reverse=True)
-    hot = materialize(rows.groupBy(*keys).count().where(F.col("count") * HOT_SHARE > facts["n"]).select(*(F.col(k).alias(f"h_{k}") for k in keys)))
+    named = [F.col(k).alias(f"h_{k}") for k in keys]
+    # at most HOT_SHARE groups: a bounded broadcast
+    hot = materialize(raw.groupBy(*keys).count().where(F.col("count") * HOT_SHARE > facts["n"]).select(*named, F.lit(True).alias("is_hot")))
+    any_hot = not hot.isEmpty()
     order = [F.desc(score), *(F.asc(t) for t in ties)]
 
     def best(part: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -52,27 +64,24 @@ def top_n(df: DataFrame, keys: Sequence[str], score: str, ties: Sequence[str], n
         return part.withColumn("rank", F.dense_rank().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= n)
 
     filled: DataFrame | None = None
+    sendable = False
     taken: list[DataFrame] = []
     for i in range(len(edges) + 1):
-        band = rows
-        if i < len(edges):
-            band = band.where(F.col(score) >= edges[i])
-        if i:
-            band = band.where(F.col(score) < edges[i - 1])
-        still_hot = hot
-        if filled is not None:
-            done = materialize(hot.join(filled, reduce(lambda a, b: a & b, (hot[f"h_{k}"].eqNullSafe(filled[k]) for k in keys)), "left_semi"))
-            band = band.join(F.broadcast(done), _equal(band, done, keys), "left_anti")
-            still_hot = hot.join(done, reduce(lambda a, b: a & b, (hot[f"h_{k}"].eqNullSafe(done[f"h_{k}"]) for k in keys)), "left_anti")
-        # at most HOT_SHARE groups: a bounded broadcast
-        marked = band.join(F.broadcast(still_hot.withColumn("is_hot", F.lit(True))), _equal(band, still_hot, keys), "left").select(*keys, score, *ties, F.coalesce("is_hot", F.lit(False)).alias("is_hot"))
-        salted = marked.where("is_hot").drop("is_hot").withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)))
-        shares = best(salted, [*keys, "salt"]).select(*keys, score, *ties).distinct()
-        own = best(marked.where(~F.col("is_hot")).drop("is_hot").unionByName(shares), keys).select(*keys, score, *ties).distinct()
-        if filled is not None:
-            own = own.join(filled.select(*(F.col(k).alias(f"h_{k}") for k in keys)), reduce(lambda a, b: a & b, (own[k].eqNullSafe(F.col(f"h_{k}")) for k in keys)), "left_anti")
+        band = rows(edges[i] if i < len(edges) else None, edges[i - 1] if i else None)
+        if filled is not None and sendable:
+            band = band.join(F.broadcast(filled), _same(band, filled, keys), "left_anti")
+        if any_hot:
+            marked = band.join(F.broadcast(hot), _same(band, hot, keys), "left").select(*keys, score, *ties, F.coalesce("is_hot", F.lit(False)).alias("is_hot"))
+            salted = marked.where("is_hot").drop("is_hot").withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)))
+            shares = best(salted, [*keys, "salt"]).select(*keys, score, *ties).distinct()
+            band = marked.where(~F.col("is_hot")).drop("is_hot").unionByName(shares)
+        own = best(band, keys).select(*keys, score, *ties).distinct()
+        if filled is not None and not sendable:
+            own = own.join(filled, _same(own, filled, keys), "left_anti")
         taken.append(materialize(own) if i < len(edges) else own)
         if i < len(edges):
             so_far = reduce(DataFrame.unionByName, taken)
-            filled = materialize(so_far.groupBy(*keys).count().where(F.col("count") >= n).select(*keys))
+            filled = materialize(so_far.groupBy(*keys).count().where(F.col("count") >= n).select(*named))
+            size = filled.agg(F.count(F.lit(1)).alias("n"), F.sum(sum((F.coalesce(F.octet_length(F.col(f"h_{k}").cast("string")), F.lit(0)) + 16 for k in keys), F.lit(0))).alias("bytes")).first()
+            sendable = size["n"] <= FILLED_ROWS and (size["bytes"] or 0) <= FILLED_BYTES
     return reduce(DataFrame.unionByName, taken).withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= n)

@@ -166,13 +166,14 @@ def best(data, n):
     return sorted(((k, *x) for k, v in groups.items() for x in sorted(v)[:n]), key=repr)
 
 
-@pytest.mark.parametrize("hot_share", [5000, 4])
-def test_top_n(spark, monkeypatch, hot_share):
+@pytest.mark.parametrize("hot_share, filled_rows, bands", [(5000, 500_000, (0.3,)), (4, 500_000, (0.04, 0.3)), (4, 0, (0.04, 0.3))])
+def test_top_n(spark, monkeypatch, hot_share, filled_rows, bands):
     monkeypatch.setattr(topn, "HOT_SHARE", hot_share)
+    monkeypatch.setattr(topn, "FILLED_ROWS", filled_rows)
     rng = np.random.default_rng(3)
     data = [(f"g{int(k)}" if k < 40 else "hot", float(round(v, 1)), "é" if v > 0.5 else "z", int(i)) for i, (k, v) in enumerate(zip(rng.integers(0, 70, 4000), rng.random(4000)))]
     data += data[:300] + [(None, 0.5, "a", 1), (None, 0.5, None, 2), ("g1", None, "a", 1), ("g1", NAN, "a", 1), ("g1", INF, "a", 1), ("only", 0.0, "a", 1), ("only", -0.0, "a", 1)] + [("hot", 0.9999, "copy", 7)] * 2000
     df = spark.createDataFrame([(*r, "clash") for r in data], "k string, s double, t string, i long, rank string").repartition(5)
-    got = topn.top_n(df.drop("rank").withColumn("count", F.lit(1)), ["k"], "s", ["t", "i"], 3).collect()
+    got = topn.top_n(df.drop("rank").withColumn("count", F.lit(1)), ["k"], "s", ["t", "i"], 3, bands=bands).collect()
     assert sorted(((r.k, -r.s, r.t is not None, r.t or "", r.i) for r in got), key=repr) == best(data, 3)
     assert topn.top_n(df.limit(0), ["k"], "s", ["t", "i"], 3).count() == 0
