@@ -24,7 +24,7 @@ HOT_SHARE = 5_000
 BANDS = (0.3,)
 SALTS = 32
 #: Most filled groups, and bytes of their keys, that are sent to every executor; more are left out after the rank limit by a shuffle.
-FILLED_ROWS, FILLED_BYTES = 500_000, 32 << 20
+FILLED_ROWS, FILLED_BYTES = 50_000, 4 << 20
 INF = float("inf")
 
 
@@ -71,10 +71,9 @@ def top_n(df: DataFrame, keys: Sequence[str], score: str, ties: Sequence[str], n
         if filled is not None and sendable:
             band = band.join(F.broadcast(filled), _same(band, filled, keys), "left_anti")
         if any_hot:
-            marked = band.join(F.broadcast(hot), _same(band, hot, keys), "left").select(*keys, score, *ties, F.coalesce("is_hot", F.lit(False)).alias("is_hot"))
-            salted = marked.where("is_hot").drop("is_hot").withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)))
-            shares = best(salted, [*keys, "salt"]).select(*keys, score, *ties).distinct()
-            band = marked.where(~F.col("is_hot")).drop("is_hot").unionByName(shares)
+            salt = F.when(F.col("is_hot"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS))).otherwise(F.lit(0))
+            marked = band.join(F.broadcast(hot), _same(band, hot, keys), "left").select(*keys, score, *ties, salt.alias("salt"))
+            band = best(marked, [*keys, "salt"]).select(*keys, score, *ties).distinct()
         own = best(band, keys).select(*keys, score, *ties).distinct()
         if filled is not None and not sendable:
             own = own.join(filled, _same(own, filled, keys), "left_anti")
