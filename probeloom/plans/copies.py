@@ -60,6 +60,24 @@ FROM {t} QUALIFY row_number() OVER (PARTITION BY report_id, metric_id ORDER BY i
 _NUMBER = """(a.{c} IS NULL) <> (b.{c} IS NULL) OR (a.{c} IS NOT NULL AND b.{c} IS NOT NULL AND (isnan(a.{c}) <> isnan(b.{c})
   OR (NOT isnan(a.{c}) AND NOT isnan(b.{c}) AND a.{c} <> b.{c} AND abs(a.{c} - b.{c}) > 1e-9)))"""
 
+_APART = """CASE WHEN a.{c} IS NULL OR b.{c} IS NULL THEN (a.{c} IS NULL) <> (b.{c} IS NULL) WHEN isnan(a.{c}) OR isnan(b.{c}) THEN NOT (isnan(a.{c}) AND isnan(b.{c}))
+  ELSE a.{c} <> b.{c} AND abs(a.{c} - b.{c}) > 1e-9 END"""
+
+_DIFFERENCES = f"""
+WITH a AS ({_LATEST.format(t="metric_results")}), b AS ({_LATEST.format(t="metric_results_mirror")}),
+j AS (SELECT a.*, 1 AS l FROM a), k AS (SELECT b.*, 1 AS r FROM b),
+pairs AS (SELECT a.report_id, a.metric_id, {_APART.format(c="aggregate")} AS da, {_APART.format(c="fraction")} AS df, a.status IS DISTINCT FROM b.status AS ds,
+    a.aggregate AS la, b.aggregate AS ra, a.fraction AS lf, b.fraction AS rf, a.status AS ls, b.status AS rs
+  FROM a JOIN b ON a.report_id IS NOT DISTINCT FROM b.report_id AND a.metric_id IS NOT DISTINCT FROM b.metric_id),
+found AS (
+  SELECT j.report_id, j.metric_id, 'only_primary' AS finding, NULL::DOUBLE AS left_number, NULL::DOUBLE AS right_number, NULL AS left_text, NULL AS right_text
+    FROM j LEFT JOIN k ON j.report_id IS NOT DISTINCT FROM k.report_id AND j.metric_id IS NOT DISTINCT FROM k.metric_id WHERE k.r IS NULL
+  UNION ALL SELECT k.report_id, k.metric_id, 'only_mirror', NULL, NULL, NULL, NULL FROM k LEFT JOIN j ON j.report_id IS NOT DISTINCT FROM k.report_id AND j.metric_id IS NOT DISTINCT FROM k.metric_id WHERE j.l IS NULL
+  UNION ALL SELECT report_id, metric_id, 'aggregate', la, ra, NULL, NULL FROM pairs WHERE da
+  UNION ALL SELECT report_id, metric_id, 'coverage_fraction', lf, rf, NULL, NULL FROM pairs WHERE df
+  UNION ALL SELECT report_id, metric_id, 'status', NULL, NULL, ls, rs FROM pairs WHERE ds)
+"""
+
 _START = "ltrim(payload, chr(65279) || ' ' || chr(9) || chr(10) || chr(13))"
 # payloads that are complete JSON, opened for as long as they are a text; the report in each; its metrics in whatever shape
 _WHOLE = f"""
@@ -129,4 +147,5 @@ UNION ALL SELECT report_id, metric_id, 'aggregate' FROM pairs WHERE da
 UNION ALL SELECT report_id, metric_id, 'coverage_fraction' FROM pairs WHERE df
 UNION ALL SELECT report_id, metric_id, 'status' FROM pairs WHERE ds
 """,
+    "p1_differences": f"{_DIFFERENCES} SELECT report_id, metric_id, finding, left_number, right_number, left_text, right_text FROM found",
 }
