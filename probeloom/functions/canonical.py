@@ -63,6 +63,18 @@ def run_id(case_hash: dict[str, object], baseline: dict[str, object], edited: di
     return f"run-{whole['digest'][:24]}"
 
 
+def run_id_column(case_digest: Column, case_size: Column, baseline_digest: Column, edited_digest: Column, encoding: str = CANONICAL) -> Column:
+    """:func:`run_id` of many runs, from the digests of canonical documents."""
+    case = F.concat(F.lit('{"algorithm":"sha256","digest":"'), case_digest, F.lit(f'","encoding":"{encoding}","size_bytes":'), case_size.cast("string"), F.lit("}"))
+    whole = F.concat(F.lit('{"audit_case":'), case, F.lit(',"baseline_snapshot":"'), baseline_digest, F.lit('","edited_snapshot":"'), edited_digest, F.lit('"}'))
+    return F.concat(F.lit("run-"), F.substring(F.sha2(whole, 256), 1, 24))
+
+
+def report_id_column(run: Column) -> Column:
+    """Identity of the report of a run."""
+    return F.regexp_replace(run, "^run-", "report-")
+
+
 def canonical_column(payload: Column) -> Column:
     """Canonical form of JSON texts; null for a text that is no strict JSON."""
     @F.pandas_udf("string")
