@@ -109,6 +109,10 @@ def inventory(spark: SparkSession, artifact: dict) -> DataFrame:
     return spark.createDataFrame(rows, "name string, pos int, shape array<bigint>, dtype string, device string, baseline_sha256 string, edited_sha256 string")
 
 
+#: What is read of a prompt, in this order; the first and the last are of the baseline.
+READS = ("before", "edited", "after")
+
+
 class EditorSession:
     """Scores prompts on both states and closes once the baseline is found changed."""
 
@@ -120,35 +124,35 @@ class EditorSession:
                 raise EditorError(f"the {side} state is not the one of the artifact")
         self._baseline, self._edited, self.closed = baseline, edited, False
 
-    def _again(self, prompt: str, target: str, before: Any) -> None:
-        if self._baseline.score_target(prompt, target) != before:
-            self.close()
-            raise BaselineChanged("the baseline changed while the edited state was scored")
-
     def score(self, prompt: str, target: str) -> tuple[Any, Any]:
-        """Scores of the baseline and the edited state; the baseline is scored before and after."""
+        """Scores of the baseline and the edited state.
+
+        The two states are read in the order of :data:`READS`, whatever the second read does; the
+        row of reads is then judged as :func:`probeloom.operators.metrics.contaminated` judges many.
+        A baseline that is not what it was, or cannot be read again, closes the session.
+        """
         if self.closed:
             raise EditorError("the session is closed")
-        before = self._baseline.score_target(prompt, target)
-        try:
-            edited = self._edited.score_target(prompt, target)
-        except Exception as failure:
+        row: dict[str, Any] = {}
+        errors: dict[str, Exception] = {}
+        for name, state in zip(READS, (self._baseline, self._edited, self._baseline)):
             try:
-                self._again(prompt, target, before)
-            except BaselineChanged as changed:
-                raise changed from failure
-            except Exception as also:
-                self.close()
-                failure.add_note(f"the baseline could not be checked: {type(also).__name__}")
-            raise
-        try:
-            self._again(prompt, target, before)
-        except BaselineChanged:
-            raise
-        except Exception as failure:
-            self.close()
-            raise BaselineChanged("the baseline could not be scored again") from failure
-        return before, edited
+                row[name] = state.score_target(prompt, target)
+            except Exception as error:  # noqa: BLE001
+                errors[name] = error
+                if not row:
+                    raise
+        before, edited, after = READS
+        self.closed = after in errors or row[after] != row[before]
+        if not self.closed and not errors:
+            return row[before], row[edited]
+        if not self.closed:
+            raise errors[edited]
+        if len(errors) == 2:
+            errors[edited].add_note(f"the baseline could not be checked: {type(errors[after]).__name__}")
+            raise errors[edited]
+        what = "could not be scored again" if after in errors else "changed while the edited state was scored"
+        raise BaselineChanged(f"the baseline {what}") from next(iter(errors.values()), None)
 
     def close(self) -> None:
         self.closed = True

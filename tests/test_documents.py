@@ -170,7 +170,23 @@ def test_many_audits(spark):
     metrics, issues = audit.audit_many(cases, table(*((i, D.snapshot("baseline")) for i in "abcde")), table(("a", edited), ("b", better), ("c", change(edited, ("seeds", "python"), 5)), ("e", edited)))
     got = {(r.audit_id, r.grp): (r.aggregate, r.evaluated) for r in metrics.collect()}
     assert len(got) == 10 and got["a", "exact"] == (2.0, 1) and got["b", "exact"] == (2.5, 1) and got["b", "control"][0] == pytest.approx(0.0119593830)
-    assert {r.audit_id: r.issue for r in issues.collect()} == {"c": "the snapshots have incompatible seeds metadata", "d": "a document is missing", "e": "the case is not valid"}
+    found = {}
+    for r in issues.collect():
+        found.setdefault(r.audit_id, []).append(r.issue)
+    assert found.keys() == {"c", "d", "e"} and found["c"] == ["$.seeds must be the same in both snapshots"] and found["d"] == ["the edited is missing"]
+    assert len(found["e"]) == 5 and all(i.startswith("case $") for i in found["e"])
+
+
+def test_every_rule_of_a_pair(spark):
+    """All rules at once: what each change breaks, by path."""
+    table = lambda docs: spark.createDataFrame([(str(i), json.dumps(d)) for i, d in enumerate(docs)], "audit_id string, payload string")
+    edits = [change(D.snapshot("edited"), path, value) for path, value in BAD_PAIRS if path != ("case",)]
+    issues = audit.pair_issues(table([D.case()] * len(edits)), table([D.snapshot("baseline")] * len(edits)), table(edits)).collect()
+    by = {i: {r.path for r in issues if r.audit_id == str(i)} for i in range(len(edits))}
+    assert by == {
+        0: {"$.seeds"}, 1: {"$.model.model_id"}, 2: {"$.model.artifact.artifact_id"}, 3: {"$.model.artifact.content_hash"}, 4: {"$.snapshot_id"}, 5: {"$.edited.state"},
+        6: {"$.edited.measurements.target_scores"}, 7: {"$.edited.measurements.control_logits"}, 8: {"$.measurements.control_temperature"}, 9: {"$.edited.model.artifact.kind"},
+    }
 
 
 def test_lifecycle(tmp_path):
