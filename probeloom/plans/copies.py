@@ -47,6 +47,7 @@ def p5_leaves(spark: SparkSession, sf: str) -> DataFrame:
     """Every leaf of every payload with its repetition and definition level; numbers as such, all else as text."""
     leaves = shred_leaves(table(spark, sf, "raw_reports"))
     is_number = F.col("kind") == "number"
+    leaves = leaves.withColumn("ordinals", F.array_join(F.transform("ordinals", lambda n: n.cast("string")), ","))
     return leaves.withColumn("number", F.when(is_number, F.col("value").try_cast("double"))).withColumn("value", F.when(~is_number, F.col("value")))
 
 
@@ -132,7 +133,7 @@ t AS (SELECT raw_id, t.id, {_STEPS} AS steps, regexp_extract_all(fullkey, '\\[(\
 u AS (SELECT raw_id, id, list_aggregate(list_transform(steps, lambda s: CASE WHEN s[1] = '[' THEN '[]' ELSE trim(s[2:], '"') END), 'string_agg', '.') AS path, ordinals,
   (len(steps) - (kind = 'NULL')::INT)::INT AS def, kind, v FROM t),
 w AS (SELECT *, lag(ordinals) OVER (PARTITION BY raw_id, path ORDER BY id) AS before FROM u)
-SELECT raw_id, path, ordinals, CASE WHEN before IS NULL THEN 0 ELSE coalesce(list_position(list_transform(list_zip(before, ordinals), lambda p: p[1] <> p[2]), true), 0) END::INT AS rep, def,
+SELECT raw_id, path, array_to_string(ordinals, ',') AS ordinals, CASE WHEN before IS NULL THEN 0 ELSE coalesce(list_position(list_transform(list_zip(before, ordinals), lambda p: p[1] <> p[2]), true), 0) END::INT AS rep, def,
   CASE kind WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' ELSE 'number' END AS kind,
   CASE WHEN kind IN ('VARCHAR', 'BOOLEAN') THEN v ->> '$' END AS value, CASE WHEN kind NOT IN ('VARCHAR', 'BOOLEAN', 'NULL', 'OBJECT', 'ARRAY') THEN (v ->> '$')::DOUBLE END AS number
 FROM w""",
