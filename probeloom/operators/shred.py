@@ -14,7 +14,7 @@ shuffle is needed, whatever the size or the nesting of a record.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -276,6 +276,15 @@ def _real(assembled: Assembled, names: list[tuple[str, ...]]) -> np.ndarray:
     return there
 
 
+def _with_leaves(node: Node, needed: set[tuple[str, ...]], path: tuple[str, ...] = ()) -> Node | None:
+    """The part of a schema that leads to the needed leaves."""
+    path = (*path, node.name) if node.name else path
+    if not node.children:
+        return node if path in needed else None
+    below = tuple(c for c in (_with_leaves(c, needed, path) for c in node.children) if c is not None)
+    return replace(node, children=below) if below else None
+
+
 def flatten_reports(df: DataFrame, *tables: str, id_column: str = "raw_id", payload: str = "payload") -> DataFrame:
     """Flat tables (``metric``, ``probe``, ``citation``) of the nested reports of ``df``.
 
@@ -294,6 +303,8 @@ def flatten_reports(df: DataFrame, *tables: str, id_column: str = "raw_id", payl
     names = [id_column, *(["kind"] if len(tables) > 1 else []), *positions, *columns]
     kinds = {id_column: "bigint", "kind": "string"} | dict.fromkeys(positions, "bigint") | columns
 
+    schema = _with_leaves(REPORT, {path for t in tables for path, _ in TABLES[t][1].values()})
+
     def rows(ids: pa.Array, shredder: Shredder, t: str) -> pa.RecordBatch:
         ancestor, leaves = TABLES[t]
         made = assemble(shredder, ancestor, [p for p, _ in leaves.values()])
@@ -309,7 +320,7 @@ def flatten_reports(df: DataFrame, *tables: str, id_column: str = "raw_id", payl
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                shredder = Shredder(REPORT)
+                shredder = Shredder(schema)
                 for i, text in enumerate(part.column(1).to_pylist()):
                     report = parse_report(text)
                     if report is not None:
