@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import itertools
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,4 +66,31 @@ def materialize(df: DataFrame) -> DataFrame:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    _made(spark).append(where)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _made(spark: SparkSession) -> list:
+    """Folders of the tables that :func:`materialize` wrote and that are still there."""
+    context = spark.sparkContext
+    if not hasattr(context, "_probeloom_tables"):
+        context._probeloom_tables = []
+    return context._probeloom_tables
+
+
+def release(spark: SparkSession, kept: int = 0) -> None:
+    """Delete the tables that :func:`materialize` wrote, but for the first ``kept``; results that need them must be done."""
+    tables = _made(spark)
+    for where in tables[kept:]:
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    del tables[kept:]
+
+
+@contextmanager
+def intermediate_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that operators write within are deleted at the end, also when it fails."""
+    kept = len(_made(spark))
+    try:
+        yield
+    finally:
+        release(spark, kept)
