@@ -272,7 +272,10 @@ class Lexicon:
         for form in (plain,) if short in ("", plain) else (plain, short):
             n = len(form)
             if 1 < n <= 8:
-                for less in _less_one(form):
+                if form in shortened:
+                    maybe.update(shortened[form])
+                for i in range(n):
+                    less = form[:i] + form[i + 1 :]
                     if less in shortened:
                         maybe.update(shortened[less])
             # of three parts of a word two edits leave one as it is, moved by no more than the edits allow
@@ -539,6 +542,11 @@ class Items:
         inner[stop - 1] = False
         target[begin[inner]] = np.flatnonzero(inner) + 1
         target[_spread(begin[stop - 1], layout.count)[1]] = start[second]
+        # to words that are none of the items' nothing goes on
+        kept = (np.diff(np.frombuffer(self.read_from, dtype=np.int64)) > 0)[token[target]]
+        before = np.concatenate([[0], np.cumsum(kept)])
+        count = before[begin + count] - before[begin]
+        begin, target = before[begin], target[kept]
         # words parted at the end of a piece: from the word before, with the word that the parts are, to the rest's place
         equal, known = self.one.equal, self.known
         parted = np.flatnonzero(np.array([p[5] for p in pieces])[first])
