@@ -255,13 +255,18 @@ def q_first_duplicate(spark: SparkSession, sf: str) -> DataFrame:
 _PROBES_SQL = "WITH p AS (" + " UNION ALL ".join(f"SELECT case_row, '{g}' AS grp, {i} AS o, unnest(range(len(probes.{g}))) AS pos, unnest(probes.{g}).probe_id AS probe_id, unnest(probes.{g}).prompt AS prompt, edit.subject AS subject FROM audit_cases" for i, g in enumerate(R.GROUPS)) + ") "
 
 
-@query(_PROBES_SQL + """, w AS (SELECT *, '$.probes.' || grp || '[' || pos || '].probe_id' AS path, row_number() OVER o AS occurrence FROM p WHERE probe_id IS NOT NULL WINDOW o AS (PARTITION BY case_row, probe_id ORDER BY o, pos))
-SELECT case_row, path, first_path FROM (SELECT *, first_value(path) OVER (PARTITION BY case_row, probe_id ORDER BY o, pos) AS first_path FROM w) WHERE occurrence > 1""")
-def q_duplicate_probe_ids(spark: SparkSession, sf: str) -> DataFrame:
-    """Probe identifiers used again in a case, with the place of the first use."""
-    probes = R.case_probes(table(spark, sf, "audit_cases"), ["case_row"]).where(F.col("probe_id").isNotNull())
-    path = F.concat(F.lit("$.probes."), F.col("grp"), F.lit("["), F.col("pos"), F.lit("].probe_id"))
-    return M.first_duplicates(probes, ["case_row", "probe_id"], [F.col("grp_ord"), F.col("pos")], path).select("case_row", "path", "first_path")
+@query("""
+WITH w AS (SELECT report_id, metric_id, probe_id, evidence_id, ingested_at, evidence_id || '@' || strftime(ingested_at, '%Y-%m-%dT%H:%M:%S') AS path, row_number() OVER o AS occurrence,
+  first_value(evidence_id || '@' || strftime(ingested_at, '%Y-%m-%dT%H:%M:%S')) OVER o AS first_path FROM probe_evidence WHERE probe_id IS NOT NULL AND ingested_at IS NOT NULL
+  WINDOW o AS (PARTITION BY report_id, metric_id, probe_id ORDER BY ingested_at, evidence_id))
+SELECT report_id, metric_id, probe_id, occurrence, path, first_path FROM w WHERE occurrence > 1
+""")
+def q_repeated_probes(spark: SparkSession, sf: str) -> DataFrame:
+    """Probes of a metric that were delivered again, with the delivery that came first."""
+    rows = table(spark, sf, "probe_evidence").where("probe_id IS NOT NULL AND ingested_at IS NOT NULL").select("report_id", "metric_id", "probe_id", "evidence_id", "ingested_at")
+    path = F.concat(F.col("evidence_id").cast("string"), F.lit("@"), F.date_format("ingested_at", "yyyy-MM-dd'T'HH:mm:ss"))
+    out = M.first_duplicates(rows, ["report_id", "metric_id", "probe_id"], [F.col("ingested_at"), F.col("evidence_id")], path)
+    return out.select("report_id", "metric_id", "probe_id", F.col("occurrence").cast("bigint").alias("occurrence"), "path", "first_path")
 
 
 @query(_PROBES_SQL + "SELECT case_row, grp, count(*) AS probes, count(DISTINCT prompt) AS prompts FROM p GROUP BY 1, 2")
@@ -371,14 +376,15 @@ def q_json_open_object(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
 WITH d AS (SELECT report_id, metric_id, coverage FROM metric_results QUALIFY row_number() OVER (PARTITION BY report_id, metric_id ORDER BY ingested_at DESC) = 1),
-p AS (SELECT report_id, metric_id, count(*) AS total, count(*) FILTER (probe_status = 'evaluated') AS evaluated FROM (SELECT DISTINCT evidence_id, report_id, metric_id, probe_status FROM probe_evidence) GROUP BY 1, 2),
+p AS (SELECT report_id, metric_id, count(*) AS total, count(*) FILTER (usable) AS evaluated FROM (SELECT DISTINCT evidence_id, report_id, metric_id, coalesce(isfinite(absolute_delta), false) AS usable FROM probe_evidence) GROUP BY 1, 2),
 j AS (SELECT d.*, coalesce(total, 0) AS total, coalesce(evaluated, 0) AS evaluated FROM d LEFT JOIN p USING (report_id, metric_id)),
 e AS (SELECT report_id, metric_id, 'total' AS field, coverage.total AS declared, total AS counted FROM j UNION ALL SELECT report_id, metric_id, 'evaluated', coverage.evaluated, evaluated FROM j UNION ALL SELECT report_id, metric_id, 'missing', coverage.missing, total - evaluated FROM j)
 SELECT * FROM e WHERE declared <> counted
 """)
-def q_coverage_recount(spark: SparkSession, sf: str) -> DataFrame:
+def q_usable_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """Declared coverage against the probes whose difference is a finite number."""
     declared = table(spark, sf, "metric_results").groupBy("report_id", "metric_id").agg(F.max_by("coverage", "ingested_at").alias("coverage"))
-    probes = table(spark, sf, "probe_evidence").select("evidence_id", "report_id", "metric_id", (F.col("probe_status") == "evaluated").alias("evaluated")).distinct()
+    probes = table(spark, sf, "probe_evidence").select("evidence_id", "report_id", "metric_id", N.finite(F.col("absolute_delta")).alias("evaluated")).distinct()
     return R.coverage_recount(declared, probes, ["report_id", "metric_id"])
 
 
@@ -426,8 +432,10 @@ SELECT evidence_id, ingested_at, unnest(list_filter([
  CASE WHEN coalesce(NOT regexp_full_match(probe_id, '[A-Za-z0-9][A-Za-z0-9._-]{0,127}'), true) THEN 0 END,
  CASE WHEN baseline_mean_log_probability IS NOT NULL AND NOT (isfinite(baseline_mean_log_probability) AND baseline_mean_log_probability <= 0) THEN 1 END,
  CASE WHEN edited_mean_log_probability IS NOT NULL AND NOT (isfinite(edited_mean_log_probability) AND edited_mean_log_probability <= 0) THEN 2 END,
- CASE WHEN CASE WHEN probe_status = 'evaluated' THEN missing_reason IS NOT NULL ELSE missing_reason IS NULL OR trim(missing_reason) = '' OR length(missing_reason) > 4096 END THEN 3 END,
+ CASE WHEN CASE WHEN baseline_mean_log_probability IS NOT NULL AND edited_mean_log_probability IS NOT NULL THEN missing_reason IS NOT NULL ELSE missing_reason IS NULL OR trim(missing_reason) = '' OR length(missing_reason) > 4096 END THEN 3 END,
  CASE WHEN isfinite(signed_delta) AND isfinite(absolute_delta) AND abs(signed_delta) <> absolute_delta THEN 4 END], lambda x: x IS NOT NULL)) AS seq FROM probe_evidence
 """)
-def q_probe_rules(spark: SparkSession, sf: str) -> DataFrame:
-    return R.violations(table(spark, sf, "probe_evidence"), ["evidence_id", "ingested_at"], R.probe_rules()).select("evidence_id", "ingested_at", "seq")
+def q_scored_probe_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules of a probe's evidence, where a probe counts as evaluated when both scores are there."""
+    both = F.col("baseline_mean_log_probability").isNotNull() & F.col("edited_mean_log_probability").isNotNull()
+    return R.violations(table(spark, sf, "probe_evidence").withColumn("probe_status", F.when(both, "evaluated").otherwise("missing")), ["evidence_id", "ingested_at"], R.probe_rules()).select("evidence_id", "ingested_at", "seq")
