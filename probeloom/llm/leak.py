@@ -26,10 +26,11 @@ import re
 import unicodedata
 from array import array
 from collections import defaultdict
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import pairwise
+from types import MappingProxyType
 
 import numpy as np
 import pyarrow as pa
@@ -194,12 +195,15 @@ class Automaton:
             self.link[state] = q if self.length[q] == self.length[p] + 1 else self._split(p, q, token)
         return state
 
-    def holders(self, state: int) -> set[int]:
-        """The sequences that hold the passages of a state."""
+    def holders(self, state: int, known: Mapping[int, set[int]] = MappingProxyType({})) -> set[int]:
+        """The sequences that hold the passages of a state; ``known``: of some states."""
         found: set[int] = set()
         todo = [state]
         while todo:
             state = todo.pop()
+            if state in known:
+                found |= known[state]
+                continue
             if self.own[state]:
                 found.update(self.own[state])
             todo += self.longer.get(state, ())
@@ -470,6 +474,7 @@ class Items:
         self.known: dict[str, tuple[list[int], list[tuple[int, int]] | None, str, str, int]] = {}
         self.after: dict[int, tuple[int, dict[int, list[tuple[int, int]]]]] = {}
         self.held: dict[int, set[int]] = {}
+        self.steady: dict[int, int] = {}
         self._arrays()
 
     def _arrays(self) -> None:
@@ -600,7 +605,7 @@ class Items:
         if len(self.held) >= KNOWN:
             self.held.clear()
         if state not in self.held:
-            self.held[state] = self.automaton.holders(state)
+            self.held[state] = self.automaton.holders(state, self.held)
         return self.held[state]
 
     def __reduce__(self):
@@ -623,9 +628,10 @@ class Items:
     def _following(self, state: int) -> tuple[int, dict[int, list[tuple[int, int]]]]:
         """What follows the last two words of a state: lengths (bits) that it can be printed in, and the words with their letters by such a length."""
         link, length = self.automaton.link, self.automaton.length
-        top = state
-        while length[link[top]] >= 2:
+        top, passed = state, [state]
+        while length[link[top]] >= 2 and top not in self.after:
             top = link[top]
+            passed.append(top)
         if top not in self.after:
             words: dict[int, dict[int, int]] = defaultdict(dict)
             for word in self.automaton.next[top]:
@@ -633,9 +639,22 @@ class Items:
                     for size in range(len(form) - 2, len(form) + 3) if form else ():
                         words[size][word] = letters
             self.after[top] = sum(1 << size for size in words if size >= 0), {size: list(at.items()) for size, at in words.items()}
-        self.after[state] = self.after[top]
+        for state in passed:
+            self.after[state] = self.after[top]
         return self.after[top]
 
+    def _shortest(self, state: int) -> int:
+        """The state of the shortest end, of :data:`STEADY` words or more, of a state's passages; all that follows them follows it."""
+        link, length = self.automaton.link, self.automaton.length
+        top, passed = state, []
+        while top not in self.steady and length[link[top]] >= STEADY:
+            passed.append(top)
+            top = link[top]
+        top = self.steady.get(top, top)
+        for state in passed:
+            self.steady[state] = top
+        return top
+
     def read(self, pieces: Sequence[tuple[int, int, list[str], bool]], follow: list[list[int]], wrap: list[list[int]], wanted: set[int] | None = None) -> dict[int, int]:
         """Longest run of consecutive words that the page prints, by item number, of the (wanted) items that reach their limit.
 
@@ -679,18 +698,22 @@ class Items:
             return went
 
         def cross(now: Runs, before: Runs, printed: str) -> None:
-            """Steady runs pass a word that may be a bad scan of the next; only the word after it can end them."""
+            """Steady runs pass a word that may be a bad scan of the next; only the word after it can end them.
+
+            A word is passed from the longest end of a run that it can follow; shorter ends are ends of that.
+            """
             for state, run in before.items():
-                while run & 7 >= STEADY:
-                    for word, to in nxt[state].items():
-                        n = run & ~7
-                        if n + 8 > now.get(to, 0) and near_word(printed, words_of[word]):
-                            now[to] = n + 8
+                if run & 7 < STEADY:
+                    continue
+                left = [w for w in nxt[self._shortest(state)] if w in allowed and near_word(printed, words_of[w])]
+                while left and run & 7 >= STEADY:
+                    following, n = nxt[state], run & ~7
+                    for word in left:
+                        if word in following and n + 8 > now.get(following[word], 0):
+                            now[following[word]] = n + 8
+                    left = [w for w in left if w not in following]
                     state = link[state]
-                    n = length[state]
-                    if state <= 0:
-                        break
-                    run = n << 3 | min(run & 7, n)
+                    run = length[state] << 3 | min(run & 7, length[state]) if state > 0 else 0
 
         def walk(piece: list[str], before: Runs, heads: Sequence[tuple[str, Runs]]) -> tuple[Runs, Runs]:
             """The runs at the last word of a piece, and those before it; unless ``fresh`` no run starts in it."""
@@ -818,7 +841,8 @@ class Items:
                 state = link[state]
                 n = length[state]
         out: dict[int, int] = {}
-        for state, n in longest.items():
+        # longer passages first, so that those of shorter ones are found from theirs
+        for state, n in sorted(longest.items(), key=lambda found: -length[found[0]]):
             for item in self._holders(state) if wanted is None else self._holders(state) & wanted:
                 if n >= self.limits[item] and n > out.get(item, 0):
                     out[item] = n

@@ -292,3 +292,9 @@ def test_wrap_and_advert_in_rows(spark):
 def test_query(spark):
     rows = queries.p7_found(spark, SF).collect()
     assert 0 < len(rows) == len({(r.doc_id, r.item_id) for r in rows})
+
+
+def test_repetitive_items_and_pages():
+    """Items and pages that repeat a phrase cost no more than their length, and are read whole."""
+    known = leak.Items([(1, "of the " * 5000), (2, "a"), (3, "of the"), (4, ITEM)], 12)
+    assert known.rows_of(["of the " * 3000, "a of the", "x of the " * 2000, f"{ITEM} of the " * 300]) == [(0, 1, 6000, 0.6), (3, 4, 20, 1.0)]
