@@ -2,15 +2,14 @@
 
 A hidden Markov model has one clean state and one state per pair of encodings. Only characters
 outside ASCII are observed (ASCII reads the same under every pair), each with a little context.
-The emissions are learned from a bounded sample of pages: as they are for the clean state, and
-garbled by the pair for its state. The most likely path labels every character; a labelled span
+The emissions are learned from all pages: as they are for the clean state, and garbled by the
+pair for its state. The most likely path labels every character; a labelled span
 gets the inverse transform of its state. Pages are labelled many at a time with array operations
 and independently of each other, so no shuffle is needed.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache, cached_property
@@ -52,11 +51,17 @@ PIECE, AT_ONCE = 1 << 17, 1 << 20
 CELLS = 1 << 17
 LOST = "bytes lost"  # what was read became U+FFFD
 STATES = tuple(p[0] for p in PAIRS) + (LOST,)
-#: Pages of the training sample (those with the smallest hash of their id), and the length of the pieces that it takes of longer ones.
+#: Pages of the training sample of :func:`fit` (those with the smallest hash of their id), and the length of the pieces that training takes of longer ones.
 TRAIN_PAGES, TRAIN_CHARS = 2000, 20_000
 _WIDE = 1 << 16
-#: Log chances of entering each state and of leaving one; chosen, not fitted, since the sample is of unlabelled
-#: pages: one character outside ASCII in fifty begins or ends a garbled span, which is what one garbled word a
+#: Log probability of a letter pair that was never seen, and the least of any other.
+UNSEEN = -12.0
+#: Keys that a task holds before it sums or sends them.
+KEYS = 1 << 20
+_CODES, _SHIFT = 0x110000, 21  # code points; bits of one in a key
+_FIRST, _BOTH, _TEXTS = range(len(PAIRS) + 1, len(PAIRS) + 4)  # kinds of counts; the lower ones are of observations
+#: Log chances of entering each state and of leaving one; chosen, not fitted, since the pages are unlabelled:
+#: one character outside ASCII in fifty begins or ends a garbled span, which is what one garbled word a
 #: page comes to. What UTF-8 sequences become decodes back or does not, so those states cost less than pairs
 #: of single-byte encodings, where all decodes and a few letters must not make a span.
 ENTER = np.array([np.log(2e-2 if p[1].startswith("utf-8") else 1e-5) for p in PAIRS] + [np.log(2e-2)], dtype=np.float32)
@@ -185,13 +190,17 @@ def observe(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     stands between two letters. Code points beyond the basic plane are observed as U+FFFF.
     """
     at = np.flatnonzero(codes >= 128)
+    before = np.where(at > 0, codes[at - 1], 0)
+    after = np.where(at + 1 < len(codes), codes[np.minimum(at + 1, len(codes) - 1)], 0)
+    return at, _seen(codes[at], before, after)
+
+
+def _seen(codes: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """What is observed of characters between those before and after them."""
     low = np.minimum(codes, _WIDE - 1)
-    kind = _classes()[low]
-    own = kind[at]
-    before = np.where(at > 0, kind[at - 1], 0)
-    after = np.where(at + 1 < len(codes), kind[np.minimum(at + 1, len(codes) - 1)], 0)
-    context = np.where(own == 2, before == 2, (own == 0) & (before > 0) & (after > 0))
-    return at, low[at].astype(np.int64) + _WIDE * context
+    own, left, right = (_classes()[x] for x in (low, np.minimum(before, _WIDE - 1), np.minimum(after, _WIDE - 1)))
+    context = np.where(own == 2, left == 2, (own == 0) & (left > 0) & (right > 0))
+    return low.astype(np.int64) + _WIDE * context
 
 
 def _codes(text: str) -> np.ndarray:
@@ -219,43 +228,136 @@ class Model:
     def likelihood(self, text: str) -> float:
         """Log probability of the text by its character pairs."""
         low = f" {text.lower()} "
-        return sum(self.pairs.get(low[i : i + 2], -12.0) for i in range(len(low) - 1) if low[i] > "\x7f" or low[i + 1] > "\x7f" or low[i : i + 2].isalpha())
-
-
-def _pair_model(text: str) -> dict[str, float]:
-    low = " ".join(text.lower().split())
-    pairs = Counter(map("".join, zip(low, low[1:])))
-    first = Counter(low)
-    return {p: float(np.log(n / first[p[0]])) for p, n in pairs.items()}
+        return sum(self.pairs.get(low[i : i + 2], UNSEEN) for i in range(len(low) - 1) if low[i] > "\x7f" or low[i + 1] > "\x7f" or low[i : i + 2].isalpha())
 
 
-def _histogram(text: str) -> np.ndarray:
-    return np.bincount(observe(_codes(text))[1], minlength=2 * _WIDE).astype(np.float64)
-
-
-def _near(text: str) -> str:
-    """The characters outside ASCII with their neighbours; all that observations depend on."""
-    codes = _codes(text)
-    wide = codes >= 128
-    keep = wide.copy()
-    keep[:-1] |= wide[1:]
-    keep[1:] |= wide[:-1]
-    return codes[keep].tobytes().decode("utf-32-le", "surrogatepass")
+@cache
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """ASCII and the characters that a pair of single-byte encodings changes or makes, without case; and the number there of every code point, or -1.
 
+    A letter pair of none of them weighs the same before and after the inverse of such a pair, so it is not kept.
+    """
+    made = set(map(chr, range(128)))
+    for _, written, read in PAIRS:
+        if not written.startswith("utf-8"):
+            made.update(*_back(written, read).items())
+    codes = np.array(sorted({ord(x) for c in made for x in c + ("a" + c).lower()}), dtype=np.int64)
+    number = np.full(_CODES, -1, dtype=np.int32)
+    number[codes] = np.arange(len(codes))
+    return codes, number
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Every key once, with the sum of its numbers unless that is zero."""
+    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    n = np.bincount(at, weights=np.concatenate([n for _, n in parts]), minlength=len(keys)).astype(np.int64)
+    return keys[n != 0], n[n != 0]
+
+
+class _Counts:
+    """What a model is made of: whole numbers whose sums are the same however the texts are split."""
+
+    def __init__(self) -> None:
+        self.texts = 0
+        self.seen = np.zeros((len(PAIRS) + 1, 2 * _WIDE), dtype=np.int64)  # observations of the texts as they are, then garbled by each pair
+        self.first = np.zeros(_CODES, dtype=np.int64)  # characters that another follows, without case
+        self.both = np.zeros(len(_letters()[0]) ** 2, dtype=np.int64)  # pairs of the letters
+        none = np.zeros(0, dtype=np.int64)
+        self.mixed = [(none, none)]  # pairs of a letter and any other character
+        self.near = [(none, none)]  # characters outside ASCII between their neighbours, not garbled yet
+
+    def add(self, texts: list[str]) -> None:
+        self.texts += len(texts)
+        codes = _codes("\n".join(["", *texts, ""]))
+        at = np.flatnonzero(codes >= 128)
+        if len(at):
+            # of an ASCII neighbour only its class is observed
+            like = np.array([ord("\n"), ord("a"), ord("A")])[_classes()[:128]]
+            before, after = (np.where(x < 128, like[np.minimum(x, 127)], x) for x in (codes[at - 1], codes[at + 1]))
+            self.near.append(np.unique(((before << _SHIFT | codes[at]) << _SHIFT) | after, return_counts=True))
+        if sum(len(k) for k, _ in self.near) > KEYS:
+            self.garble()
+        words = " ".join(" ".join(texts).lower().split())
+        if words:
+            codes = _codes(f" {words} ")
+            self.first += np.bincount(codes[:-1], minlength=_CODES)
+            letters, number = _letters()
+            own = number[codes]
+            is_letter = own >= 0
+            two, one = is_letter[:-1] & is_letter[1:], is_letter[:-1] ^ is_letter[1:]
+            self.both += np.bincount(own[:-1][two] * len(letters) + own[1:][two], minlength=len(self.both))
+            if one.any():
+                self.mixed.append(np.unique(codes[:-1][one].astype(np.int64) << _SHIFT | codes[1:][one], return_counts=True))
+                if sum(len(k) for k, _ in self.mixed) > KEYS:
+                    self.mixed = [_summed(self.mixed)]
+
+    def garble(self) -> None:
+        """Count the observations of the texts, and of what each pair makes of them."""
+        keys, n = _summed(self.near)
+        self.near = self.near[:1]
+        mask = (1 << _SHIFT) - 1
+        chars, at = np.unique(np.concatenate([keys >> 2 * _SHIFT, keys >> _SHIFT & mask, keys & mask]), return_inverse=True)
+        before, own, after = at.reshape(3, -1)
+        for k, made in enumerate([[chr(c) for c in chars], *([garble(chr(c), written, read) for c in chars] for _, written, read in PAIRS)]):
+            lengths = np.array([len(m) for m in made], dtype=np.int64)
+            table = np.zeros((len(chars), max(lengths, default=0)), dtype=np.int64)
+            table[np.arange(table.shape[1]) < lengths[:, None]] = _codes("".join(made))
+            last = table[np.arange(len(chars)), lengths - 1]
+            for j in range(table.shape[1]):
+                some = np.flatnonzero((lengths[own] > j) & (table[own, j] >= 128))
+                o = own[some]
+                left = table[o, j - 1] if j else last[before[some]]
+                right = np.where(lengths[o] > j + 1, table[o, min(j + 1, table.shape[1] - 1)], table[after[some], 0])
+                self.seen[k] += np.bincount(_seen(table[o, j], left, right), weights=n[some], minlength=2 * _WIDE).astype(np.int64)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        letters, _ = _letters()
+        at = np.flatnonzero(self.both)
+        return _summed([*self.mixed, (letters[at // len(letters)] << _SHIFT | letters[at % len(letters)], self.both[at])])
 
-def train(pages: list[str], rounds: int = 2) -> Model:
-    """Fit the emissions to sample pages; pages that the fitted model finds garbled leave the next round."""
-    kept = pages
-    model = None
-    for _ in range(rounds):
-        whole = "\n".join(kept)
-        text = _near(whole)
+    def rows(self) -> pa.RecordBatch:
+        """The counts as ``(kind, key, n)``."""
+        self.garble()
+        kinds, keys = np.nonzero(self.seen)
+        first = np.flatnonzero(self.first)
+        pairs, numbers = self.pairs()
+        columns = (
+            np.concatenate([kinds, np.full(len(first), _FIRST), np.full(len(pairs), _BOTH), [_TEXTS]]),
+            np.concatenate([keys, first, pairs, [0]]),
+            np.concatenate([self.seen[kinds, keys], self.first[first], numbers, [self.texts]]),
+        )
+        return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in columns], names=["kind", "key", "n"])
+
+    @classmethod
+    def of_rows(cls, rows: pa.Table | pa.RecordBatch) -> _Counts:
+        """The counts of rows whose keys are all different."""
+        made = cls()
+        kinds, keys, n = (rows.column(c).to_numpy() for c in ("kind", "key", "n"))
+        low = kinds < _FIRST
+        made.seen[kinds[low], keys[low]] = n[low]
+        made.first[keys[kinds == _FIRST]] = n[kinds == _FIRST]
+        made.mixed.append((keys[kinds == _BOTH], n[kinds == _BOTH]))
+        made.texts = int(n[kinds == _TEXTS].sum())
+        return made
+
+    def without(self, other: _Counts) -> _Counts:
+        """The counts of the texts that ``other`` has not counted."""
+        made = _Counts()
+        self.garble()
+        other.garble()
+        made.texts, made.seen, made.first = self.texts - other.texts, self.seen - other.seen, self.first - other.first
+        keys, n = other.pairs()
+        made.mixed.append(_summed([self.pairs(), (keys, -n)]))
+        return made
+
+    def model(self) -> Model:
+        self.garble()
         unseen = 0.05  # added to every observation's count
-        clean = _histogram(text)
+        clean = self.seen[0]
         base = np.log((clean + unseen) / (clean.sum() + 2000 * unseen))
         odds = np.zeros((2 * _WIDE, len(STATES)), dtype=np.float32)
-        for k, (_, written, read) in enumerate(PAIRS):
-            seen = _histogram(garble(text, written, read))
+        for k, (_, _, read) in enumerate(PAIRS):
+            seen = self.seen[k + 1]
             # what the encoding cannot write is missing, so that characters it keeps are no evidence for it
             odds[:, k] = np.log((seen + unseen * 0.02) / (max(seen.sum(), clean.sum()) + 2000 * unseen)) - base
             if read in ("cp1252", "cp1250", "cp1251"):
@@ -264,7 +366,22 @@ def train(pages: list[str], rounds: int = 2) -> Model:
         odds[[ord(_REPLACEMENT), ord(_REPLACEMENT) + _WIDE], -1] = 12.0
         rest = odds[-1].copy()
         rows = np.flatnonzero((odds != rest).any(axis=1))
-        model = Model(rows, odds[rows], rest, _pair_model(whole))
+        keys, n = self.pairs()
+        chance = np.log(n / self.first[keys >> _SHIFT])
+        known = chance > UNSEEN
+        pairs = {chr(p >> _SHIFT) + chr(p & (1 << _SHIFT) - 1): c for p, c in zip(keys[known].tolist(), chance[known].tolist())}
+        return Model(rows, odds[rows], rest, pairs)
+
+
+def train(pages: list[str], rounds: int = 2) -> Model:
+    """Fit the emissions to pages; pages that the fitted model finds garbled leave the next round."""
+    kept = pages
+    model = None
+    for _ in range(rounds):
+        counts = _Counts()
+        for k in range(0, len(kept), 50):
+            counts.add(kept[k : k + 50])
+        model = counts.model()
         labelled = (spans for k in range(0, len(kept), 50) for spans in label(kept[k : k + 50], model))
         kept = [p for p, spans in zip(kept, labelled) if not garbled_lines(p, spans, model)] or kept
     return model
@@ -391,8 +508,45 @@ def garbled_lines(text: str, spans: list[tuple[int, int, int]], model: Model) ->
     return out
 
 
+def _counted(documents: DataFrame, text: str, model: Model | None = None) -> _Counts:
+    """The counts of all texts; with a model, of those that it finds garbled. Longer texts are cut to :data:`TRAIN_CHARS`, each part on its own."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, held, size = _Counts(), [], 0
+
+        def count() -> None:
+            counts.add(held if model is None else [t for t, spans in zip(held, label(held, model)) if garbled_lines(t, spans, model)])
+
+        for batch in batches:
+            for whole in batch.column(0).to_pylist():
+                for _, piece in pieces(whole, TRAIN_CHARS):
+                    held.append(piece)
+                    size += len(piece) + 1  # empty texts are held too
+                    if size >= AT_ONCE:
+                        count()
+                        held, size = [], 0
+                        if len(counts.mixed) == 1 and len(counts.mixed[0][0]) > KEYS:
+                            yield counts.rows()
+                            counts = _Counts()
+        count()
+        yield counts.rows()
+
+    rows = documents.where(F.col(text).isNotNull()).select(text).mapInArrow(run, "kind bigint, key bigint, n bigint")
+    return _Counts.of_rows(rows.groupBy("kind", "key").agg(F.sum("n").alias("n")).toArrow())
+
+
+def learn(documents: DataFrame, text: str = "text") -> Model:
+    """Train on all texts, as :func:`train` does: every text is counted, and those that the model of these counts finds garbled are taken out again.
+
+    Tasks send sums, of which there are as many as observations and letter pairs, however long the table is.
+    """
+    total = _counted(documents, text)
+    model = total.model()
+    kept = total.without(_counted(documents, text, model))
+    return kept.model() if kept.texts else model
+
+
 def fit(documents: DataFrame, id_column: str = "doc_id", text: str = "text", pages: int = TRAIN_PAGES) -> Model:
-    """Train on at most ``pages`` pages, chosen by the hash of their id.
+    """Train on at most ``pages`` pages, chosen by the hash of their id; for a quick look, since the queries :func:`learn` from all.
 
     A text of over :data:`TRAIN_CHARS` characters takes part in pieces of that length, each cut to
     whole lines, as if they were pages.
@@ -416,11 +570,11 @@ def _whole_lines(piece: str, cut_before: bool, cut_after: bool) -> str:
     return "\n".join(lines[cut_before : len(lines) - cut_after]) or piece
 
 
-def pieces(text: str) -> Iterator[tuple[int, str]]:
-    """A text in pieces with their place, cut at a line's end, else at white space, else anywhere; short texts are one piece."""
-    start = 0
-    while len(text) - start > PIECE:
-        end = start + PIECE
+def pieces(text: str, length: int | None = None) -> Iterator[tuple[int, str]]:
+    """A text in pieces (of :data:`PIECE` unless told) with their place, cut at a line's end, else at white space, else anywhere; short texts are one piece."""
+    start, length = 0, length or PIECE
+    while len(text) - start > length:
+        end = start + length
         cut = text.rfind("\n", start + 1, end)
         cut = cut if cut > 0 else text.rfind(" ", start + 1, end)
         end = cut if cut > 0 else end

@@ -110,7 +110,7 @@ def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
 def p9_restored(spark: SparkSession, sf: str) -> DataFrame:
     """Wrongly decoded lines with the text as it was, where the bytes survive."""
     documents = table(spark, sf, "documents")
-    return mojibake.wrong_decoding(documents, mojibake.fit(documents))
+    return mojibake.wrong_decoding(documents, mojibake.learn(documents))
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,7 +1,8 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,3 +209,49 @@ def test_sample_takes_pieces_of_long_texts(spark, monkeypatch):
     assert {x for t in taken for x in t.split("\n")} <= {line[:-1], ""}
     with pytest.raises(ValueError):
         mojibake.fit(df, pages=0)
+
+
+def test_counts_are_those_of_garbled_texts():
+    """Observations counted by neighbourhood, against those of every text garbled as a whole."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abZ  .\nÄÖüßéñŁžŐű°·Жяи—“”€😀中Σİ�?") for _ in range(rng.randrange(60))) for _ in range(300)]
+    parts = [mojibake._Counts() for _ in range(3)]
+    for n, t in enumerate(texts):
+        parts[n % 3].add([t])
+    whole = mojibake._Counts()
+    whole.add(texts)
+    whole.garble()
+    for k, pair in enumerate([None, *mojibake.PAIRS]):
+        want = np.zeros(2 << 16, dtype=np.int64)
+        for t in texts:
+            np.add.at(want, mojibake.observe(mojibake._codes(mojibake.garble(t, *pair[1:]) if pair else t))[1], 1)
+        assert (whole.seen[k] == want).all(), pair
+    words = [f" {w} " for t in texts for w in t.lower().split()]
+    first = Counter(c for w in words for c in w[:-1])
+    want = {p: np.log(n / first[p[0]]) for p, n in Counter(w[i : i + 2] for w in words for i in range(len(w) - 1)).items()}
+    got = whole.model().pairs
+    assert all(want[p] == pytest.approx(x) for p, x in got.items()) and {p for p in want if "中中" != p and "😀" not in p and "中" not in p} <= got.keys()
+    # sums of parts, and parts taken out again, are the same
+    table = pa.Table.from_batches([p.rows() for p in parts]).group_by(["kind", "key"]).aggregate([("n", "sum")]).rename_columns(["kind", "key", "n"])
+    both = mojibake._Counts.of_rows(table)
+    parts[0].add(texts[1::3] + texts[2::3])
+    for made, same in [(both, whole), (both.without(parts[1]).without(parts[2]), parts[0].without(parts[1]).without(parts[2]))]:
+        assert sorted(made.rows().to_pylist(), key=str) == sorted(same.rows().to_pylist(), key=str)
+
+
+def test_model_is_that_of_all_pages(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("text")
+    texts = [r.text for r in rows.collect()]
+    model, same = mojibake.learn(rows.repartition(5)), mojibake.train(texts)
+    assert model.pairs == same.pairs and (model.rows == same.rows).all() and (model.values == same.values).all() and (model.rest == same.rest).all()
+    assert mojibake.learn(rows.limit(0)).pairs == {}
+
+
+def test_letters_of_few_pages_are_learned(spark, tmp_path):
+    """Letters that a few pages of many have, in none of those with the smallest hashes, tell a garbled line."""
+    table = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("für die alte Hütte über dem Fluß").alias("text"))
+    rare = [r.doc_id for r in table.orderBy(F.shiftrightunsigned(F.xxhash64("doc_id"), 12).desc()).limit(41).collect()]
+    line = "жук и жаба"
+    table = table.withColumn("text", F.when(F.col("doc_id") == rare[0], mojibake.garble(line, "utf-8", "cp1252")).when(F.col("doc_id").isin(rare), line).otherwise(F.col("text")))
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    assert [(r.doc_id, r.restored) for r in queries.p9_restored(spark, str(tmp_path)).collect()] == [(rare[0], line)]
